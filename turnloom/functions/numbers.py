@@ -8,40 +8,34 @@ from turnloom.functions.lists import let
 from turnloom.functions.text import col
 
 
-def fixed4(x: Column | str) -> Column:
+def _fixed4(x: str) -> str:
+    small = f"{x} < {1 / 256}D"
+    bits = f"cast(cast({x} * if({small}, {2.0**68:.0f}D, {2.0**60:.0f}D) as bigint) as decimal(19,0))"
+    unit = f"cast(if({small}, '{1 << 68}', '{1 << 60}') as decimal(21,0))"
+    whole = "cast((d.scaled - d.scaled % d.unit) / d.unit as bigint)"
+    twice = "d.scaled % d.unit * 2"
+    up = f"({twice} > d.unit or ({twice} = d.unit and {whole} % 2 = 1))"
+    return (
+        f"get(transform(transform(array(named_struct('scaled', {bits} * 10000, 'unit', {unit})), "
+        f"d -> format_string('%05d', {whole} + cast({up} as bigint))), "
+        "t -> concat(substring(t, 1, 1), '.', substring(t, 2, 4))), 0)"
+    )
+
+
+def fixed4(x: str) -> Column:
     """Four decimals of a score between 0 and 1, rounded on the exact binary value.
 
     ``format_string`` rounds the shortest decimal form half up, so 1/32 would become 0.0313
     where C-style formatting gives 0.0312. Scaling by a power of two is exact; 2**60 holds all
     bits of a value from 1/256 on, 2**68 those of a smaller one that can still round up. The
-    rest is integer arithmetic, half to even.
+    rest is integer arithmetic, half to even. ``x`` is a column name or SQL expression.
     """
-    value = col(x)
-    small = value < F.lit(1.0 / 256)
-    parts = F.struct(
-        ((value * F.when(small, F.lit(2.0**68)).otherwise(F.lit(2.0**60))).cast("bigint")
-         .cast("decimal(19,0)") * F.lit(10000).cast("decimal(5,0)")).alias("scaled"),
-        F.when(small, F.lit(str(1 << 68))).otherwise(F.lit(str(1 << 60)))
-        .cast("decimal(21,0)").alias("unit"),
-    )
-
-    def divided(p: Column) -> Column:
-        rest = p["scaled"] % p["unit"]
-        return F.struct(
-            ((p["scaled"] - rest) / p["unit"]).cast("bigint").alias("whole"),
-            (rest * 2).alias("twice"), p["unit"].alias("unit"),
-        )
-
-    def text(d: Column) -> Column:
-        up = (d["twice"] > d["unit"]) | ((d["twice"] == d["unit"]) & (d["whole"] % 2 == 1))
-        return F.format_string("%05d", d["whole"] + up.cast("bigint"))
-
-    digits = let(let(parts, divided), text)
-    return F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, 2, 4))
+    return F.expr(_fixed4(x))
 
 
-def format_scores(arr: Column | str, sep: str = "|") -> Column:
-    return F.array_join(F.transform(col(arr), fixed4), sep)
+def format_scores(arr: str, sep: str = "|") -> Column:
+    """All scores of an array, four decimals each, joined."""
+    return F.array_join(F.expr(f"transform({arr}, x -> {_fixed4('x')})"), sep)
 
 
 def beam_softmax(scores: Column | str) -> Column:

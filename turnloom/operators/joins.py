@@ -86,18 +86,15 @@ def keep_positions(df: DataFrame, kept: DataFrame) -> DataFrame:
     joined = joined.withColumn(
         "kept", F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.array(F.lit(0)))
     )
-    picked = {
-        n: F.when(
-            F.col(n).isNotNull(),
-            F.transform(
-                F.filter("kept", lambda p, n=n: p < F.size(n)), lambda p, n=n: F.get(n, p)
-            ),
-        )
-        for n in names
-    }
+    picked = {n: _at(F.col(n)) for n in names}
     return joined.withColumns(picked).select(*df.columns)
 
 
+def _at(arr: Column) -> Column:
+    inside = F.filter("kept", lambda p: p < F.size(arr))
+    return F.when(arr.isNotNull(), F.transform(inside, lambda p: F.get(arr, p)))
+
+
 def db_check(df: DataFrame, topics: DataFrame) -> DataFrame:
     """Keep the predicted topics (with confidence and passages) found in the dictionary; a row
     that keeps nothing falls back to its first topic."""

@@ -15,16 +15,19 @@ from turnloom.functions import text
 from turnloom.functions.lists import let
 from turnloom.functions.ngrams import bleu_scores, ngrams
 from turnloom.functions.numbers import beam_softmax, format_scores, fixed4
-from turnloom.functions.tokens import words
 from turnloom.operators import candidates, positions
 from turnloom.operators.prepare import exclude_topics
+from turnloom.sources.sinks import written
 
 HIT_KS = (1, 2, 3, 4, 5)
 BLEU_KS = (1, 2, 3, 4)
 
 
+FIRST_BEAM = "coalesce(get(beams, 0), '')"
+
+
 def first_beam() -> Column:
-    return F.coalesce(F.get("beams", F.lit(0)), F.lit(""))
+    return F.expr(FIRST_BEAM)
 
 
 def joined_beams() -> Column:
@@ -51,7 +54,7 @@ def hitgen_flag() -> Column:
 
 def row_scores(df: DataFrame, ks: Sequence[int] = HIT_KS) -> DataFrame:
     """Add ``hit1…``, ``hitgen`` and ``bleu1…4`` of every row."""
-    staged = df.withColumns({"_hits": hit_flags(ks), "_bleu": bleu_scores(first_beam(), "label")})
+    staged = df.withColumns({"_hits": hit_flags(ks), "_bleu": bleu_scores(FIRST_BEAM, "label")})
     return staged.withColumns({
         **{f"hit{k}": F.get("_hits", F.lit(i)) for i, k in enumerate(ks)},
         "hitgen": hitgen_flag(),
@@ -75,7 +78,7 @@ def hitgen(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def bleu_corpus(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean of the row scores, not pooled counts."""
-    scored = df.select(*by, bleu_scores(first_beam(), "label").alias("_b"))
+    scored = df.select(*by, bleu_scores(FIRST_BEAM, "label").alias("_b"))
     named = scored.select(*by, *[F.get("_b", F.lit(i)).alias(f"bleu{k}") for i, k in enumerate(BLEU_KS)])
     return _mean(named, [f"bleu{k}" for k in BLEU_KS], by)
 
@@ -93,7 +96,7 @@ def distinct_n(df: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
     Grams are counted per value first (partial sums before the shuffle), so a frequent gram
     does not make one task large.
     """
-    grams = df.select(*by, F.explode(ngrams(words(first_beam()), n)).alias("gram"))
+    grams = df.select(*by, F.explode(ngrams(FIRST_BEAM, n)).alias("gram"))
     counts = grams.groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("times"))
     return counts.groupBy(*by).agg(
         (F.count(F.lit(1)) / F.sum("times")).alias(f"dist{n}")
@@ -105,8 +108,12 @@ METRICS = [f"hit{k}" for k in HIT_KS] + ["hitgen"] + [f"bleu{k}" for k in BLEU_K
 
 def running_metrics(df: DataFrame, block: int = positions.BLOCK) -> DataFrame:
     """Mean of every metric over the rows up to and including each row, in ``idx`` order, as
-    ``run_*``, and ``cnt``."""
-    scored = row_scores(df)
+    ``run_*``, with the row's own scores and ``cnt``.
+
+    The scores are written once: block totals and the windows inside the blocks then read
+    numbers, not answers.
+    """
+    scored = written(row_scores(df).select("idx", *METRICS), "scores")
     sums = {f"run_{m}": F.col(m).cast("double") for m in METRICS}
     sums["cnt"] = F.lit(1).cast("bigint")
     running = positions.running_by_index(scored, sums, block=block)
@@ -125,22 +132,27 @@ def substring_flags(df: DataFrame) -> DataFrame:
 
 def scored_records(df: DataFrame) -> DataFrame:
     """The eleven-column record of every scored row, with ``idx`` and ``cnt``."""
-    rows = substring_flags(running_metrics(df))
+    texts = substring_flags(df).withColumn("beam_softmax", beam_softmax("sequence_scores"))
+    rows = texts.join(running_metrics(df), "idx")
     return rows.select(
         "idx", "cnt",
         F.col("prompt").alias("CONTEXT"),
         joined_beams().alias("GEN"),
         F.col("label").alias("ANSWER"),
         fixed4("run_hitgen").alias("hitgen"),
-        format_scores(F.array(*[f"run_hit{k}" for k in HIT_KS])).alias("hit_scores"),
-        format_scores(F.array(*[f"run_bleu{k}" for k in BLEU_KS])).alias("bleu_scores"),
-        format_scores(F.array(*[f"bleu{k}" for k in BLEU_KS])).alias("sample_bleu_scores"),
+        format_scores(_array(f"run_hit{k}" for k in HIT_KS)).alias("hit_scores"),
+        format_scores(_array(f"run_bleu{k}" for k in BLEU_KS)).alias("bleu_scores"),
+        format_scores(_array(f"bleu{k}" for k in BLEU_KS)).alias("sample_bleu_scores"),
         "contain", "llama_hit",
-        format_scores(beam_softmax("sequence_scores")).alias("beam_scores"),
+        format_scores("beam_softmax").alias("beam_scores"),
         "espresso_hit",
     )
 
 
+def _array(names) -> str:
+    return f"array({', '.join(names)})"
+
+
 def summary(df: DataFrame) -> DataFrame:
     """One row with the final metrics; the sample scores are those of the last row."""
     scored = row_scores(df)
@@ -148,9 +160,9 @@ def summary(df: DataFrame) -> DataFrame:
     totals = scored.agg(*[F.avg(m).alias(m) for m in METRICS], last.alias("last"))
     return totals.select(
         fixed4("hitgen").alias("hitgen"),
-        format_scores(F.array(*[f"hit{k}" for k in HIT_KS])).alias("hit_scores"),
-        format_scores(F.array(*[f"bleu{k}" for k in BLEU_KS])).alias("bleu_scores"),
-        format_scores(F.array(*[f"last.bleu{k}" for k in BLEU_KS])).alias("sample_bleu_scores"),
+        format_scores(_array(f"hit{k}" for k in HIT_KS)).alias("hit_scores"),
+        format_scores(_array(f"bleu{k}" for k in BLEU_KS)).alias("bleu_scores"),
+        format_scores(_array(f"last.bleu{k}" for k in BLEU_KS)).alias("sample_bleu_scores"),
     )
 
 

@@ -419,7 +419,7 @@ def hitgen(t):
 
 @query("bleu_sample")
 def bleu_sample(t):
-    scored = scored_rows(t, "R").select("idx", bleu_scores(metrics.first_beam(), "label").alias("b"))
+    scored = scored_rows(t, "R").select("idx", bleu_scores(metrics.FIRST_BEAM, "label").alias("b"))
     return scored.select("idx", *[nine(F.get("b", F.lit(k - 1)), f"bleu{k}") for k in metrics.BLEU_KS])
 
 
@@ -824,8 +824,8 @@ def beam_softmax(t):
 def format_scores(t):
     rows = metrics.running_metrics(scored_rows(t, "R"))
     return rows.select(
-        "idx", numbers.format_scores(F.array(*[f"run_hit{k}" for k in metrics.HIT_KS])).alias("hits"),
-        numbers.format_scores(F.array(*[f"bleu{k}" for k in metrics.BLEU_KS]), "\t").alias("bleus"))
+        "idx", numbers.format_scores("array(run_hit1, run_hit2, run_hit3, run_hit4, run_hit5)").alias("hits"),
+        numbers.format_scores("array(bleu1, bleu2, bleu3, bleu4)", "\t").alias("bleus"))
 
 
 @query("beams_reshape")

@@ -16,23 +16,58 @@ generations  answers for the tasks I, P and R
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnloom.fixed_values import NBSP, TURN_SEPARATOR
 from turnloom.operators.positions import block_start, dense_positions
+from turnloom.sources.sinks import bucketed
 
 CONTEXT_TURNS = 7
 CONFIDENCES = (0.5, 0.25, 0.125, 0.0625, 0.03125)
 GOALS = ("Movie recommendation", "Food recommendation", "Chat about stars", "Q&A")
 
 
+GOLD_COLUMNS = ("target_knowledge", "gpt_selection", "candidate_knowledges_gpt")
+
+# Tables that were stored by this application: (application, folder, name) to table name.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Tables:
-    """The derived tables of one scale factor; each method is a lazy plan."""
+    """The derived tables of one scale factor.
+
+    ``samples``, ``knowledge`` and ``generations`` are derived once per application and stored
+    bucketed by ``idx`` in the shared folder, so that queries start from plain scans whose joins
+    need no shuffle. The ``derive_*`` methods are the lazy plans behind them.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
 
+    def _stored(self, name: str, derive: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key in _STORED and self.spark.catalog.tableExists(_STORED[key]):
+            return self.spark.table(_STORED[key])
+        table, df = bucketed(derive(), name)
+        _STORED[key] = table
+        return df
+
+    def samples(self, passages: bool = True) -> DataFrame:
+        """The sample table, with or without the three gold-passage columns."""
+        rows = self._stored("samples", self.derive_samples)
+        return rows if passages else rows.drop(*GOLD_COLUMNS)
+
+    def knowledge(self) -> DataFrame:
+        """(idx, predicted_know): per predicted topic the passages of its item."""
+        return self._stored("knowledge", self.derive_knowledge)
+
+    def generations(self, task: str) -> DataFrame:
+        """(idx, task, beams, sequence_scores): one to five answers per sample."""
+        return self._stored(f"generations_{task}", lambda: self.derive_generations(task))
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -104,8 +139,7 @@ class Tables:
             "ord", F.when(F.col("pos") < 0, gold).otherwise(self._predicted_ord(F.col("pos")))
         )
 
-    def samples(self, passages: bool = True) -> DataFrame:
-        """The sample table; without ``passages`` the three gold-passage columns are left out."""
+    def derive_samples(self) -> DataFrame:
         base = self.base()
         predictions = self.predictions(base)
         named = predictions.join(self.items(), "ord").select(
@@ -157,8 +191,6 @@ class Tables:
             ).alias("topic_cot"),
             F.lit("The passages tell more. Therefore, they are relevant.").alias("passage_cot"),
         )
-        if not passages:
-            return rows
         gold = self.passages().select(
             F.col("ord").alias("gold_ord"),
             F.slice(F.filter("passages", lambda p: p != ""), 1, 3).alias("candidate_knowledges_gpt"),
@@ -175,8 +207,7 @@ class Tables:
             ),
         })
 
-    def knowledge(self) -> DataFrame:
-        """(idx, predicted_know): per predicted topic the passages of its item."""
+    def derive_knowledge(self) -> DataFrame:
         lists = self.predictions().where("pos >= 0").join(self.passages(), "ord", "left").select(
             "idx", "pos", F.coalesce("passages", F.array().cast("array<string>")).alias("passages")
         )
@@ -184,9 +215,8 @@ class Tables:
             F.array_sort(F.collect_list(F.struct("pos", "passages"))).alias("k")
         ).select("idx", F.transform("k", lambda s: s["passages"]).alias("predicted_know"))
 
-    def generations(self, task: str, samples: DataFrame | None = None) -> DataFrame:
-        """(idx, task, beams, sequence_scores): one to five answers per sample."""
-        rows = self.samples(passages=False) if samples is None else samples
+    def derive_generations(self, task: str) -> DataFrame:
+        rows = self.samples(passages=False)
         idx = F.col("idx")
 
         def predicted(pos: int) -> Column:

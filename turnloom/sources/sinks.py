@@ -33,6 +33,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str = "idx", buckets: int | None = None
+             ) -> tuple[str, DataFrame]:
+    """Write a table bucketed and sorted by its row key below the shared folder.
+
+    Tables with the same bucketing join on the key without a shuffle. One shuffle here pays for
+    every later join; the number of buckets follows ``spark.sql.shuffle.partitions``.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"turnloom_{name}_{uuid.uuid4().hex}"
+    (
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key)
+        .option("path", scratch_dir(spark, name)).saveAsTable(table)
+    )
+    return table, spark.table(table)
+
+
 def write_scored(df: DataFrame, path: str, write: bool = True) -> None:
     """Append scored records as JSON lines; with ``write`` off only the first hundred."""
     rows = df if write else df.where(F.col("cnt") <= FIRST_ROWS)
