@@ -16,6 +16,7 @@ from turnloom.functions.lists import let
 from turnloom.functions.ngrams import bleu_scores, ngrams
 from turnloom.functions.numbers import beam_softmax, format_scores, fixed4
 from turnloom.operators import candidates, positions
+from turnloom.operators.joins import eval_join
 from turnloom.operators.prepare import exclude_topics
 from turnloom.sources.sinks import written
 
@@ -166,13 +167,36 @@ def summary(df: DataFrame) -> DataFrame:
     )
 
 
-def item_hit_inspired(gen: DataFrame, samples: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def _share_of_samples(
+    rows: DataFrame, samples: DataFrame, hits: dict[str, Column], by: Sequence[str],
+    per: Sequence[str],
+) -> DataFrame:
+    """Sums of hit flags over the answered rows, divided by the number of all sample rows."""
+    sums = rows.groupBy(*per, *by).agg(
+        *[F.coalesce(F.sum(h.cast("int")), F.lit(0)).alias(n) for n, h in hits.items()]
+    )
+    if by:
+        totals = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"))
+        joined = totals.join(sums, list(by), "inner" if per else "left")
+        size = F.col("_all")
+    else:
+        joined, size = sums, samples.agg(F.count(F.lit(1)).alias("_all")).scalar()
+    return joined.select(
+        *per, *by, *[(F.coalesce(F.col(n), F.lit(0)) / size).alias(n) for n in hits]
+    )
+
+
+def item_hit_inspired(
+    gen: DataFrame, samples: DataFrame, by: Sequence[str] = (), per: Sequence[str] = ()
+) -> DataFrame:
     """Share of all sample rows whose label is part of the conclusion of the answer, exact
-    characters; a sample without an answer counts as a miss."""
+    characters; a sample without an answer counts as a miss.
+
+    ``by`` are columns of the samples, ``per`` columns of the answers (such as the epoch).
+    """
     tail = text.after_last(joined_beams(), fv.CONCLUSION)
-    rows = samples.select("idx", "label", *by).join(gen.select("idx", "beams"), "idx", "left")
-    hit = F.coalesce(F.contains(tail, F.col("label")).cast("int"), F.lit(0))
-    return rows.groupBy(*by).agg((F.sum(hit) / F.count(F.lit(1))).alias("hit1"))
+    rows = gen.select("idx", "beams", *per).join(samples.select("idx", "label", *by), "idx")
+    return _share_of_samples(rows, samples, {"hit1": F.contains(tail, F.col("label"))}, by, per)
 
 
 def exact_item_flag() -> Column:
@@ -193,11 +217,12 @@ def exact_item_flag() -> Column:
 def item_hit_exact(
     gen: DataFrame, samples: DataFrame,
     exclude: tuple[str, ...] = fv.NO_RECOMMENDATION_TOPICS, by: Sequence[str] = (),
+    per: Sequence[str] = (),
 ) -> DataFrame:
     """Share of exact topic matches among the answered rows with a topic to recommend."""
     kept = exclude_topics(samples.select("idx", "topic", *by), exclude)
-    rows = gen.select("idx", "beams").join(kept, "idx")
-    return rows.groupBy(*by).agg(F.avg(exact_item_flag()).alias("hit1"))
+    rows = gen.select("idx", "beams", *per).join(kept, "idx")
+    return rows.groupBy(*per, *by).agg(F.avg(exact_item_flag()).alias("hit1"))
 
 
 def context_append(df: DataFrame) -> DataFrame:
@@ -207,16 +232,15 @@ def context_append(df: DataFrame) -> DataFrame:
 
 
 def reranked(
-    gen: DataFrame, samples: DataFrame, know: DataFrame, by: Sequence[str] = ()
+    gen: DataFrame, samples: DataFrame, know: DataFrame, by: Sequence[str] = (),
+    per: Sequence[str] = (),
 ) -> DataFrame:
-    """Every sample with ``base``, ``picked`` and ``reranked`` passages (raw, uncut)."""
+    """Every answered sample with ``base``, ``picked`` and ``reranked`` passages (raw, uncut)."""
     base = know.select("idx", candidates.rerank_base().alias("base"))
     answers = gen.select(
-        "idx", text.after_last(joined_beams(), fv.EVAL_RESPONSE_MARKER).alias("gen")
-    )
-    rows = samples.select("idx", "target_knowledge", *by).join(answers, "idx", "left").join(
-        base, "idx", "left"
+        "idx", *per, text.after_last(joined_beams(), fv.EVAL_RESPONSE_MARKER).alias("gen")
     )
+    rows = eval_join(answers, samples.select("idx", "target_knowledge", *by), base)
     picked = rows.withColumn("picked", candidates.passage_picks("gen", "base"))
     return picked.withColumn(
         "reranked", F.concat("picked", candidates.unpicked("base", "picked"))
@@ -225,26 +249,18 @@ def reranked(
 
 def passage_hit_at_k(
     gen: DataFrame, samples: DataFrame, know: DataFrame, ks: Sequence[int] = (1, 2, 3, 4),
-    by: Sequence[str] = (),
+    by: Sequence[str] = (), per: Sequence[str] = (),
 ) -> DataFrame:
     """Share of all sample rows whose target is among the first k re-ranked passages."""
-    place = F.coalesce(
-        F.array_position("reranked", F.col("target_knowledge")), F.lit(0)
-    ).alias("place")
-    rows = reranked(gen, samples, know, by).select(*by, place)
-    return rows.groupBy(*by).agg(*[
-        (F.sum(F.col("place").between(1, k).cast("int")) / F.count(F.lit(1))).alias(f"hit{k}")
-        for k in ks
-    ])
-
-
-def rerank_table(
-    gen: DataFrame, samples: DataFrame, know: DataFrame
-) -> DataFrame:
+    place = F.array_position("reranked", F.col("target_knowledge")).alias("place")
+    rows = reranked(gen, samples, know, by, per).select(*per, *by, place)
+    hits = {f"hit{k}": F.col("place").between(1, k) for k in ks}
+    return _share_of_samples(rows, samples, hits, by, per)
+
+
+def rerank_table(gen: DataFrame, samples: DataFrame, know: DataFrame) -> DataFrame:
     """The picked passages per row in the shape of a knowledge table."""
-    return reranked(gen, samples, know).select(
-        "idx", F.coalesce("picked", F.array().cast("array<string>")).alias("predicted_know")
-    )
+    return reranked(gen, samples, know).select("idx", F.col("picked").alias("predicted_know"))
 
 
 def beams_reshape(df: DataFrame, num_beams: int) -> DataFrame:

@@ -51,10 +51,24 @@ class Tables:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key in _STORED and self.spark.catalog.tableExists(_STORED[key]):
             return self.spark.table(_STORED[key])
-        table, df = bucketed(derive(), name)
+        table, df = bucketed(derive(), name, buckets=self.buckets())
         _STORED[key] = table
         return df
 
+    def buckets(self) -> int:
+        """Eight per input split, at most the shuffle width: small tables get few files."""
+        splits = sum(
+            self.read(name).rdd.getNumPartitions() for name in ("conversations", "documents")
+        )
+        return min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 8 * splits)
+
+    def store_all(self) -> None:
+        """Derive and store every table now."""
+        self.samples()
+        self.knowledge()
+        for task in "IPR":
+            self.generations(task)
+
     def samples(self, passages: bool = True) -> DataFrame:
         """The sample table, with or without the three gold-passage columns."""
         rows = self._stored("samples", self.derive_samples)
