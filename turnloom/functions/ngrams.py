@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from turnloom.fixed_values import WHITESPACE
+from turnloom.functions.tokens import WORD
 
 _NO_GRAMS = "cast(array() as array<string>)"
 
@@ -18,7 +18,7 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def _words(text: str) -> str:
-    return f"regexp_extract_all({text}, r'[^{WHITESPACE}]+', 0)"
+    return f"regexp_extract_all({text}, r'{WORD}', 0)"
 
 
 def _ngrams(tokens: str, k: int) -> str:

@@ -10,13 +10,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from turnloom.fixed_values import IGNORED_LABEL, WHITESPACE
+from turnloom.fixed_values import IGNORED_LABEL
 from turnloom.functions.text import col, strip
 
-_W = f"[{WHITESPACE}]"
-_S = f"[^{WHITESPACE}]"
+# The white space set as a shorthand class, which Java tests about eight times as fast as the
+# list of its characters; the separators 1c to 1f are no Unicode white space.
+_W = r"[\s\x1c-\x1f]"
+_S = r"[^\s\x1c-\x1f]"
+WORD = f"(?U){_S}+"
 EOS = "</s>"
 
 
@@ -32,8 +36,6 @@ class Tokenizer:
     eos_id: int
 
     def cut(self, c: Column, n: int, tail: bool = False) -> Column:
-        import pandas as pd
-
         encode, decode = self.encode, self.decode
 
         def one(text):
@@ -49,21 +51,32 @@ class Tokenizer:
         return cut_batch(c)
 
     def cut_list(self, c: Column, n: int) -> Column:
-        import pandas as pd
-
         encode, decode = self.encode, self.decode
 
+        def cut(xs):
+            return None if xs is None else [decode(encode(x)[:n]).strip() for x in xs]
+
         @F.pandas_udf("array<string>")
-        def cut_lists(lists: pd.Series) -> pd.Series:
-            return lists.map(
-                lambda xs: None if xs is None else [decode(encode(x)[:n]).strip() for x in xs]
-            )
+        def cut_batch(lists: pd.Series) -> pd.Series:
+            return lists.map(cut)
 
-        return cut_lists(c)
+        return cut_batch(c)
 
-    def ids(self, c: Column) -> Column:
-        import pandas as pd
+    def cut_lists(self, c: Column, n: int) -> Column:
+        encode, decode = self.encode, self.decode
 
+        def cut(lists):
+            if lists is None:
+                return None
+            return [[decode(encode(x)[:n]).strip() for x in xs] for xs in lists]
+
+        @F.pandas_udf("array<array<string>>")
+        def cut_batch(rows: pd.Series) -> pd.Series:
+            return rows.map(cut)
+
+        return cut_batch(c)
+
+    def ids(self, c: Column) -> Column:
         encode = self.encode
 
         @F.pandas_udf("array<int>")
@@ -75,17 +88,17 @@ class Tokenizer:
 
 def words(c: Column | str) -> Column:
     """Words without white space, as used for n-grams."""
-    return F.regexp_extract_all(col(c), F.lit(f"{_S}+"), F.lit(0))
+    return F.regexp_extract_all(col(c), F.lit(WORD), F.lit(0))
 
 
 def tokens(c: Column | str) -> Column:
     """Native tokens: each word with the white space before it."""
-    return F.regexp_extract_all(col(c), F.lit(f"{_W}*{_S}+"), F.lit(0))
+    return F.regexp_extract_all(col(c), F.lit(f"(?U){_W}*{_S}+"), F.lit(0))
 
 
 def _first_tokens(c: Column, n: int) -> Column:
     # Possessive, so the match is a loop that stops after n words whatever the text's length.
-    return F.regexp_extract(c, rf"\A(?:{_W}*+{_S}++){{0,{n}}}+(?:{_W}*+\z)?", 0)
+    return F.regexp_extract(c, rf"(?U)\A(?:{_W}*+{_S}++){{0,{n}}}+(?:{_W}*+\z)?", 0)
 
 
 def truncate_head(c: Column | str, n: int, tok: Tokenizer | None = None) -> Column:
@@ -111,18 +124,9 @@ def truncate_list(arr: Column | str, n: int, tok: Tokenizer | None = None) -> Co
 
 def truncate_lists(arr: Column | str, n: int, tok: Tokenizer | None = None) -> Column:
     """The same for a list per topic."""
-    if tok is None:
-        return F.transform(col(arr), lambda ps: truncate_list(ps, n))
-    # One call for all lists of the row, then cut back to the old lengths.
-    flat = tok.cut_list(F.flatten(col(arr)), n)
-    ends = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(col(arr)), F.lit(1))),
-        lambda i: F.aggregate(F.slice(col(arr), F.lit(1), i), F.lit(0), lambda a, x: a + F.size(x)),
-    )
-    return F.transform(
-        F.arrays_zip(col(arr).alias("old"), ends.alias("end")),
-        lambda z: F.slice(flat, z["end"] - F.size(z["old"]) + 1, F.size(z["old"])),
-    )
+    if tok:
+        return tok.cut_lists(col(arr), n)
+    return F.transform(col(arr), lambda ps: truncate_list(ps, n))
 
 
 def truncate_profile(c: Column | str, n: int = 200, tok: Tokenizer | None = None) -> Column:

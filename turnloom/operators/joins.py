@@ -60,14 +60,21 @@ def first_occurrence(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
 def known_positions(df: DataFrame, topics: DataFrame) -> DataFrame:
     """(idx, kept): first positions of the predicted topics found in the dictionary.
 
-    Only (idx, position, topic) is exploded and shuffled.
+    Repeats are dropped inside the row; only (idx, position, topic) is exploded and shuffled.
     """
-    exploded = df.select("idx", F.posexplode("predicted_topic").alias("pos", "predicted_topic"))
-    known = topic_semi(exploded, topics, salt=F.struct("idx", "pos"))
-    return (
-        known.groupBy("idx", "predicted_topic").agg(F.min("pos").alias("pos"))
-        .groupBy("idx").agg(F.array_sort(F.collect_list("pos")).alias("kept"))
+    firsts = F.filter(
+        F.transform(
+            "predicted_topic",
+            lambda t, i: F.when(
+                F.array_position("predicted_topic", t) == i + 1,
+                F.struct(i.alias("pos"), t.alias("predicted_topic")),
+            ),
+        ),
+        lambda x: x.isNotNull(),
     )
+    exploded = df.select("idx", F.inline(firsts))
+    known = topic_semi(exploded, topics, salt=F.struct("idx", "pos"))
+    return known.groupBy("idx").agg(F.array_sort(F.collect_list("pos")).alias("kept"))
 
 
 def keep_positions(df: DataFrame, kept: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from turnloom import fixed_values as fv
 from turnloom.functions import text
@@ -277,12 +277,11 @@ def pad_batches(
 ) -> DataFrame:
     """Left-pad every row to the longest of its batch, rounded up to a multiple.
 
-    A batch is a fixed number of rows, so grouping by it is never large; only lengths are
-    aggregated.
+    A batch is a fixed number of rows, so the window over it is never large.
     """
-    batched = df.withColumn("batch", F.floor(F.col(idx) / batch))
-    longest = batched.groupBy("batch").agg(F.max(F.size(ids)).alias("_longest"))
-    joined = batched.join(longest, "batch")
+    batched = df.withColumn("batch", positions.block_start(F.col(idx), batch) / batch)
+    batched = batched.withColumn("batch", F.col("batch").cast("bigint"))
+    joined = batched.withColumn("_longest", F.max(F.size(ids)).over(W.partitionBy("batch")))
     width = (F.ceil(F.col("_longest") / multiple) * multiple).cast("int")
     gap = width - F.size(ids)
     return joined.withColumns({

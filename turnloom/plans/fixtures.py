@@ -29,6 +29,11 @@ CONFIDENCES = (0.5, 0.25, 0.125, 0.0625, 0.03125)
 GOALS = ("Movie recommendation", "Food recommendation", "Chat about stars", "Q&A")
 
 
+GIVEN = {
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+}
 GOLD_COLUMNS = ("target_knowledge", "gpt_selection", "candidate_knowledges_gpt")
 
 # Tables that were stored by this application: (application, folder, name) to table name.
@@ -83,7 +88,8 @@ class Tables:
         return self._stored(f"generations_{task}", lambda: self.derive_generations(task))
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """One of the given tables; the schema is stated, so no file is opened for planning."""
+        return self.spark.read.schema(GIVEN[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     def items(self) -> DataFrame:
         return self.read("supplier").select(

@@ -59,10 +59,10 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_templates(spark: SparkSession, path: str) -> dict[str, dict[str, str]]:
-    """The templates as planning-time literals: one short text per prompt name."""
+    """The templates as planning-time literals: one short row per prompt name."""
     return {
         r["name"]: {k: r[k] or "" for k in ("prompt_input", "prompt_no_input", "response_split")}
-        for r in read_templates(spark, path).toLocalIterator()
+        for r in read_templates(spark, path).collect()
     }
 
 
