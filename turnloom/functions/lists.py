@@ -56,8 +56,9 @@ def negatives(arr: Column | str, positives: Column | str) -> Column:
 
 
 def _mention(passage: Column, topic: Column, nbsp: bool) -> Column:
+    # The topic is stripped, so stripping the passage could not change the answer.
     text = replace(passage, NBSP, " ") if nbsp else passage
-    return F.contains(strip(F.lower(text)), topic)
+    return F.contains(F.lower(text), topic)
 
 
 def mentions(arr: Column | str, topic: Column | str) -> Column:

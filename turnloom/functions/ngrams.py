@@ -42,7 +42,7 @@ def _occurrences(grams: str) -> str:
     run = "sequence(1, coalesce(get(b, j + 1), size(s) + 1) - start)"
     tags = f"flatten(transform(b, (start, j) -> transform({run}, r -> concat(get(s, start - 1), ' #', r))))"
     return _let(
-        f"array_sort({grams})", "s", f"if(size(s) > 0, {_let(starts, 'b', tags)}, {_NO_GRAMS})"
+        f"sort_array({grams})", "s", f"if(size(s) > 0, {_let(starts, 'b', tags)}, {_NO_GRAMS})"
     )
 
 

@@ -36,7 +36,7 @@ def shuffled(arr: Column | str, seed: Part, idx: Column | str, stream: str, *par
             draw_key(seed, idx, stream, *parts, i).alias("key"), i.alias("pos"), x.alias("value")
         ),
     )
-    return F.transform(F.array_sort(keyed), lambda s: s["value"])
+    return F.transform(F.sort_array(keyed), lambda s: s["value"])
 
 
 def random_passages(

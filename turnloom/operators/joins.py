@@ -74,7 +74,7 @@ def known_positions(df: DataFrame, topics: DataFrame) -> DataFrame:
     )
     exploded = df.select("idx", F.inline(firsts))
     known = topic_semi(exploded, topics, salt=F.struct("idx", "pos"))
-    return known.groupBy("idx").agg(F.array_sort(F.collect_list("pos")).alias("kept"))
+    return known.groupBy("idx").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
 
 
 def keep_positions(df: DataFrame, kept: DataFrame) -> DataFrame:

@@ -36,13 +36,16 @@ def joined_beams() -> Column:
 
 
 def hit_flags(ks: Sequence[int] = HIT_KS) -> Column:
-    """Per k: is the label part of the first k beams (stripped, lower case)?"""
+    """Per k: is the stripped label part of the first k beams, in lower case?
+
+    Stripping the beams as well could not change the answer.
+    """
     label = F.lower(text.strip("label"))
     return let(
         label,
         lambda l: F.array(*[
             F.contains(
-                F.lower(text.strip(F.array_join(F.slice("beams", 1, k), fv.HIT_JOINER))), l
+                F.lower(F.array_join(F.slice("beams", 1, k), fv.HIT_JOINER)), l
             ).cast("int")
             for k in ks
         ]),
@@ -122,12 +125,12 @@ def running_metrics(df: DataFrame, block: int = positions.BLOCK) -> DataFrame:
 
 
 def substring_flags(df: DataFrame) -> DataFrame:
-    """Case-sensitive substring tests on stripped texts; an empty needle is found."""
-    beam, label, prompt = text.strip(first_beam()), text.strip("label"), text.strip("prompt")
+    """Case-sensitive tests for a stripped text inside another; an empty text is found."""
+    beam, label = text.strip(first_beam()), text.strip("label")
     return df.withColumns({
-        "contain": F.contains(prompt, beam),
-        "llama_hit": F.contains(beam, label),
-        "espresso_hit": F.contains(prompt, label),
+        "contain": F.contains("prompt", beam),
+        "llama_hit": F.contains(first_beam(), label),
+        "espresso_hit": F.contains("prompt", label),
     })
 
 
@@ -266,7 +269,7 @@ def rerank_table(gen: DataFrame, samples: DataFrame, know: DataFrame) -> DataFra
 def beams_reshape(df: DataFrame, num_beams: int) -> DataFrame:
     """(pos, text) rows of a flat answer list to one row per ``num_beams`` answers."""
     grouped = df.groupBy(F.floor(F.col("pos") / num_beams).alias("idx")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_rows")
+        F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("_rows")
     )
     return grouped.select("idx", F.transform("_rows", lambda r: r["text"]).alias("beams"))
 

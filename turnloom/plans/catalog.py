@@ -839,11 +839,13 @@ def beams_reshape(t):
 @query("stream_metrics")
 def stream_metrics(t):
     path = sinks.scratch_dir(t.spark, "stream")
-    t.generations("R").repartition(4, "idx").write.parquet(f"{path}/generations")
+    t.generations("R").write.parquet(f"{path}/generations")
     labelled = t.samples(False).select(
         "idx", "split", "topic", prepare.pick_label("R").alias("label"))
     samples = sinks.written(labelled, "stream-samples")
-    stream = readers.stream_generations(t.spark, f"{path}/generations")
+    # Two triggers, whatever the number of files.
+    stream = readers.stream_generations(
+        t.spark, f"{path}/generations", files_per_trigger=max(1, t.buckets() // 2))
     running.run_available(
         running.stream_metrics(stream, samples, by=BY_SPLIT), f"{path}/out", f"{path}/checkpoint")
     return rounded(running.latest(t.spark, f"{path}/out"), "split", "cnt")

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnloom.fixed_values import NBSP, TURN_SEPARATOR
 from turnloom.operators.positions import block_start, dense_positions
+from turnloom.sources.session import wide_rows
 from turnloom.sources.sinks import bucketed
 
 CONTEXT_TURNS = 7
@@ -49,7 +50,7 @@ class Tables:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark = wide_rows(spark)
         self.sf_dir = sf_dir
 
     def _stored(self, name: str, derive: Callable[[], DataFrame]) -> DataFrame:
@@ -111,7 +112,7 @@ class Tables:
             .otherwise(F.concat(F.lit("About "), "item", F.lit(": "), "text"))
         )
         return docs.groupBy("ord").agg(
-            F.array_sort(F.collect_list(F.struct("doc_id", text.alias("passage")))).alias("p")
+            F.sort_array(F.collect_list(F.struct("doc_id", text.alias("passage")))).alias("p")
         ).select("ord", F.transform("p", lambda s: s["passage"]).alias("passages"))
 
     def base(self) -> DataFrame:
@@ -138,7 +139,7 @@ class Tables:
         return sent.groupBy("conv_id", "turn").agg(
             F.array_join(
                 F.transform(
-                    F.array_sort(F.collect_list(F.struct("said", "text"))), lambda s: s["text"]
+                    F.sort_array(F.collect_list(F.struct("said", "text"))), lambda s: s["text"]
                 ),
                 TURN_SEPARATOR,
             ).alias("context")
@@ -169,7 +170,7 @@ class Tables:
         )
         names = named.groupBy("idx").agg(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda s: s["item"]
+                F.sort_array(F.collect_list(F.struct("pos", "item"))), lambda s: s["item"]
             ).alias("names")
         )
         rows = base.join(names, "idx").join(self.dialogs(), ["conv_id", "turn"])
@@ -232,7 +233,7 @@ class Tables:
             "idx", "pos", F.coalesce("passages", F.array().cast("array<string>")).alias("passages")
         )
         return lists.groupBy("idx").agg(
-            F.array_sort(F.collect_list(F.struct("pos", "passages"))).alias("k")
+            F.sort_array(F.collect_list(F.struct("pos", "passages"))).alias("k")
         ).select("idx", F.transform("k", lambda s: s["passages"]).alias("predicted_know"))
 
     def derive_generations(self, task: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnloom.sources import schemas
+from turnloom.sources.session import wide_rows
 
 
 def read_samples(spark: SparkSession, path: str, split: str, fmt: str = "parquet") -> DataFrame:
@@ -39,7 +40,7 @@ def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
 
 def read_knowledge_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Passages from a splittable table with an explicit index."""
-    return spark.read.schema(schemas.KNOWLEDGE).format(fmt).load(path)
+    return wide_rows(spark).read.schema(schemas.KNOWLEDGE).format(fmt).load(path)
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:

@@ -75,7 +75,7 @@ def write_layout(
 def write_knowledge(df: DataFrame, path: str, block: int = 100) -> None:
     """Passages as JSON array files of ``block`` rows below ``start=N`` directories."""
     blocks = df.groupBy(block_start(F.col("idx"), block).alias("start")).agg(
-        F.array_sort(F.collect_list(F.struct("idx", "predicted_know"))).alias("rows")
+        F.sort_array(F.collect_list(F.struct("idx", "predicted_know"))).alias("rows")
     )
     arrays = F.to_json(
         F.transform("rows", lambda r: F.struct(r["predicted_know"].alias("predicted_know")))
