@@ -1,8 +1,6 @@
 """Prompts and labels: exact texts on hand-made rows."""
 
 import pytest
-from pyspark.sql import functions as F
-
 from turnloom import fixed_values as fv
 from turnloom.operators import labels, render
 from turnloom.settings import Settings

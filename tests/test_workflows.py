@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnloom.functions.tokens import Tokenizer
-from turnloom.operators import joins, labels, positions, prepare
+from turnloom.operators import joins, labels, positions, prepare, render
 from turnloom.plans import workflows
 from turnloom.settings import RECIPES, Settings
 
@@ -138,6 +138,20 @@ def test_epochs_draw_anew(tables):
     assert texts(0) == texts(0) != texts(1)
 
 
+def test_unused_lists_change_nothing(tables):
+    """Leaving out the passage lists no prompt can use gives the same prompts and examples."""
+    samples, know = tables.samples(), tables.knowledge()
+    for cfg in (RECIPES["durec_item"], RECIPES["durec_passage"], RECIPES["inspired_response"]):
+        whole = joins.merge_knowledge(
+            prepare.clean_samples(samples, cfg), prepare.cut_knowledge(know, cfg.passage_cutoff), cfg.combined)
+        short = prepare.prepare(samples, know, cfg)
+        assert short.selectExpr("max(size(predicted_know)) AS n").first().n == cfg.lists_needed
+        for build in (render.build_prompts, labels.train_texts):
+            texts = [{r.idx: r.prompt for r in build(rows, cfg).select("idx", "prompt").collect()}
+                     for rows in (whole, short)]
+            assert texts[0] == texts[1]
+
+
 def test_merge_doubles_the_rows(tables):
     cfg = Settings(prompt="DP2R_inspired", positive="target", merge=True, force_topic=True)
     out = workflows.training_table(tables.samples(), tables.knowledge(), cfg)

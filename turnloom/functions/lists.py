@@ -15,7 +15,6 @@ from turnloom.fixed_values import NBSP
 from turnloom.settings import ALL
 
 
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it any number of times in ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from turnloom import fixed_values as fv
 from turnloom.functions import text, tokens
-from turnloom.functions.lists import let
+from turnloom.functions.lists import let, take
 from turnloom.functions.tokens import Tokenizer
 from turnloom.operators import joins, positions
 from turnloom.settings import Settings
@@ -70,14 +70,16 @@ def prepare(
 ) -> DataFrame:
     """Samples with passages, cleaned, cut and labelled.
 
-    Both sides are cut before the join, so the shuffle carries the short passages only.
+    Both sides are cut before the join, so the shuffle carries the short passages only; passage
+    lists that no prompt or example of these settings can use are left out first.
     """
     if cfg.debug:
         samples = positions.head_tail(samples)
     if cfg.test_continue:
         samples = positions.resume_from(samples, cfg.test_continue)
     off = cfg.disable_know if disable_know is None else disable_know
-    short = know if off else cut_knowledge(know, cfg.passage_cutoff, tok)
+    used = know.withColumn("predicted_know", take("predicted_know", cfg.lists_needed))
+    short = know if off else cut_knowledge(used, cfg.passage_cutoff, tok)
     merged = joins.merge_knowledge(clean_samples(samples, cfg, tok), short, cfg.combined, off)
     if cfg.db_check:
         if topics is None:

@@ -80,6 +80,17 @@ class Settings:
             return "pretrain"
         raise ValueError(f"prompt {self.prompt!r} names no task")
 
+    @property
+    def lists_needed(self) -> int:
+        """How many of a row's passage lists, from the first on, can be used at all."""
+        if self.db_check:
+            return ALL
+        if not self.combined:
+            return 1
+        if self.selected_topic or self.item_random_negative:
+            return ALL
+        return self.topk_topic
+
     @property
     def item_word(self) -> str:
         return "Item" if self.inspired or self.redial else "Topic"
