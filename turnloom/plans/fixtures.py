@@ -9,7 +9,8 @@ items        one per supplier, ``ord`` its key; n of them
 passages     every document belongs to item ``doc_id % n``; every eleventh is empty, every third
              does not mention its item
 samples      one per assistant turn, in (conv_id, turn) order
-dialog       the turns of the context window before the reply
+dialog       the turns of the context window before the reply; the given conversations have at
+             most eight turns, so it holds their whole history
 knowledge    five predicted items per sample with all their passages
 generations  answers for the tasks I, P and R
 """
