@@ -335,3 +335,23 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = """
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s
+  from words),
+grams as (select doc_id, len(s) as n, unnest(s) as g from sets),
+links as (
+  select a.doc_id as x, b.doc_id as y from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both as (select x, y from links union all select y, x from links),
+reach(x, y) as (select x, y from both union select r.x, b.y from reach r join both b on r.y = b.x)
+select doc_id, len(s)::bigint as n_shingles,
+  least(doc_id, coalesce((select min(y) from reach where x = doc_id), doc_id)) as component_id
+from sets
+"""
