@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from turnloom.llm import text as T
@@ -202,16 +202,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return measured.where(F.col("common") * (num + den) >= F.col("total") * num).select("a", "b")
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    return written(components(links), "labels")
-
-
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    found = labels.select(F.col("node").alias("id"), F.col("component").alias("_label"))
-    return members.drop("label").join(found, "id", "left").withColumn(
-        "label", F.coalesce("_label", "id")).drop("_label")
-
-
 def classes(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     """id, n (set size), h1, h2 (digest), rep (smallest identifier with an equal set), rows.
 
@@ -237,15 +227,11 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     of = classes(docs, doc_id, text, n)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     rows = rows.where(F.col("id").isNotNull())
-    emitted = rows.mapInArrow(_signatures(n, num, den), SIGNATURES).repartition("sig")
-    shared = emitted.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    found = written(emitted.join(shared.select("sig"), "sig", "left_semi"), "members")
-
+    emitted = rows.mapInArrow(_signatures(n, num, den), SIGNATURES)
+    found = written(_several(emitted, "id").select("sig", "id"), "members")
     reps = of.select("id", "rep").distinct()
-    grouped = found.join(reps, "id").select("sig", F.col("rep").alias("id")).distinct()
-    several = grouped.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    members = grouped.join(several.select("sig"), "sig", "left_semi")
-    members = written(members, "members")
+    grouped = found.join(reps, "id").select("sig", F.col("rep").alias("id"))
+    members = written(_several(grouped, "id").select("sig", "id").distinct(), "members")
     wanted = members.select("id").distinct()
     texts = rows.join(wanted, "id", "left_semi")
     own = of.where("rows > 1").select("id", "n", "h1", "h2", "rows")
@@ -260,28 +246,26 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     parts = [F.conv(F.hex(F.substring("sketch", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"s{i}")
              for i in range(SKETCH)]
     sketches = sets.select("id", "n", *parts)
-    narrow = written(members.join(sketches, "id"), "members")
 
-    near = None
-    labelled = narrow.withColumn("label", F.col("id"))
-    tried = None
+    near = tried = None
+    open_ = members.withColumn("label", F.col("id"))
     for turn in range(2):
-        centre = F.min_by("id", F.xxhash64("sig", "id")) if turn else F.min("id")
-        centres = labelled.groupBy("sig").agg(
-            centre.alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")
-        ).where("lo < hi").select("sig", "c")
-        pairs = labelled.join(centres, "sig").where("id <> c").select(
+        group = W.partitionBy("sig")
+        centre = (F.min_by("id", F.xxhash64("sig", "id")) if turn else F.min("id")).over(group)
+        pairs = open_.withColumn("c", centre).where("id <> c").select(
             F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        pairs = _filtered(pairs, labelled, sketches, tried, num, den)
+        pairs = _filtered(pairs, open_, sketches, tried, num, den)
         good = written(_verified(pairs, sets, num, den), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         near = good if near is None else near.unionByName(good)
-        labelled = _labelled(narrow, _labels(near))
-
-    mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(
-        "lo < hi").select("sig")
-    open_ = written(labelled.join(mixed, "sig", "left_semi"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
+        labels = written(components(near), "labels").select(
+            F.col("node").alias("id"), F.col("component").alias("_label"))
+        labelled = open_.drop("label").join(labels, "id", "left").select(
+            "sig", "id", F.coalesce("_label", "id").alias("label"))
+        open_ = written(_several(labelled, "label").select("sig", "id", "label"), "open")
+
+    sketched = open_.join(sketches, "id")
+    x, y = sketched.alias("x"), sketched.alias("y")
     rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id"))
                   & (F.col("x.label") != F.col("y.label")) & _near("x", "y", num, den))
     rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(
@@ -290,10 +274,17 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     return of, near.unionByName(last)
 
 
-def _filtered(pairs: DataFrame, labelled: DataFrame, sketches: DataFrame, tried: DataFrame | None,
+def _several(members: DataFrame, column: str) -> DataFrame:
+    """The rows of signatures under which a column has more than one value (one shuffle)."""
+    group = W.partitionBy("sig")
+    return members.select("*", F.min(column).over(group).alias("_lo"),
+                          F.max(column).over(group).alias("_hi")).where("_lo < _hi")
+
+
+def _filtered(pairs: DataFrame, members: DataFrame, sketches: DataFrame, tried: DataFrame | None,
               num: int, den: int) -> DataFrame:
     """Pairs that sizes, sketches and labels leave open and that were not compared before."""
-    labels = labelled.select("id", "label").distinct()
+    labels = members.select("id", "label").distinct()
     own = sketches.join(labels, "id")
     x, y = own.alias("x"), own.alias("y")
     kept = pairs.alias("p").join(x, F.col("p.a") == F.col("x.id")).join(y, F.col("p.b") == F.col("y.id")).where(
@@ -349,8 +340,8 @@ grams as (select doc_id, len(s) as n, unnest(s) as g from sets),
 links as (
   select a.doc_id as x, b.doc_id as y from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id
   group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
-both as (select x, y from links union all select y, x from links),
-reach(x, y) as (select x, y from both union select r.x, b.y from reach r join both b on r.y = b.x)
+sym as (select x, y from links union all select y, x from links),
+reach(x, y) as (select x, y from sym union select r.x, b.y from reach r join sym b on r.y = b.x)
 select doc_id, len(s)::bigint as n_shingles,
   least(doc_id, coalesce((select min(y) from reach where x = doc_id), doc_id)) as component_id
 from sets
