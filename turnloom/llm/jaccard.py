@@ -38,9 +38,9 @@ PARTS = 3  # n2
 SKETCH = 4  # words of 64 bits
 SIGNATURES = StructType([StructField("sig", LongType()), StructField("id", LongType())])
 DIGESTS = StructType([StructField("id", LongType()), StructField("n", LongType()),
-                      StructField("h1", LongType()), StructField("h2", LongType())])
-SETS = StructType([*DIGESTS.fields,
-                   StructField("sketch", BinaryType()), StructField("grams", BinaryType())])
+                      StructField("h1", LongType()), StructField("h2", LongType()),
+                      StructField("sketch", BinaryType()), StructField("wide", BinaryType())])
+SETS = StructType([*DIGESTS.fields[:4], StructField("grams", BinaryType())])
 
 
 @lru_cache(maxsize=1 << 16)
@@ -107,10 +107,11 @@ def _digest(grams: np.ndarray) -> tuple[int, int]:
 def _digests(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(g), *_digest(g)) for g in T.shingle_sets(batch.column(1), n)]
-            columns = list(zip(*rows)) or [(), (), ()]
+            rows = [(len(g), *_digest(g), *_sketches(g)) for g in T.shingle_sets(batch.column(1), n)]
+            types = [pa.int64()] * 3 + [pa.binary()] * 2
+            columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], DIGESTS.names)
+                [batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types)]], DIGESTS.names)
 
     return run
 
@@ -142,10 +143,30 @@ def _signatures(n: int, num: int, den: int):
     return run
 
 
-def _sketch(grams: np.ndarray) -> bytes:
-    """Parity of the features per bit; differing bits bound the differing features from below."""
-    bits = T.mix(grams + np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * SKETCH)
-    return np.packbits((np.bincount(bits.astype(np.int64), minlength=64 * SKETCH) & 1).astype(bool)).tobytes()
+def _sketches(grams: np.ndarray) -> tuple[bytes, bytes]:
+    """Parity of the features per bit, over 256 bits and over the power of two at or above the size.
+
+    Differing bits bound the differing features from below.
+    """
+    hashed = T.mix(grams + np.uint64(0x2545F4914F6CDD1D))
+    out = []
+    for width in (64 * SKETCH, max(64 * SKETCH, 1 << (max(len(grams), 1) - 1).bit_length())):
+        bits = (hashed % np.uint64(width)).astype(np.int64)
+        odd = np.bincount(bits, minlength=width) & 1
+        out.append(np.packbits(odd.astype(bool)).tobytes())
+    return out[0], out[1]
+
+
+@F.arrow_udf(LongType())
+def _apart(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Differing bits of two wide sketches; the longer one is folded to the other's width."""
+    out = []
+    for a, b in zip(left, right):
+        x, y = np.frombuffer(a.as_buffer(), np.uint8), np.frombuffer(b.as_buffer(), np.uint8)
+        width = min(len(x), len(y))
+        x, y = (np.bitwise_xor.reduce(v.reshape(-1, width), axis=0) for v in (x, y))
+        out.append(int(np.bitwise_count(x ^ y).sum()))
+    return pa.array(out, pa.int64())
 
 
 def _sets(n: int):
@@ -153,7 +174,7 @@ def _sets(n: int):
         for batch in batches:
             rows, held = [], 0
             for i, grams in zip(batch.column(0).to_pylist(), T.shingle_sets(batch.column(1), n)):
-                rows.append((i, len(grams), *_digest(grams), _sketch(grams), grams.astype("<u8").tobytes()))
+                rows.append((i, len(grams), *_digest(grams), grams.astype("<u8").tobytes()))
                 held += 8 * len(grams)
                 if held > 4 << 20:
                     yield _set_rows(rows)
@@ -165,7 +186,7 @@ def _sets(n: int):
 
 
 def _set_rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64()] * 4 + [pa.binary()] * 2
+    types = [pa.int64()] * 4 + [pa.binary()]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, t) for c, t in zip(zip(*rows), types)], SETS.names)
 
@@ -192,14 +213,20 @@ def _near(a: str, b: str, num: int, den: int) -> Column:
             & (apart * (den + num) <= (den - num) * (n_a + n_b)))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+def _verified(pairs: DataFrame, rows: DataFrame, of: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold; sets are built for the pairs' texts only."""
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    sets = rows.join(wanted, "id", "left_semi").mapInArrow(_sets(n), SETS)
+    own = of.join(wanted, "id", "left_semi").select("id", "n", "h1", "h2")
+    # An identifier may repeat: the row with the set that stands for it, once.
+    sets = written(sets.join(own, ["id", "n", "h1", "h2"], "left_semi").dropDuplicates(["id"]), "sets")
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("g_b"))
     both = pairs.join(left, "a").join(right, "b")
     common = _common("g_a", "g_b")
     measured = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), common.alias("common"))
-    return measured.where(F.col("common") * (num + den) >= F.col("total") * num).select("a", "b")
+    return written(measured.where(F.col("common") * (num + den) >= F.col("total") * num).select("a", "b"),
+                   "links")
 
 
 def classes(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
@@ -210,7 +237,7 @@ def classes(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     digests = rows.where(F.col("id").isNotNull()).mapInArrow(_digests(n), DIGESTS)
     per_id = written(digests.groupBy("id").agg(
-        F.max(F.struct("n", "h1", "h2")).alias("d"), F.count("*").alias("rows")
+        F.max(F.struct("n", "h1", "h2", "sketch", "wide")).alias("d"), F.count("*").alias("rows")
     ).select("id", "d.*", "rows"), "digests")
     repeated = per_id.where("n > 0").groupBy("n", "h1", "h2").agg(
         F.min("id").alias("rep"), F.count("*").alias("ids")).where("ids > 1").drop("ids")
@@ -232,20 +259,10 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     reps = of.select("id", "rep").distinct()
     grouped = found.join(reps, "id").select("sig", F.col("rep").alias("id"))
     members = written(_several(grouped, "id").select("sig", "id").distinct(), "members")
-    wanted = members.select("id").distinct()
-    texts = rows.join(wanted, "id", "left_semi")
-    own = of.where("rows > 1").select("id", "n", "h1", "h2", "rows")
-    every = texts.mapInArrow(_sets(n), SETS).join(
-        own.withColumnsRenamed({"n": "own_n", "h1": "own_h1", "h2": "own_h2"}), "id", "left")
-    single = F.col("rows").isNull()
-    chosen = (F.col("n") == F.col("own_n")) & (F.col("h1") == F.col("own_h1")) & (F.col("h2") == F.col("own_h2"))
-    sets = every.where(single | chosen).select("id", "n", "sketch", "grams", "rows")
-    sets = sets.where(single).unionByName(
-        sets.where(~single).dropDuplicates(["id"])).drop("rows") if own.head(1) else sets.drop("rows")
-    sets = written(sets, "sets")
     parts = [F.conv(F.hex(F.substring("sketch", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"s{i}")
              for i in range(SKETCH)]
-    sketches = sets.select("id", "n", *parts)
+    sketches = written(of.join(members.select("id").distinct(), "id", "left_semi").select(
+        "id", "n", *parts, "wide"), "sketches")
 
     near = tried = None
     open_ = members.withColumn("label", F.col("id"))
@@ -255,7 +272,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
         pairs = open_.withColumn("c", centre).where("id <> c").select(
             F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
         pairs = _filtered(pairs, open_, sketches, tried, num, den)
-        good = written(_verified(pairs, sets, num, den), "links")
+        good = _verified(pairs, rows, of, n, num, den)
         tried = pairs if tried is None else tried.unionByName(pairs)
         near = good if near is None else near.unionByName(good)
         labels = written(components(near), "labels").select(
@@ -264,14 +281,13 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
             "sig", "id", F.coalesce("_label", "id").alias("label"))
         open_ = written(_several(labelled, "label").select("sig", "id", "label"), "open")
 
-    sketched = open_.join(sketches, "id")
+    sketched = open_.join(sketches.drop("wide"), "id")
     x, y = sketched.alias("x"), sketched.alias("y")
     rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id"))
                   & (F.col("x.label") != F.col("y.label")) & _near("x", "y", num, den))
-    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(
-        tried, ["a", "b"], "left_anti")
-    last = written(_verified(rest, sets, num, den), "links")
-    return of, near.unionByName(last)
+    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    rest = _filtered(rest, open_, sketches, tried, num, den)
+    return of, near.unionByName(_verified(rest, rows, of, n, num, den))
 
 
 def _several(members: DataFrame, column: str) -> DataFrame:
@@ -284,11 +300,13 @@ def _several(members: DataFrame, column: str) -> DataFrame:
 def _filtered(pairs: DataFrame, members: DataFrame, sketches: DataFrame, tried: DataFrame | None,
               num: int, den: int) -> DataFrame:
     """Pairs that sizes, sketches and labels leave open and that were not compared before."""
-    labels = members.select("id", "label").distinct()
-    own = sketches.join(labels, "id")
+    own = written(sketches.join(members.select("id", "label").distinct(), "id"), "labelled")
     x, y = own.alias("x"), own.alias("y")
+    room = (den - num) * (F.col("x.n") + F.col("y.n"))
     kept = pairs.alias("p").join(x, F.col("p.a") == F.col("x.id")).join(y, F.col("p.b") == F.col("y.id")).where(
-        _near("x", "y", num, den) & (F.col("x.label") != F.col("y.label"))).select("a", "b")
+        _near("x", "y", num, den) & (F.col("x.label") != F.col("y.label")))
+    kept = kept.select("a", "b", room.alias("room"), _apart("x.wide", "y.wide").alias("apart")).where(
+        F.col("apart") * (den + num) <= F.col("room")).select("a", "b")
     if tried is not None:
         kept = kept.join(tried, ["a", "b"], "left_anti")
     return written(kept, "pairs")
