@@ -35,7 +35,7 @@ from turnloom.llm.components import components
 from turnloom.sources.sinks import written
 
 PARTS = 3  # n2
-SKETCH = 4  # words of 64 bits
+SKETCH = 16  # words of 64 bits
 SIGNATURES = StructType([StructField("sig", LongType()), StructField("id", LongType())])
 DIGESTS = StructType([StructField("id", LongType()), StructField("n", LongType()),
                       StructField("h1", LongType()), StructField("h2", LongType()),
@@ -144,7 +144,7 @@ def _signatures(n: int, num: int, den: int):
 
 
 def _sketches(grams: np.ndarray) -> tuple[bytes, bytes]:
-    """Parity of the features per bit, over 256 bits and over the power of two at or above the size.
+    """Parity of the features per bit, over 1024 bits and over the power of two at or above the size.
 
     Differing bits bound the differing features from below.
     """
