@@ -191,7 +191,7 @@ names AS (
 dialogs AS (
   SELECT b.idx, string_agg(c.text, '[SEP]' ORDER BY c.turn) AS context
   FROM base b JOIN conversations c
-    ON c.conv_id = b.conv_id AND c.turn BETWEEN b.turn - 7 AND b.turn - 1 GROUP BY b.idx),
+    ON c.conv_id = b.conv_id AND c.turn < b.turn GROUP BY b.idx),
 topics AS (
   SELECT idx, names[2:6] AS predicted_topic,
     CASE WHEN idx % 13 = 0 THEN 'Q&A' WHEN idx % 17 = 0 THEN 'Music recommendation'

@@ -165,3 +165,25 @@ def test_dense_positions_do_not_depend_on_partitions(spark):
             df, "idx", positions.block_start(F.col("a"), 100),
             [F.col("a"), positions.block_start(F.col("b"), 4)], [F.col("a"), F.col("b")])
         assert [tuple(r) for r in out.orderBy("idx").collect()] == [(*r, i) for i, r in enumerate(sorted(rows))]
+
+
+def test_padded_batches_pad_their_labels(spark):
+    from pyspark.sql import functions as F
+    from turnloom.operators import metrics
+
+    rows = [(0, [1], [1]), (1, [1, 2, 3], [-100, 2, 3])]
+    df = spark.createDataFrame(rows, "idx long, input_ids array<int>, labels array<int>")
+    for r in metrics.pad_batches(df, 2, F.lit(0)).collect():
+        assert len(r.input_ids) == len(r.attention_mask) == len(r.labels) == 8
+        assert r.labels[:5] == [-100] * 5
+
+
+def test_a_dialog_holds_all_earlier_turns(spark, tmp_path):
+    from turnloom.plans.fixtures import Tables
+
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(20)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(
+        f"{tmp_path}/conversations.parquet")
+    got = {r.turn: r.context for r in Tables(spark, str(tmp_path)).dialogs().collect()}
+    assert got[19] == "[SEP]".join(f"turn {t}" for t in range(19))
+    assert sorted(got) == list(range(1, 20, 2))

@@ -268,7 +268,7 @@ def rerank_table(gen: DataFrame, samples: DataFrame, know: DataFrame) -> DataFra
 
 def beams_reshape(df: DataFrame, num_beams: int) -> DataFrame:
     """(pos, text) rows of a flat answer list to one row per ``num_beams`` answers."""
-    grouped = df.groupBy(F.floor(F.col("pos") / num_beams).alias("idx")).agg(
+    grouped = df.groupBy(F.expr(f"pos div {int(num_beams)}").alias("idx")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("_rows")
     )
     return grouped.select("idx", F.transform("_rows", lambda r: r["text"]).alias("beams"))
@@ -280,14 +280,16 @@ def pad_batches(
 ) -> DataFrame:
     """Left-pad every row to the longest of its batch, rounded up to a multiple.
 
-    A batch is a fixed number of rows, so the window over it is never large.
+    ``labels``, where there are any, get the label that training ignores. A batch is a fixed number of rows, so the window over it is never large.
     """
-    batched = df.withColumn("batch", positions.block_start(F.col(idx), batch) / batch)
-    batched = batched.withColumn("batch", F.col("batch").cast("bigint"))
+    batched = df.withColumn("batch", F.expr(f"`{idx}` div {int(batch)}"))
     joined = batched.withColumn("_longest", F.max(F.size(ids)).over(W.partitionBy("batch")))
     width = (F.ceil(F.col("_longest") / multiple) * multiple).cast("int")
     gap = width - F.size(ids)
-    return joined.withColumns({
+    labels = {} if "labels" not in df.columns else {
+        "labels": F.concat(F.array_repeat(F.lit(fv.IGNORED_LABEL), width - F.size("labels")), F.col("labels"))
+    }
+    return joined.withColumns(labels | {
         ids: F.concat(F.array_repeat(pad, gap), F.col(ids)),
         "attention_mask": F.concat(
             F.array_repeat(F.lit(0), gap), F.array_repeat(F.lit(1), F.size(ids))

@@ -26,7 +26,6 @@ from turnloom.operators.positions import block_start, dense_positions
 from turnloom.sources.session import wide_rows
 from turnloom.sources.sinks import bucketed
 
-CONTEXT_TURNS = 7
 CONFIDENCES = (0.5, 0.25, 0.125, 0.0625, 0.03125)
 GOALS = ("Movie recommendation", "Food recommendation", "Chat about stars", "Q&A")
 
@@ -128,15 +127,15 @@ class Tables:
         )
 
     def dialogs(self) -> DataFrame:
-        """(conv_id, turn, context): the turns in the window before each turn.
+        """(conv_id, turn, context): all turns before each reply.
 
-        Every turn is sent to the replies it precedes, so the groups are single replies and a
-        long conversation is spread over all tasks.
+        Turns are sent to replies only, so the groups are single replies and a long conversation is
+        spread over all tasks.
         """
-        sent = self.read("conversations").select(
-            "conv_id", F.col("turn").alias("said"), "text",
-            F.explode(F.sequence(F.col("turn") + 1, F.col("turn") + CONTEXT_TURNS)).alias("turn"),
-        )
+        turns = self.read("conversations")
+        replies = turns.where("role = 'assistant' and turn >= 1").select("conv_id", "turn")
+        sent = turns.select("conv_id", F.col("turn").alias("said"), "text").join(
+            replies, "conv_id").where("said < turn")
         return sent.groupBy("conv_id", "turn").agg(
             F.array_join(
                 F.transform(
