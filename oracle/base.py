@@ -571,10 +571,10 @@ def fixed(names, sep="|"):
     return f" || '{sep}' || ".join(f"printf('%.4f', {n})" for n in names)
 
 
-def reranked(name="reranked") -> str:
+def reranked(name="reranked", number="\\d+") -> str:
     d, p, q = v("d"), v("p"), v("q")
-    digits = f"regexp_extract_all(beams[1], 'Passage (\\d)', 1)"
-    place = f"CASE WHEN {d} = '0' THEN len(base_) ELSE {d}::INTEGER END"
+    digits = f"regexp_extract_all(beams[1], 'Passage ({number})', 1)"
+    place = f"CASE WHEN {d} = '0' THEN len(base_) ELSE TRY_CAST({d} AS INTEGER) END"
     return f"""{name}_b AS (SELECT s.idx, split, target_knowledge, beams,
   ({non_empty('know[1]')})[1:4] AS base_
   FROM samples s LEFT JOIN gen_P USING (idx) LEFT JOIN know USING (idx)),

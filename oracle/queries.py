@@ -66,6 +66,18 @@ ORACLE["sink_scored"] = prompted(
     printf('%.4f', 1 / (1 + exp(-0.5))) || '|' || printf('%.4f', exp(-0.5) / (1 + exp(-0.5))) AS beam_scores
     FROM p JOIN running USING (idx)""",
     b.row_scores("p"), b.running())
+_epoch = "OVER (PARTITION BY epoch ORDER BY idx ROWS UNBOUNDED PRECEDING)"
+ORACLE["sink_scored_epochs"] = b.sql(
+    f"""SELECT epoch, idx // 2 AS idx, gen_md5, {b.fixed(['run_hitgen'])} AS hitgen,
+    {b.fixed(RUN_HITS)} AS hit_scores, {b.fixed(RUN_BLEUS)} AS bleu_scores,
+    {b.fixed(BLEUS)} AS sample_bleu_scores
+    FROM (SELECT idx, epoch, md5({GEN}) AS gen_md5, {', '.join(BLEUS)},
+    {', '.join(f'avg({m}) {_epoch} AS run_{m}' for m in b.METRICS)}
+    FROM rows_ JOIN (SELECT idx, epoch, beams FROM ep) USING (idx))""",
+    b.scored("R"),
+    """ep AS (SELECT s.* REPLACE (idx * 2 + e AS idx,
+    CASE WHEN e = 1 THEN list_reverse(beams) ELSE beams END AS beams), e AS epoch
+    FROM scored s, range(2) r(e))""", b.row_scores("ep"))
 ORACLE["sink_summary"] = b.sql(
     f"""SELECT {b.fixed(['hitgen'])} AS hitgen, {b.fixed(HITS)} AS hit_scores,
     {b.fixed(BLEUS)} AS bleu_scores, {b.fixed([f'last{k}' for k in range(1, 5)])} AS sample_bleu_scores
@@ -244,6 +256,9 @@ ORACLE["positive_pick"] = b.sql("SELECT idx, " + ", ".join(
     f"md5({b.positive_pick(mode, BASE)}) AS {mode}_md5"
     for mode in ("pseudo", "highly_relevant", "gpt_selection", "target")
 ) + " FROM samples JOIN know USING (idx)")
+ORACLE["passage_rerank_strict"] = b.sql(
+    f"SELECT idx, {b.list_columns('passages', 'list_concat(picked, unpicked)')} FROM reranked",
+    b.reranked(number="\\d"))
 ORACLE["passage_rerank"] = b.sql(
     f"SELECT idx, {b.list_columns('passages', 'list_concat(picked, unpicked)')} FROM reranked",
     b.reranked())
@@ -392,6 +407,20 @@ ORACLE["pad_batches"] = b.sql(
     {b.md5_list("list_concat(list_transform(range(gap), lambda q: '0'), list_transform(ids, lambda q: '1'))")} AS mask_md5
     FROM (SELECT *, ((max(len(ids)) OVER (PARTITION BY batch) + 7) // 8 * 8 - len(ids))::BIGINT AS gap
     FROM (SELECT idx, ids, idx // 16 AS batch FROM tok))""", *_tokenized)
+ORACLE["train_batches"] = b.sql(
+    f"""SELECT idx, batch, pos, {b.list_columns('ids', "list_concat(list_transform(range(gap), lambda q: '<pad>'), ids)")},
+    {b.list_columns('labels', "list_concat(list_transform(range(gap), lambda q: '-100'), ids)")},
+    {b.md5_list("list_concat(list_transform(range(gap), lambda q: '0'), list_transform(ids, lambda q: '1'))")} AS mask_md5
+    FROM (SELECT *, ((max(len(ids)) OVER (PARTITION BY batch) + 7) // 8 * 8 - len(ids))::BIGINT AS gap
+    FROM (SELECT idx, ids, pos, pos // 16 AS batch
+    FROM (SELECT idx, ids, row_number() OVER (ORDER BY md5('42|' || idx), idx) - 1 AS pos FROM tok)))""",
+    *_tokenized)
+_merged = RECIPES["inspired_item"].with_(merge=True)
+ORACLE["train_examples_merge"] = b.sql(
+    f"""SELECT idx, copy, CASE WHEN place <= 50 THEN 'val' ELSE 'train' END AS part,
+    md5('{SEED}|' || idx || '|' || copy) AS shuffle_key
+    FROM (SELECT idx, row_number() OVER (ORDER BY md5('42|' || idx), idx) AS place
+    FROM prep WHERE {b.gate(_merged)}), range(2) r(copy)""", b.prepared(_merged))
 _exp = [f"exp(-0.5 * {i})" for i in range(5)]
 ORACLE["beam_softmax"] = b.sql(
     "SELECT idx, len(beams) AS n_beams, " + ", ".join(

@@ -16,6 +16,7 @@ RESPONSE_MARKER = "### Response:"
 EVAL_RESPONSE_MARKER = "###Response:"
 NUMBERED_TOPIC = r"topic \d+\. "
 PASSAGE_PICK = r"Passage (\d)"
+PASSAGE_NUMBER = r"Passage (\d+)"
 BEAM_JOINER = " | "
 HIT_JOINER = "| "
 NO_RECOMMENDATION_TOPICS = ("Q&A", "Music recommendation")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from turnloom import fixed_values as fv
 from turnloom.functions import lists, seeded
 from turnloom.functions.lists import let, or_empty, take
 from turnloom.functions.text import norm_topic
@@ -181,13 +182,14 @@ def top1_override(cfg: Settings) -> Column:
     return F.when(F.col("idx") % 2 == 0, single).otherwise(F.col("topics"))
 
 
-def passage_picks(gen: Column | str, base: Column | str) -> Column:
-    """Passages named in a generation: one digit per mention, 0 is the last passage, numbers
-    past the end are skipped, repeated mentions stay."""
-    digits = F.regexp_extract_all(gen, F.lit(r"Passage (\d)"), F.lit(1))
+def passage_picks(gen: Column | str, base: Column | str, strict: bool = False) -> Column:
+    """Passages named in a generation: 0 is the last passage, numbers past the end are skipped,
+    repeated mentions stay. ``strict`` reads one digit per mention, else the whole number counts."""
+    numbers = F.regexp_extract_all(
+        gen, F.lit(fv.PASSAGE_PICK if strict else fv.PASSAGE_NUMBER), F.lit(1))
 
     def pick(b: Column) -> Column:
-        places = F.transform(digits, lambda d: d.cast("int") - 1)
+        places = F.transform(numbers, lambda d: d.try_cast("int") - 1)
         return F.filter(
             F.transform(
                 places, lambda p: F.get(b, F.when(p < 0, F.size(b) - 1).otherwise(p))
@@ -203,9 +205,9 @@ def unpicked(base: Column | str, picked: Column | str) -> Column:
     return lists.minus(base, picked)
 
 
-def rerank_base(know: Column | str = "predicted_know") -> Column:
-    """The first four non-empty raw passages of the first topic."""
-    return take(lists.non_empty(or_empty(F.get(know, F.lit(0)))), 4)
+def rerank_base(know: Column | str = "predicted_know", n: int = 4) -> Column:
+    """The first ``n`` non-empty raw passages of the first topic."""
+    return take(lists.non_empty(or_empty(F.get(know, F.lit(0)))), n)
 
 
 def passage_rerank(gen: Column | str, base: Column | str) -> Column:

@@ -8,7 +8,6 @@ from turnloom.functions.lists import let
 from turnloom.functions.text import norm_space, strip
 
 NO_KNOWLEDGE = "array(cast(array() as array<string>))"
-SALTS = 32
 
 
 def merge_knowledge(
@@ -34,21 +33,16 @@ def topic_list(*samples: DataFrame) -> DataFrame:
     return topics.distinct()
 
 
-def topic_semi(df: DataFrame, topics: DataFrame, topic: str = "predicted_topic",
-               salt: Column | str = "idx") -> DataFrame:
+def topic_semi(df: DataFrame, topics: DataFrame, topic: str = "predicted_topic") -> DataFrame:
     """Rows whose stripped topic is in the dictionary (normalised there, case kept).
 
     The dictionary grows with the data, so it is never forced into a broadcast: Spark
-    broadcasts it below its size threshold. Above that, a hot topic is spread over salted
-    copies of the dictionary's one row for it.
+    broadcasts it below its size threshold. Above that, adaptive execution splits the left
+    side of a hot topic, whatever its share.
     """
-    salted = F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")
-    left = df.withColumn("_topic", strip(topic)).withColumn("_salt", salted)
-    entries = (
-        topics.select(norm_space("topic").alias("_topic")).distinct()
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    return left.join(entries, ["_topic", "_salt"], "left_semi").drop("_topic", "_salt")
+    left = df.withColumn("_topic", strip(topic))
+    entries = topics.select(norm_space("topic").alias("_topic")).distinct()
+    return left.join(entries, "_topic", "left_semi").drop("_topic")
 
 
 def first_occurrence(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
@@ -73,7 +67,7 @@ def known_positions(df: DataFrame, topics: DataFrame) -> DataFrame:
         lambda x: x.isNotNull(),
     )
     exploded = df.select("idx", F.inline(firsts))
-    known = topic_semi(exploded, topics, salt=F.struct("idx", "pos"))
+    known = topic_semi(exploded, topics)
     return known.groupBy("idx").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
 
 

@@ -94,33 +94,42 @@ def row_count(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def distinct_n(df: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct n-grams over all n-grams of the first beams.
+def distinct_ngrams(df: DataFrame, ns: Sequence[int] = (1, 2, 3, 4), by: Sequence[str] = ()) -> DataFrame:
+    """Per ``n`` the distinct n-grams over all n-grams of the first beams, as ``dist``, in one pass.
 
     Grams are counted per value first (partial sums before the shuffle), so a frequent gram
     does not make one task large.
     """
-    grams = df.select(*by, F.explode(ngrams(FIRST_BEAM, n)).alias("gram"))
-    counts = grams.groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("times"))
-    return counts.groupBy(*by).agg(
-        (F.count(F.lit(1)) / F.sum("times")).alias(f"dist{n}")
-    )
+    def tagged(n: int) -> Column:
+        size = F.lit(n).cast("bigint")
+        return F.transform(ngrams(FIRST_BEAM, n), lambda g: F.struct(size.alias("n"), g.alias("gram")))
+
+    counts = df.select(*by, F.inline(F.concat(*[tagged(n) for n in ns]))).groupBy(*by, "n", "gram").agg(F.count(F.lit(1)).alias("times"))
+    return counts.groupBy(*by, "n").agg((F.count(F.lit(1)) / F.sum("times")).alias("dist"))
+
+
+def distinct_n(df: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
+    """The same for one ``n``, as ``dist{n}``."""
+    return distinct_ngrams(df, (n,), by).select(*by, F.col("dist").alias(f"dist{n}"))
 
 
 METRICS = [f"hit{k}" for k in HIT_KS] + ["hitgen"] + [f"bleu{k}" for k in BLEU_KS]
 
 
-def running_metrics(df: DataFrame, block: int = positions.BLOCK) -> DataFrame:
+def running_metrics(
+    df: DataFrame, block: int = positions.BLOCK, per: Sequence[str] = ()
+) -> DataFrame:
     """Mean of every metric over the rows up to and including each row, in ``idx`` order, as
     ``run_*``, with the row's own scores and ``cnt``.
 
-    The scores are written once: block totals and the windows inside the blocks then read
-    numbers, not answers.
+    The means start anew for every value of ``per`` (such as the epoch); an ``idx`` that repeats
+    within one raises. The scores are written once, while the plan is built: block totals and the
+    windows inside the blocks then read numbers, not answers.
     """
-    scored = written(row_scores(df).select("idx", *METRICS), "scores")
+    scored = written(row_scores(df).select(*per, "idx", *METRICS), "scores")
     sums = {f"run_{m}": F.col(m).cast("double") for m in METRICS}
     sums["cnt"] = F.lit(1).cast("bigint")
-    running = positions.running_by_index(scored, sums, block=block)
+    running = positions.running_by_index(scored, sums, block=block, per=per)
     return running.withColumns({f"run_{m}": F.col(f"run_{m}") / F.col("cnt") for m in METRICS})
 
 
@@ -134,12 +143,12 @@ def substring_flags(df: DataFrame) -> DataFrame:
     })
 
 
-def scored_records(df: DataFrame) -> DataFrame:
-    """The eleven-column record of every scored row, with ``idx`` and ``cnt``."""
+def scored_records(df: DataFrame, per: Sequence[str] = ()) -> DataFrame:
+    """The eleven-column record of every scored row, with ``per``, ``idx`` and ``cnt``."""
     texts = substring_flags(df).withColumn("beam_softmax", beam_softmax("sequence_scores"))
-    rows = texts.join(running_metrics(df), "idx")
+    rows = texts.join(running_metrics(df, per=per), [*per, "idx"])
     return rows.select(
-        "idx", "cnt",
+        *per, "idx", "cnt",
         F.col("prompt").alias("CONTEXT"),
         joined_beams().alias("GEN"),
         F.col("label").alias("ANSWER"),
@@ -157,13 +166,14 @@ def _array(names) -> str:
     return f"array({', '.join(names)})"
 
 
-def summary(df: DataFrame) -> DataFrame:
-    """One row with the final metrics; the sample scores are those of the last row."""
+def summary(df: DataFrame, per: Sequence[str] = ()) -> DataFrame:
+    """The final metrics, one row (per epoch or other ``per``); the sample scores are those of the
+    last row."""
     scored = row_scores(df)
     last = F.max_by(F.struct(*[f"bleu{k}" for k in BLEU_KS]), "idx")
-    totals = scored.agg(*[F.avg(m).alias(m) for m in METRICS], last.alias("last"))
+    totals = scored.groupBy(*per).agg(*[F.avg(m).alias(m) for m in METRICS], last.alias("last"))
     return totals.select(
-        fixed4("hitgen").alias("hitgen"),
+        *per, fixed4("hitgen").alias("hitgen"),
         format_scores(_array(f"hit{k}" for k in HIT_KS)).alias("hit_scores"),
         format_scores(_array(f"bleu{k}" for k in BLEU_KS)).alias("bleu_scores"),
         format_scores(_array(f"last.bleu{k}" for k in BLEU_KS)).alias("sample_bleu_scores"),
@@ -236,15 +246,16 @@ def context_append(df: DataFrame) -> DataFrame:
 
 def reranked(
     gen: DataFrame, samples: DataFrame, know: DataFrame, by: Sequence[str] = (),
-    per: Sequence[str] = (),
+    per: Sequence[str] = (), base_size: int = 4, strict: bool = False,
 ) -> DataFrame:
-    """Every answered sample with ``base``, ``picked`` and ``reranked`` passages (raw, uncut)."""
-    base = know.select("idx", candidates.rerank_base().alias("base"))
+    """Every answered sample with ``base`` (the first ``base_size``), ``picked`` and ``reranked``
+    passages (raw, uncut)."""
+    base = know.select("idx", candidates.rerank_base(n=base_size).alias("base"))
     answers = gen.select(
         "idx", *per, text.after_last(joined_beams(), fv.EVAL_RESPONSE_MARKER).alias("gen")
     )
     rows = eval_join(answers, samples.select("idx", "target_knowledge", *by), base)
-    picked = rows.withColumn("picked", candidates.passage_picks("gen", "base"))
+    picked = rows.withColumn("picked", candidates.passage_picks("gen", "base", strict))
     return picked.withColumn(
         "reranked", F.concat("picked", candidates.unpicked("base", "picked"))
     )
@@ -252,11 +263,11 @@ def reranked(
 
 def passage_hit_at_k(
     gen: DataFrame, samples: DataFrame, know: DataFrame, ks: Sequence[int] = (1, 2, 3, 4),
-    by: Sequence[str] = (), per: Sequence[str] = (),
+    by: Sequence[str] = (), per: Sequence[str] = (), base_size: int = 4, strict: bool = False,
 ) -> DataFrame:
     """Share of all sample rows whose target is among the first k re-ranked passages."""
     place = F.array_position("reranked", F.col("target_knowledge")).alias("place")
-    rows = reranked(gen, samples, know, by, per).select(*per, *by, place)
+    rows = reranked(gen, samples, know, by, per, base_size, strict).select(*per, *by, place)
     hits = {f"hit{k}": F.col("place").between(1, k) for k in ks}
     return _share_of_samples(rows, samples, hits, by, per)
 
@@ -280,14 +291,18 @@ def pad_batches(
 ) -> DataFrame:
     """Left-pad every row to the longest of its batch, rounded up to a multiple.
 
-    ``labels``, where there are any, get the label that training ignores. A batch is a fixed number of rows, so the window over it is never large.
+    ``labels``, where there are any, get the label that training ignores. A batch is a fixed number of
+    rows, so the window over it is never large.
     """
     batched = df.withColumn("batch", F.expr(f"`{idx}` div {int(batch)}"))
     joined = batched.withColumn("_longest", F.max(F.size(ids)).over(W.partitionBy("batch")))
     width = (F.ceil(F.col("_longest") / multiple) * multiple).cast("int")
     gap = width - F.size(ids)
+    ignored = F.lit(fv.IGNORED_LABEL)
+    if "labels" in df.columns:
+        ignored = ignored.cast(df.schema["labels"].dataType.elementType)
     labels = {} if "labels" not in df.columns else {
-        "labels": F.concat(F.array_repeat(F.lit(fv.IGNORED_LABEL), width - F.size("labels")), F.col("labels"))
+        "labels": F.concat(F.array_repeat(ignored, width - F.size("labels")), F.col("labels"))
     }
     return joined.withColumns(labels | {
         ids: F.concat(F.array_repeat(pad, gap), F.col(ids)),

@@ -19,21 +19,24 @@ def running_sums(
     coarse: Column,
     fine: Sequence[Column],
     order: Sequence[Column],
+    per: Sequence[str] = (),
 ) -> DataFrame:
     """Add a running total, current row included, for every value.
 
     ``coarse``, then ``fine``, then ``order`` must sort the rows as ``order`` alone does, and
-    ``order`` must be unique.
+    ``order`` must be unique, which is checked while the job runs. Totals start anew for every
+    value of the columns ``per``, which must not be NULL.
     """
     fine_names = [f"_fine{i}" for i in range(len(fine))]
-    keys = ["_coarse", *fine_names]
+    top = [*per, "_coarse"]
+    keys = [*top, *fine_names]
     names = list(values)
     keyed = df.select(
         "*", coarse.alias("_coarse"), *[f.alias(n) for f, n in zip(fine, fine_names)],
         *[values[n].alias(f"_v_{n}") for n in names],
     )
     fine_totals = keyed.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
-    coarse_totals = fine_totals.groupBy("_coarse").agg(
+    coarse_totals = fine_totals.groupBy(*top).agg(
         *[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in names]
     )
 
@@ -43,25 +46,37 @@ def running_sums(
 
     # One row per coarse block: the only window over all of them.
     coarse_before = coarse_totals.select(
-        "_coarse",
-        *[c.alias(f"_c_{n}") for n, c in zip(names, before(W.partitionBy(F.lit(0)).orderBy("_coarse")))],
+        *top,
+        *[
+            c.alias(f"_c_{n}")
+            for n, c in zip(names, before(W.partitionBy(*(per or [F.lit(0)])).orderBy("_coarse")))
+        ],
     )
     fine_before = fine_totals.select(
         *keys,
         *[
             c.alias(f"_f_{n}")
-            for n, c in zip(names, before(W.partitionBy("_coarse").orderBy(*fine_names)))
+            for n, c in zip(names, before(W.partitionBy(*top).orderBy(*fine_names)))
         ],
-    ).join(coarse_before, "_coarse")
+    ).join(coarse_before, top)
     offsets = fine_before.select(
         *keys, *[(F.col(f"_f_{n}") + F.col(f"_c_{n}")).alias(f"_o_{n}") for n in names]
     )
-    inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ordered = W.partitionBy(*keys).orderBy(*order)
+    inside = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
+    place = F.struct(*order)
+    repeats = F.lag(place).over(ordered) == place
     running = keyed.select(
-        *df.columns, *keys, *[F.sum(f"_v_{n}").over(inside).alias(f"_r_{n}") for n in names]
+        *df.columns, *[k for k in keys if k not in per], repeats.alias("_repeats"),
+        *[F.sum(f"_v_{n}").over(inside).alias(f"_r_{n}") for n in names],
     )
     return running.join(offsets, keys).select(
-        *df.columns, *[(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in names]
+        *df.columns,
+        *[
+            F.when(F.col("_repeats"), F.raise_error("the order of rows is not unique"))
+            .otherwise(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n)
+            for n in names
+        ],
     )
 
 
@@ -84,10 +99,11 @@ def index_blocks(idx: str = "idx", block: int = BLOCK) -> tuple[Column, list[Col
 
 
 def running_by_index(
-    df: DataFrame, values: Mapping[str, Column], idx: str = "idx", block: int = BLOCK
+    df: DataFrame, values: Mapping[str, Column], idx: str = "idx", block: int = BLOCK,
+    per: Sequence[str] = (),
 ) -> DataFrame:
     coarse, fine = index_blocks(idx, block)
-    return running_sums(df, values, coarse, fine, [F.col(idx)])
+    return running_sums(df, values, coarse, fine, [F.col(idx)], per)
 
 
 def hash_positions(df: DataFrame, name: str, key: str, *tie: str) -> DataFrame:

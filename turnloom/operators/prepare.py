@@ -83,7 +83,7 @@ def prepare(
     merged = joins.merge_knowledge(clean_samples(samples, cfg, tok), short, cfg.combined, off)
     if cfg.db_check:
         if topics is None:
-            topics = joins.topic_list(samples)
+            raise ValueError("db_check needs topics: the dictionary over the samples of all splits")
         # The dictionary lookup needs no passages, so it starts from the narrow table.
         merged = joins.keep_positions(merged, joins.known_positions(samples, topics))
     return merged
@@ -140,15 +140,17 @@ def exclude_topics(df: DataFrame, topics: tuple[str, ...] = fv.NO_RECOMMENDATION
 
 
 def shuffle_rows(df: DataFrame, seed: int | str) -> DataFrame:
-    """Rows in random, reproducible order."""
-    keyed = df.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("idx"))))
-    return keyed.orderBy("shuffle_key", "idx")
+    """Rows in random, reproducible order; copies of a merged row have their own places."""
+    key = ["idx", "copy"] if "copy" in df.columns else ["idx"]
+    keyed = df.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(seed)), *key)))
+    return keyed.orderBy("shuffle_key", *key)
 
 
 def train_val_split(df: DataFrame, val_size: int | float, seed: int = 42) -> DataFrame:
     """Add ``part``: ``val`` for a share (below 1) or an exact number of rows, else ``train``.
 
-    The choice hangs on the row's hash, not on partitioning.
+    The choice hangs on the row's hash, not on partitioning. Copies of a merged row go to the
+    same part, and the number counts rows before merging.
     """
     keyed = df.withColumn("_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("idx"))))
     if not val_size:
@@ -157,7 +159,12 @@ def train_val_split(df: DataFrame, val_size: int | float, seed: int = 42) -> Dat
         bucket = F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint")
         is_val = bucket < F.lit(int(val_size * (1 << 32)))
     else:
-        keyed = positions.hash_positions(keyed, "_pos", "_key", "idx")
+        if "copy" in df.columns:
+            once = keyed.select("idx", "_key").distinct()
+            places = positions.hash_positions(once, "_pos", "_key", "idx").drop("_key")
+            keyed = keyed.join(places, "idx")
+        else:
+            keyed = positions.hash_positions(keyed, "_pos", "_key", "idx")
         is_val = F.col("_pos") < F.lit(int(val_size))
     part = F.when(is_val, F.lit("val")).otherwise(F.lit("train"))
     return keyed.withColumn("part", part).select(*df.columns, "part")

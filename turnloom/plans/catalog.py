@@ -14,6 +14,7 @@ from turnloom import fixed_values as fv
 from turnloom.functions import lists, numbers, seeded, text, tokens
 from turnloom.functions.ngrams import bleu_scores
 from turnloom.operators import candidates, joins, labels, metrics, positions, prepare, render
+from turnloom.plans import workflows
 from turnloom.plans.fixtures import Tables
 from turnloom.settings import RECIPES, Settings
 from turnloom.sources import readers, sinks
@@ -134,6 +135,21 @@ def sink_scored(t):
     )
 
 
+@query("sink_scored_epochs")
+def sink_scored_epochs(t):
+    rows = scored_rows(t, "R").withColumn("epoch", F.lit(0).cast("bigint"))
+    later = rows.withColumns({"epoch": F.lit(1).cast("bigint"), "beams": F.reverse("beams")})
+    records = metrics.scored_records(
+        rows.unionByName(later).withColumn("prompt", F.col("label")), per=["epoch"])
+    path = sinks.scratch_dir(t.spark, "scored-epochs")
+    sinks.write_scored(records, path)
+    return t.spark.read.schema(
+        "epoch bigint, idx bigint, GEN string, hitgen string, hit_scores string, bleu_scores string,"
+        " sample_bleu_scores string"
+    ).json(path).select("epoch", "idx", digest("GEN").alias("gen_md5"), "hitgen", "hit_scores",
+                        "bleu_scores", "sample_bleu_scores")
+
+
 @query("sink_summary")
 def sink_summary(t):
     path = sinks.scratch_dir(t.spark, "summary")
@@ -368,7 +384,7 @@ def exploded_topics(t: Tables) -> tuple[DataFrame, DataFrame]:
 @query("topic_semi")
 def topic_semi(t):
     rows, samples = exploded_topics(t)
-    kept = joins.topic_semi(rows, joins.topic_list(samples), salt=F.struct("idx", "pos"))
+    kept = joins.topic_semi(rows, joins.topic_list(samples))
     return kept.select("idx", F.col("pos").cast("bigint").alias("pos"), "predicted_topic")
 
 
@@ -468,13 +484,8 @@ def row_count(t):
 
 @query("distinct_n")
 def distinct_n(t):
-    rows = scored_rows(t, "R")
-    out = None
-    for n in (1, 2, 3, 4):
-        part = metrics.distinct_n(rows, n, by=BY_SPLIT).select(
-            "split", F.lit(n).cast("bigint").alias("n"), nine(f"dist{n}", "dist"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = metrics.distinct_ngrams(scored_rows(t, "R"), by=BY_SPLIT)
+    return rows.select("split", "n", nine("dist", "dist"))
 
 
 # --- prefixes, cuts and draws -----------------------------------------------------------------
@@ -568,6 +579,12 @@ def passage_rerank(t):
     return rows.select("idx", *list_columns("passages", F.col("reranked")))
 
 
+@query("passage_rerank_strict")
+def passage_rerank_strict(t):
+    rows = metrics.reranked(t.generations("P"), t.samples(), t.knowledge(), strict=True)
+    return rows.select("idx", *list_columns("passages", F.col("reranked")))
+
+
 def candidate_lists(t: Tables, cfg: Settings) -> DataFrame:
     rows = candidates.with_candidates(prepared(t, cfg), cfg)
     return rows.select(
@@ -813,6 +830,21 @@ def pad_batches(t):
                        list_digest("attention_mask").alias("mask_md5"))
 
 
+@query("train_batches")
+def train_batches(t):
+    rows = workflows.training_batches(prepare.shuffle_rows(tokenized(t), 42), 16, F.lit("<pad>"))
+    return rows.select("idx", "batch", "pos", *list_columns("ids", F.col("input_ids")),
+                       *list_columns("labels", F.col("labels")),
+                       list_digest("attention_mask").alias("mask_md5"))
+
+
+@query("train_examples_merge")
+def train_examples_merge(t):
+    cfg = RECIPES["inspired_item"].with_(merge=True, val_set_size=50, train_only_outputs=True)
+    rows = workflows.training_table(t.samples(), t.knowledge(), cfg)
+    return rows.select("idx", F.col("copy").cast("bigint").alias("copy"), "part", "shuffle_key")
+
+
 @query("beam_softmax")
 def beam_softmax(t):
     rows = t.generations("I").select("idx", numbers.beam_softmax("sequence_scores").alias("s"))

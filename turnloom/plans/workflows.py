@@ -1,18 +1,18 @@
 """The three runs a user starts: prompts for a test set, training examples, scores.
 
-Each is one lazy plan from the input tables to the result; model training and generation
-happen elsewhere, between ``prompt_table`` and ``score``.
+Each is one plan from the input tables to the result, lazy but for ``scored_table``, which writes its
+scores first; model training and generation happen elsewhere, between ``prompt_table`` and ``score``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from turnloom import fixed_values as fv
 from turnloom.functions.tokens import Tokenizer
-from turnloom.operators import joins, labels, metrics, prepare, render
+from turnloom.operators import joins, labels, metrics, positions, prepare, render
 from turnloom.settings import Settings
 
 
@@ -33,7 +33,8 @@ def training_table(
 ) -> DataFrame:
     """Gated, split and tokenized training examples in the random order of the epoch.
 
-    With ``merge`` every row comes twice: with its passages and without.
+    With ``merge`` every row comes twice: with its passages and without, each copy with its own
+    draws and place, both in the same part.
     """
     rows = prepare.prepare(samples, know, cfg, topics, tok)
     if cfg.merge:
@@ -41,10 +42,29 @@ def training_table(
         rows = joins.union_with_without_know(rows, bare)
     kept = prepare.with_output(prepare.gate_train(rows, cfg))
     parts = prepare.train_val_split(kept, cfg.val_set_size, 42)
-    examples = labels.train_examples(parts, cfg, tok, templates)
+    if not cfg.merge:
+        examples = labels.train_examples(parts, cfg, tok, templates)
+    else:
+        full, short = [
+            labels.train_examples(parts.where(F.col("copy") == copy), cfg.with_(copy=copy), tok, templates)
+            for copy in (0, 1)
+        ]
+        examples = full.unionByName(short)
     return prepare.shuffle_rows(examples, cfg.draw_seed)
 
 
+def training_batches(
+    examples: DataFrame, batch: int, pad: Column, multiple: int = 8,
+) -> DataFrame:
+    """Rows of ``training_table`` in batches of their final order, ids and labels padded alike.
+
+    Batches are dense: all but the last have ``batch`` rows, whatever rows the gates dropped.
+    """
+    tie = ["idx", "copy"] if "copy" in examples.columns else ["idx"]
+    placed = positions.hash_positions(examples, "pos", "shuffle_key", *tie)
+    return metrics.pad_batches(placed, batch, pad, multiple=multiple, idx="pos")
+
+
 def score(
     generations: DataFrame, samples: DataFrame, know: DataFrame, cfg: Settings,
     by: Sequence[str] = (), per: Sequence[str] = (),
@@ -54,7 +74,8 @@ def score(
     ``per`` names columns of the generations, for example the epoch of the model.
     """
     if cfg.task == "P":
-        return metrics.passage_hit_at_k(generations, samples, know, (1, 2, 3), by, per)
+        return metrics.passage_hit_at_k(generations, samples, know, (1, 2, 3), by, per,
+                                        cfg.rerank_base, cfg.strict_compat)
     labelled = samples.withColumn("label", prepare.pick_label(cfg.task))
     if cfg.task == "R":
         rows = joins.eval_join(generations, labelled.select("idx", "label", *by))
@@ -66,8 +87,11 @@ def score(
     raise ValueError(f"task {cfg.task!r} has no score")
 
 
-def scored_table(generations: DataFrame, prompts: DataFrame) -> DataFrame:
-    """The scored record of every answer, in the order of the prompts."""
+def scored_table(
+    generations: DataFrame, prompts: DataFrame, per: Sequence[str] = ()
+) -> DataFrame:
+    """The scored record of every answer, in the order of the prompts; running means start anew
+    for every value of ``per``, columns of the answers such as the epoch."""
     rows = joins.eval_join(generations, prompts.select("idx", "topic", "label", "prompt"))
-    return metrics.scored_records(rows)
+    return metrics.scored_records(rows, per)
 

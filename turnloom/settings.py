@@ -13,7 +13,8 @@ class Settings:
 
     ``strict_compat`` switches back to behaviours which look like mistakes but which a model
     may have been trained on: the target is looked up among the topics instead of the passages,
-    label numbers count the flattened list, and the filter topic follows the list position.
+    label numbers count the flattened list, the filter topic follows the list position, and a
+    passage named in an answer is read by one digit.
     """
 
     prompt: str = "DIP2I_cot"
@@ -63,10 +64,12 @@ class Settings:
     # evaluation
     eval_batch_size: int = 1
     num_beams: int = 5
+    rerank_base: int = 4  # passages of the first topic that an answer re-ranks
     write: bool = True
     # reproducible sampling: the epoch is part of every draw
     seed: int = 42
     epoch: int = 0
+    copy: int = 0  # copies of a merged row draw apart
     strict_compat: bool = False
 
     @property
@@ -97,7 +100,7 @@ class Settings:
 
     @property
     def draw_seed(self) -> str:
-        return f"{self.seed}.{self.epoch}"
+        return f"{self.seed}.{self.epoch}" + (f".{self.copy}" if self.copy else "")
 
     def with_(self, **changes) -> "Settings":
         return replace(self, **changes)

@@ -50,10 +50,13 @@ def bucketed(df: DataFrame, name: str, key: str = "idx", buckets: int | None = N
     return table, spark.table(table)
 
 
-def write_scored(df: DataFrame, path: str, write: bool = True) -> None:
-    """Append scored records as JSON lines; with ``write`` off only the first hundred."""
-    rows = df if write else df.where(F.col("cnt") <= FIRST_ROWS)
-    rows.select("idx", *RECORD).write.mode("append").json(path)
+def write_scored(
+    df: DataFrame, path: str, write: bool = True, first_rows: int = FIRST_ROWS
+) -> None:
+    """Append scored records as JSON lines; with ``write`` off only the ``first_rows`` (per epoch)."""
+    rows = df if write else df.where(F.col("cnt") <= first_rows)
+    keys = [c for c in df.columns if c not in (*RECORD, "cnt")]
+    rows.select(*keys, *RECORD).write.mode("append").json(path)
 
 
 def write_summary(df: DataFrame, path: str) -> None:

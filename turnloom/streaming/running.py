@@ -25,11 +25,14 @@ def stream_metrics(
 def run_available(totals: DataFrame, out: str, checkpoint: str) -> None:
     """Process all files that are there, then stop; a restart goes on from the checkpoint.
 
-    Every trigger overwrites its own folder, so a repeated batch leaves the same result.
+    Every trigger overwrites its own folder, so a repeated batch leaves the same result. A batch is
+    listed as done after its state is written.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
+        done = batch.sparkSession.range(1).select(F.lit(batch_id).cast("bigint").alias("batch"))
+        done.write.mode("overwrite").parquet(f"{out}/done/{batch_id}")
 
     query = (
         totals.writeStream.outputMode("complete").foreachBatch(store)
@@ -40,6 +43,5 @@ def run_available(totals: DataFrame, out: str, checkpoint: str) -> None:
 
 def latest(spark: SparkSession, out: str) -> DataFrame:
     """The state after the last finished batch."""
-    batches = spark.read.parquet(out)
-    last = batches.agg(F.max("batch").alias("last")).scalar()
-    return batches.where(F.col("batch") == last).drop("batch")
+    done = spark.read.schema("batch bigint").parquet(f"{out}/done/*")
+    return spark.read.parquet(f"{out}/state/batch={done.agg(F.max('batch')).first()[0]}")
