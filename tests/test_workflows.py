@@ -172,8 +172,12 @@ def test_other_flags_run(tables):
         cfg = Settings(prompt="DIP2I", positive="target", force_topic=True, **changes)
         n = samples.count()
         want = 2 * min(n, 50) if cfg.debug else n - cfg.test_continue
-        assert workflows.prompt_table(samples, know, cfg).count() == want
-        assert workflows.training_table(samples, know, cfg).count() > 0
+        topics = joins.topic_list(samples) if cfg.db_check else None
+        assert workflows.prompt_table(samples, know, cfg, topics).count() == want
+        assert workflows.training_table(samples, know, cfg, topics).count() > 0
+        if cfg.db_check:
+            with pytest.raises(ValueError, match="topics"):
+                workflows.prompt_table(samples, know, cfg)
 
 
 def test_subword_hook(tables):

@@ -129,7 +129,7 @@ def running_metrics(
     scored = written(row_scores(df).select(*per, "idx", *METRICS), "scores")
     sums = {f"run_{m}": F.col(m).cast("double") for m in METRICS}
     sums["cnt"] = F.lit(1).cast("bigint")
-    running = positions.running_by_index(scored, sums, block=block, per=per)
+    running = positions.running_by_index(scored, sums, block=block, per=per, unique=True)
     return running.withColumns({f"run_{m}": F.col(f"run_{m}") / F.col("cnt") for m in METRICS})
 
 

@@ -20,12 +20,13 @@ def running_sums(
     fine: Sequence[Column],
     order: Sequence[Column],
     per: Sequence[str] = (),
+    unique: bool = False,
 ) -> DataFrame:
     """Add a running total, current row included, for every value.
 
     ``coarse``, then ``fine``, then ``order`` must sort the rows as ``order`` alone does, and
-    ``order`` must be unique, which is checked while the job runs. Totals start anew for every
-    value of the columns ``per``, which must not be NULL.
+    ``order`` should be unique; with ``unique``, rows that repeat raise while the job runs. Totals
+    start anew for every value of the columns ``per``, which must not be NULL.
     """
     fine_names = [f"_fine{i}" for i in range(len(fine))]
     top = [*per, "_coarse"]
@@ -65,7 +66,7 @@ def running_sums(
     ordered = W.partitionBy(*keys).orderBy(*order)
     inside = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
     place = F.struct(*order)
-    repeats = F.lag(place).over(ordered) == place
+    repeats = F.lag(place).over(ordered) == place if unique else F.lit(False)
     running = keyed.select(
         *df.columns, *[k for k in keys if k not in per], repeats.alias("_repeats"),
         *[F.sum(f"_v_{n}").over(inside).alias(f"_r_{n}") for n in names],
@@ -100,10 +101,10 @@ def index_blocks(idx: str = "idx", block: int = BLOCK) -> tuple[Column, list[Col
 
 def running_by_index(
     df: DataFrame, values: Mapping[str, Column], idx: str = "idx", block: int = BLOCK,
-    per: Sequence[str] = (),
+    per: Sequence[str] = (), unique: bool = False,
 ) -> DataFrame:
     coarse, fine = index_blocks(idx, block)
-    return running_sums(df, values, coarse, fine, [F.col(idx)], per)
+    return running_sums(df, values, coarse, fine, [F.col(idx)], per, unique)
 
 
 def hash_positions(df: DataFrame, name: str, key: str, *tie: str) -> DataFrame:
