@@ -5,6 +5,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.conftest import SMALL
+from turnloom.plans.catalog import QUERIES
 
 TABLES = ("conversations", "documents", "supplier")
 
@@ -18,14 +19,15 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    """The library's own queries all have SQL; the training-data ones only where it can express them."""
+    assert set(QUERIES) <= set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(oracle_sql()))
 def test_query(spark, duck, name):
     df = queries()[name](spark, SMALL)
     columns = sorted(df.columns)

@@ -1,7 +1,8 @@
 """Row positions and running totals without a single-task window.
 
 Totals run in three steps: per fine block, over the fine blocks of a coarse block, over the
-coarse blocks. No window sees more rows than a block holds, whatever the table's size.
+coarse blocks. Blocks follow the values of the key: with dense ids no window sees more rows than a
+block holds, with sparse ids the window over the coarse blocks grows with their number.
 """
 
 from __future__ import annotations
