@@ -39,6 +39,9 @@ def test_knowledge_in_blocks(spark, tmp_path):
     assert sorted((r.idx, r.predicted_know) for r in back.collect()) == rows
     df.write.parquet(f"{tmp_path}/p")
     assert readers.read_knowledge_table(spark, f"{tmp_path}/p").count() == 23
+    for named in (readers.read_knowledge_table(spark, f"{tmp_path}/p", split="test"),
+                  readers.read_knowledge(spark, f"{tmp_path}/k", "test")):
+        assert named.where("split = 'test'").count() == 23
 
 
 def test_templates_by_file_and_by_directory(spark, tmp_path):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from turnloom import fixed_values as fv
 from turnloom.functions import text, tokens
+from turnloom.operators import labels
 
 
 def plain(x):
@@ -112,6 +113,17 @@ def test_user_tokenizer(spark):
     assert row.ids == [97, 98, 99, 100, 101, 102, 0]
 
 
+def test_start_token_in_examples_not_in_cuts(spark):
+    vocab = tokens.Tokenizer(
+        encode=lambda s: [ord(c) for c in s], decode=lambda ids: "".join(map(chr, ids)), eos_id=0, bos_id=1)
+    df = spark.createDataFrame([("abc", "ab"), ("", ""), (None, None)], "example string, prompt string")
+    out = labels.mask_prompt(labels.tokenize_example(df, tok=vocab), tok=vocab)
+    rows = out.select("input_ids", "attention_mask", "labels", tokens.truncate_head("example", 2, vocab)).collect()
+    assert tuple(rows[0]) == ([1, 97, 98, 99, 0], [1] * 5, [-100, -100, -100, 99, 0], "ab")
+    assert tuple(rows[1]) == ([1, 0], [1, 1], [-100, 0], "")
+    assert rows[2][0] is None and rows[2][3] is None
+
+
 def test_eos_is_added_once(one):
     assert one(tokens.input_ids("x", True), "x string", "a b") == ["a", " b", "</s>"]
     assert one(tokens.input_ids("x", True), "x string", "a</s> b") == ["a</s>", " b", "</s>"]

@@ -21,6 +21,25 @@ def test_merge_is_a_left_join(spark):
     assert [r.idx for r in joins.unmatched_knowledge(samples, know).collect()] == [7]
 
 
+def test_splits_that_both_count_from_zero(spark):
+    """Passages, the dictionary lookup and answers meet the rows of their own split."""
+    rows = [(0, "train", ["x", "a"], [["t0x"], ["t0a"]]), (0, "test", ["a", "x"], [["e0a"], ["e0x"]]),
+            (1, "test", ["x"], [["e1x"]])]
+    samples = spark.createDataFrame([r[:3] for r in rows], "idx bigint, split string, predicted_topic array<string>")
+    know = spark.createDataFrame(
+        [(r[0], r[1], r[3]) for r in rows], "idx bigint, split string, predicted_know array<array<string>>")
+    keys = joins.row_keys(samples, know)
+    assert keys == ["idx", "split"] and joins.row_keys(samples, know.drop("split")) == ["idx"]
+    merged = joins.merge_knowledge(samples, know)
+    assert {(r.idx, r.split): r.predicted_know for r in merged.collect()} == {r[:2]: r[3] for r in rows}
+    checked = joins.db_check(merged, spark.createDataFrame([("a",)], "topic string"), keys)
+    assert {(r.idx, r.split): r.predicted_know for r in checked.collect()} == {
+        (0, "train"): [["t0a"]], (0, "test"): [["e0a"]], (1, "test"): [["e1x"]]}
+    assert joins.unmatched_knowledge(samples.where("split = 'test'"), know).select("split").collect()[0][0] == "train"
+    answers = samples.select("idx", "split", F.lit("g").alias("g"))
+    assert joins.eval_join(answers, samples, know).count() == 3
+
+
 def test_db_check(spark):
     topics = spark.createDataFrame([("A\xa0b",), ("C",)], "topic string")
     rows = [

@@ -28,12 +28,14 @@ EOS = "</s>"
 class Tokenizer:
     """A user's vocabulary; both functions must be picklable and take one text or id list.
 
-    ``encode`` leaves out any start token.
+    ``encode`` leaves out any start token; ``bos_id`` is the one that ids for training begin with
+    (cut texts never have it).
     """
 
     encode: Callable[[str], list[int]]
     decode: Callable[[list[int]], str]
     eos_id: int
+    bos_id: int | None = None
 
     def cut(self, c: Column, n: int, tail: bool = False) -> Column:
         encode, decode = self.encode, self.decode
@@ -77,11 +79,13 @@ class Tokenizer:
         return cut_batch(c)
 
     def ids(self, c: Column) -> Column:
+        """Ids of a text, after the start token if there is one."""
         encode = self.encode
+        start = [] if self.bos_id is None else [self.bos_id]
 
         @F.pandas_udf("array<int>")
         def encode_batch(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: None if t is None else encode(t))
+            return texts.map(lambda t: None if t is None else start + list(encode(t)))
 
         return encode_batch(c)
 

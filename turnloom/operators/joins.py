@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from turnloom.functions.lists import let
@@ -10,19 +12,29 @@ from turnloom.functions.text import norm_space, strip
 NO_KNOWLEDGE = "array(cast(array() as array<string>))"
 
 
+def row_keys(*tables: DataFrame) -> list[str]:
+    """``idx``, and ``split`` where all tables have it: each split may count its rows from 0."""
+    return ["idx", "split"] if all("split" in t.columns for t in tables) else ["idx"]
+
+
 def merge_knowledge(
     samples: DataFrame, know: DataFrame, combined: bool = False, disable_know: bool = False
 ) -> DataFrame:
-    """Attach the passages of each row; rows past the knowledge table keep NULL."""
+    """Attach the passages of each row; rows past the knowledge table keep NULL.
+
+    Passages with a ``split`` go to the rows of that split only.
+    """
     lists = F.expr(NO_KNOWLEDGE) if disable_know else F.col("predicted_know")
-    right = know.select("idx", lists.alias("predicted_know"))
-    joined = samples.drop("predicted_know").join(right, "idx", "left")
+    keys = row_keys(samples, know)
+    right = know.select(*keys, lists.alias("predicted_know"))
+    joined = samples.drop("predicted_know").join(right, keys, "left")
     return joined.withColumn("combined", F.lit(combined))
 
 
 def unmatched_knowledge(samples: DataFrame, know: DataFrame) -> DataFrame:
     """Knowledge rows without a sample; a correct input has none."""
-    return know.join(samples.select("idx"), "idx", "left_anti")
+    keys = row_keys(samples, know)
+    return know.join(samples.select(*keys), keys, "left_anti")
 
 
 def topic_list(*samples: DataFrame) -> DataFrame:
@@ -51,10 +63,12 @@ def first_occurrence(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     return ranked.where("_rank = 1").drop("_rank")
 
 
-def known_positions(df: DataFrame, topics: DataFrame) -> DataFrame:
-    """(idx, kept): first positions of the predicted topics found in the dictionary.
+def known_positions(
+    df: DataFrame, topics: DataFrame, keys: Sequence[str] = ("idx",)
+) -> DataFrame:
+    """The row keys and ``kept``: first positions of the predicted topics found in the dictionary.
 
-    Repeats are dropped inside the row; only (idx, position, topic) is exploded and shuffled.
+    Repeats are dropped inside the row; only (keys, position, topic) is exploded and shuffled.
     """
     firsts = F.filter(
         F.transform(
@@ -66,12 +80,14 @@ def known_positions(df: DataFrame, topics: DataFrame) -> DataFrame:
         ),
         lambda x: x.isNotNull(),
     )
-    exploded = df.select("idx", F.inline(firsts))
+    exploded = df.select(*keys, F.inline(firsts))
     known = topic_semi(exploded, topics)
-    return known.groupBy("idx").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
+    return known.groupBy(*keys).agg(F.sort_array(F.collect_list("pos")).alias("kept"))
 
 
-def keep_positions(df: DataFrame, kept: DataFrame) -> DataFrame:
+def keep_positions(
+    df: DataFrame, kept: DataFrame, keys: Sequence[str] = ("idx",)
+) -> DataFrame:
     """Cut topics, confidences and passages to the kept positions, or to the first one.
 
     Positions past the end of the shortest of the three lists do not count.
@@ -83,7 +99,7 @@ def keep_positions(df: DataFrame, kept: DataFrame) -> DataFrame:
     sizes = [F.size(n) for n in names]
     shortest = F.least(*sizes) if len(sizes) > 1 else sizes[0]
     inside = let(shortest, lambda n: F.filter("kept", lambda p: p < n))
-    joined = df.join(kept, "idx", "left").withColumn("kept", inside)
+    joined = df.join(kept, list(keys), "left").withColumn("kept", inside)
     joined = joined.withColumn(
         "kept", F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.array(F.lit(0)))
     )
@@ -96,10 +112,10 @@ def _at(arr: Column) -> Column:
     return F.when(arr.isNotNull(), F.transform(inside, lambda p: F.get(arr, p)))
 
 
-def db_check(df: DataFrame, topics: DataFrame) -> DataFrame:
+def db_check(df: DataFrame, topics: DataFrame, keys: Sequence[str] = ("idx",)) -> DataFrame:
     """Keep the predicted topics (with confidence and passages) found in the dictionary; a row
     that keeps nothing falls back to its first topic."""
-    return keep_positions(df, known_positions(df, topics))
+    return keep_positions(df, known_positions(df, topics, keys), keys)
 
 
 def union_with_without_know(with_know: DataFrame, without: DataFrame) -> DataFrame:
@@ -109,5 +125,5 @@ def union_with_without_know(with_know: DataFrame, without: DataFrame) -> DataFra
 
 def eval_join(generations: DataFrame, samples: DataFrame, know: DataFrame | None = None) -> DataFrame:
     """Generations with their samples and, if given, their raw passages."""
-    joined = generations.join(samples, "idx")
-    return joined if know is None else joined.join(know, "idx")
+    joined = generations.join(samples, row_keys(generations, samples))
+    return joined if know is None else joined.join(know, row_keys(joined, know))

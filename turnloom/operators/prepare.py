@@ -71,7 +71,8 @@ def prepare(
     """Samples with passages, cleaned, cut and labelled.
 
     Both sides are cut before the join, so the shuffle carries the short passages only; passage
-    lists that no prompt or example of these settings can use are left out first.
+    lists that no prompt or example of these settings can use are left out first. Rows meet on
+    ``idx``, and on ``split`` too where the passages name theirs.
     """
     if cfg.debug:
         samples = positions.head_tail(samples)
@@ -84,8 +85,9 @@ def prepare(
     if cfg.db_check:
         if topics is None:
             raise ValueError("db_check needs topics: the dictionary over the samples of all splits")
+        keys = joins.row_keys(samples, know)
         # The dictionary lookup needs no passages, so it starts from the narrow table.
-        merged = joins.keep_positions(merged, joins.known_positions(samples, topics))
+        merged = joins.keep_positions(merged, joins.known_positions(samples, topics, keys), keys)
     return merged
 
 

@@ -21,26 +21,31 @@ def read_both(spark: SparkSession, train_path: str, test_path: str, fmt: str = "
     )
 
 
-def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
+def read_knowledge(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """Passages from JSON **array** files; the position in the array is the row index.
 
     A JSON array cannot be split, so one file is one task. A large list therefore comes as
     directories ``start=N``, each with the array of the rows from N on; a single file without
-    that directory starts at 0.
+    that directory starts at 0. Train and test lists both count from 0: name their ``split``, so
+    that the union of both tables joins the right samples.
     """
     files = spark.read.option("wholetext", True).text(path)
     start = F.col("start").cast("bigint") if "start" in files.columns else F.lit(0).cast("bigint")
     rows = files.select(
         start.alias("start"), F.posexplode(F.from_json("value", schemas.KNOWLEDGE_ARRAY))
     )
+    named = [] if split is None else [F.lit(split).alias("split")]
     return rows.select(
-        (F.col("start") + F.col("pos")).alias("idx"), F.col("col.predicted_know")
+        (F.col("start") + F.col("pos")).alias("idx"), *named, F.col("col.predicted_know")
     )
 
 
-def read_knowledge_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Passages from a splittable table with an explicit index."""
-    return wide_rows(spark).read.schema(schemas.KNOWLEDGE).format(fmt).load(path)
+def read_knowledge_table(
+    spark: SparkSession, path: str, fmt: str = "parquet", split: str | None = None
+) -> DataFrame:
+    """Passages from a splittable table with an explicit index, tagged with their split if named."""
+    rows = wide_rows(spark).read.schema(schemas.KNOWLEDGE).format(fmt).load(path)
+    return rows if split is None else rows.withColumn("split", F.lit(split))
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:

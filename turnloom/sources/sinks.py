@@ -35,16 +35,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def bucketed(df: DataFrame, name: str, key: str = "idx", buckets: int | None = None
              ) -> tuple[str, DataFrame]:
-    """Write a table bucketed and sorted by its row key below the shared folder.
+    """Write a table bucketed by its row key below the shared folder.
 
     Tables with the same bucketing join on the key without a shuffle. One shuffle here pays for
-    every later join; the number of buckets follows ``spark.sql.shuffle.partitions``.
+    every later join; the number of buckets follows ``spark.sql.shuffle.partitions``. Files are not
+    sorted, since a bucketed scan does not hand that order on.
     """
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"turnloom_{name}_{uuid.uuid4().hex}"
     (
-        df.repartition(n, key).write.bucketBy(n, key).sortBy(key)
+        df.repartition(n, key).write.bucketBy(n, key)
         .option("path", scratch_dir(spark, name)).saveAsTable(table)
     )
     return table, spark.table(table)
