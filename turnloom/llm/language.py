@@ -162,8 +162,9 @@ def fit(labelled: DataFrame, label: str, text: str, key: Column, sample: int = S
         "label is not null and label <> '' and text is not null")
     per_label = rows.groupBy("label").count()
     share = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # Only labels and keys are shuffled; about ``sample`` keys per label are left to broadcast.
-    chosen = rows.select("label", "key").join(per_label, "label").where(
+    # One count per label goes to all tasks, less than the sample itself; about ``sample`` keys per
+    # label are left to broadcast, and no task gathers a label.
+    chosen = rows.select("label", "key").join(F.broadcast(per_label), "label").where(
         share * F.col("count") < sample).select("label", "key").distinct()
     picked = rows.join(F.broadcast(chosen), ["label", "key"], "left_semi")
     found = picked.select("label", "text").mapInArrow(_vectors, VECTORS).collect()
