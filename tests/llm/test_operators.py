@@ -267,3 +267,32 @@ def test_line_chunks_equal_brute_force(docs, corpus, nothing):
         want[cleaned[i]] += 1
     assert Counter(tuple(r) for r in line_chunks.cleaned(docs).collect()) == want
     assert sum(r[2] for r in want) > 0 and line_chunks.cleaned(nothing).count() == 0
+
+
+def test_every_repeated_run_of_over_50_words_goes(spark):
+    rng = random.Random(11)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passages = [[line(rng.randint(1, 45)) for _ in range(rng.randint(2, 12))] for _ in range(40)]
+    passages += [[line(26), line(26)], [line(30), line(30), line(10)], [line(5), line(50)], ["字" * 100, "行" * 100]]
+    texts = []
+    for _ in range(120):
+        own = [line(rng.randint(1, 30)) for _ in range(rng.randint(0, 6))]
+        for passage in rng.sample(passages, 2):
+            at = rng.randint(0, len(own))
+            own[at:at] = passage
+        texts.append(own)
+    runs, want, shown = {}, defaultdict(set), set()
+    for i, own in enumerate(texts):
+        for a in range(len(own)):
+            for b in range(a + 2, len(own) + 1):
+                run = tuple(own[a:b])
+                if sum(len(x.split()) for x in run) > 50 or len("\n".join(run).encode()) >= 400:
+                    if runs.setdefault(run, (i, a)) != (i, a):
+                        want[i].update(range(a, b))
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in line_chunks.cleaned(df.repartition(3)).collect():
+        left = r.clean.split("\n") if r.n_removed < r.n_lines else []
+        rest = iter(x for k, x in enumerate(texts[r.doc]) if k not in want[r.doc])
+        assert all(x in rest for x in left)  # no line of a repeated run is left
+        shown.update(left)
+    assert sum(map(len, want.values())) > 200 and shown == {x for t in texts for x in t}

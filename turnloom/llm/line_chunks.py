@@ -1,4 +1,4 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by content-defined chunks of lines and by least runs of lines.
 
 Lines are hashed; a rolling hash over the hashes of the last lines ends a chunk wherever it is a
 multiple of ``every``, so boundaries depend on the lines around them only and shift with them when
@@ -6,6 +6,12 @@ lines are put in elsewhere. A chunk of two lines or more that occurs again anywh
 removed everywhere but at its first place (smallest document, then position). Chunks that agree in their
 hash are compared byte by byte with the first one before anything is removed.
 
+Boundaries seldom fall on both ends of a short shared passage. So from every line on, and back from
+every line, the shortest run of two lines or more with over ``LEAST_WORDS`` words (or over ``LEAST_BYTES``
+bytes, for scripts without spaces) is a chunk too. Whatever run of that size occurs again is covered by
+them: each of its lines begins such a run inside it, or lies in the one that ends with it. The first
+occurrence of a line in the corpus always stays.
+
 Chunks travel as digests; texts are read again only for documents that hold a repeated digest, and the
 bytes of a chunk travel once per document that holds it. Counting is a sum per digest, so a chunk that
 a third of all documents share is counted where it is read, and joins on it are split by Spark.
@@ -32,6 +38,7 @@ from turnloom.llm import text as T
 from turnloom.sources.sinks import written
 
 WINDOW, EVERY, LONGEST = 2, 3, 512
+LEAST_WORDS, LEAST_BYTES = 50, 400
 MULTIPLIER = 0x9E3779B97F4A7C15
 CHUNKS = StructType([StructField("doc", LongType()), StructField("mark", LongType()),
                      StructField("line", LongType()), StructField("lines", LongType()),
@@ -55,23 +62,48 @@ def boundaries(hashes: np.ndarray, window: int = WINDOW, every: int = EVERY, lon
     rolling = np.zeros(n, np.uint64)
     for back in range(min(window, n)):
         rolling[back:] += hashes[:n - back] * np.uint64(pow(MULTIPLIER, back, 1 << 64))
-    ends = np.flatnonzero(T.mix(rolling) % np.uint64(every) == 0) + 1
-    cuts = np.unique(np.concatenate([[0], ends, [n]]))
+    cut = np.ones(n + 1, bool)
+    cut[1:n] = T.mix(rolling[:-1]) % np.uint64(every) == 0
+    cuts = np.flatnonzero(cut)
     if len(cuts) > 1 and np.diff(cuts).max() > longest:  # long runs without a boundary
         cuts = np.unique(np.concatenate([
             np.arange(a, b, longest) for a, b in zip(cuts[:-1], cuts[1:])] + [[n]]))
     return cuts
 
 
-def chunks(data: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """(first line, number of lines, bytes) of every chunk of two lines or more."""
-    starts = line_starts(data)
+def least_runs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First line and line after the last of the shortest runs that begin or end with each line."""
+    n = len(starts) - 1
+    space = T.SPACE[data]
+    words = np.searchsorted(np.flatnonzero(~space[1:] & space[:-1]), starts - 1)  # after a first word
+    if not space[0]:
+        words[1:] += 1
+    lines = np.arange(n + 1)
+    to, since = np.full(n + 1, n + 1), np.full(n + 1, -1)
+    for size, least in ((words, LEAST_WORDS), (starts, LEAST_BYTES)):
+        to = np.minimum(to, np.searchsorted(size, size + least, side="right"))
+        since = np.maximum(since, np.searchsorted(size, size - least) - 1)
+    to, since = np.maximum(to, lines + 2), np.minimum(since, lines - 2)
+    return (np.concatenate([lines[to <= n], since[since >= 0]]),
+            np.concatenate([to[to <= n], lines[since >= 0]]))
+
+
+def spans(data: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
+    """First line and line after the last of every chunk of two lines or more, in order."""
     if len(starts) < 3:
         return []
     cuts = boundaries(T.range_hashes(data, starts[:-1], starts[1:] - 1))
-    raw = data.tobytes()
-    return [(int(a), int(b - a), raw[starts[a]:starts[b] - 1])
-            for a, b in zip(cuts[:-1], cuts[1:]) if b - a >= 2]
+    long = np.diff(cuts) >= 2
+    first, past = least_runs(data, starts)
+    return sorted({*zip(cuts[:-1][long].tolist(), cuts[1:][long].tolist()), *zip(first.tolist(), past.tolist())})
+
+
+def chunks(data: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(first line, number of lines, bytes) of every chunk of two lines or more."""
+    starts = line_starts(data)
+    raw, at = data.tobytes(), starts.tolist()
+    for a, b in spans(data, starts):
+        yield a, b - a, raw[at[a]:at[b] - 1]
 
 
 def _mark(raw: bytes) -> int:
@@ -93,9 +125,12 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
             data = _text(value)
-            found = chunks(data)
-            mark = _mark(data.tobytes()) if found else 0
-            out.extend((doc, mark, line, n, *_digest(content)) for line, n, content in found)
+            mark = _mark(data.tobytes())
+            for line, n, content in chunks(data):
+                out.append((doc, mark, line, n, *_digest(content)))
+                if len(out) >= 100_000:
+                    yield _rows(out, CHUNKS)
+                    out = []
         if out:
             yield _rows(out, CHUNKS)
 
@@ -111,10 +146,10 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out, held = [], 0
         for doc, value, lines in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            data, wanted = _text(value), set(lines)
+            data, wanted = _text(value), {(x["line"], x["lines"]) for x in lines}
             mark = _mark(data.tobytes())
             for line, n, content in chunks(data):
-                if line in wanted:
+                if (line, n) in wanted:
                     out.append((doc, mark, line, n, *_digest(content), content))
                     held += len(content)
             if held > 4 << 20:
@@ -124,6 +159,24 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(out, BYTES)
 
 
+def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the repeated chunks of a document, as few as hold all their lines."""
+    for batch in batches:
+        out = []
+        for doc, mark, found in zip(*[c.to_pylist() for c in batch.columns]):
+            end, best = 0, None  # lines before ``end`` are held; ``best`` reaches furthest on
+            for x in sorted(found, key=lambda x: (x["line"], -x["lines"])):
+                if best is not None and x["line"] > end:
+                    out.append((doc, mark, *best))
+                    end, best = max(end, best[0] + best[1]), None
+                if x["line"] + x["lines"] > max(end, best[0] + best[1] if best else 0):
+                    best = tuple(x[f] for f in CHUNKS.names[2:])
+            if best is not None:
+                out.append((doc, mark, *best))
+        if out:
+            yield _rows(out, CHUNKS)
+
+
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out, held = [], 0
@@ -149,16 +202,22 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """doc, mark and the array ``spans`` (line, lines) of the chunks to remove, per document."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("binary").alias("text"))
     found = written(rows.mapInArrow(_chunked, CHUNKS), "chunks")
-    place = F.struct(F.col("doc").isNull().alias("null"), "doc", "mark", "line")
+    place = F.struct(F.col("doc").isNull().alias("null"), "doc", "mark", "line", "lines")
     repeated = written(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where(
         "n > 1").select("h1", "h2", "first"), "repeated")
-    wanted = found.join(repeated.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("doc", "mark").agg(
-        F.collect_set("line").alias("wanted"))
-    content = _joined(rows, wanted, "wanted", "inner").mapInArrow(_bytes, BYTES).dropDuplicates(
-        ["doc", "mark", "line"])
+    is_first = F.col("doc").eqNullSafe(F.col("first.doc"))
+    for part in ("mark", "line", "lines"):
+        is_first &= F.col(part) == F.col(f"first.{part}")
+    # Chunks overlap; only those that hold all repeated lines of a document, and their firsts, are compared.
+    later = found.join(repeated, ["h1", "h2"]).where(~is_first).groupBy("doc", "mark").agg(
+        F.collect_set(F.struct("line", "lines", "h1", "h2")).alias("found"))
+    later = written(later.mapInArrow(_cover, CHUNKS), "later")
+    at = ["doc", "mark", "line", "lines"]
+    firsts = repeated.join(later.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+    wanted = later.select(at).unionByName(firsts.select([f"first.{c}" for c in at])).groupBy("doc", "mark").agg(
+        F.collect_set(F.struct("line", "lines")).alias("wanted"))
+    content = _joined(rows, wanted, "wanted", "inner").mapInArrow(_bytes, BYTES).dropDuplicates(at)
     content = written(content, "contents").join(repeated, ["h1", "h2"])
-    is_first = (F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("mark") == F.col("first.mark"))
-                & (F.col("line") == F.col("first.line")))
     firsts = content.where(is_first).select("h1", "h2", F.col("content").alias("original"))
     same = content.where(~is_first).join(firsts, ["h1", "h2"]).where(F.col("content") == F.col("original"))
     return same.groupBy("doc", "mark").agg(
