@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and strings that a primed compressor finds new.
 
-Beside the base patterns, every string of key characters that stands behind a sensitive word is a
-candidate. Its novelty is its marginal compressed size: a zstandard compressor whose dictionary holds
+Beside the base patterns, every string of key characters that stands behind or before a sensitive word
+(also in camelCase or plural), or in a private key block, is a candidate. A string that is reported makes
+candidates of those parted from it by white space, quotes or punctuation only. A candidate's novelty is its marginal compressed size: a zstandard compressor whose dictionary holds
 the commonest identifiers of the whole corpus and the words of configuration code compresses the text
 around the candidate with and without it. Names and words that the surroundings or the dictionary hold
 cost few bytes; what cannot be compressed is reported as ``novel``.
@@ -14,8 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +37,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 # A maximal run has no shorter one inside that the contract's pattern would take instead.
 SENSITIVE_WORDS = ("passw", "passphrase", "pwd", "secret", "token", "key", "auth", "credential", "bearer")
-SENSITIVE = re.compile(
-    r"(?<![a-z])(?:passw(?:or)?d|passphrase|pwd|secret|token|(?:api|access|private|client|ssh)[ _-]?key"
-    r"|auth(?:orization)?|credentials?|bearer)(?![a-z])", re.I | re.A)
+SENSITIVE = re.compile(  # no letter on either side, or a new hump of a camelCase name
+    r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?=[A-Z][a-z]))"
+    r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|(?:api|access|private|client|ssh)[ _-]?key"
+    r"|auth(?:orization)?|credential|bearer)(?i:s?)(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))", re.A)
+BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END|\Z)", re.S)
+TAIL = re.compile(r"\s+([A-Za-z0-9+/=]{1,11})(?=\s*-----END)")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 REACH, AROUND = 48, 160
 SHARE, LEAST = 0.55, 9  # marginal bytes a character, and in all
@@ -91,6 +97,15 @@ def marginal_bytes(text: str, start: int, end: int, dictionary: bytes) -> int:
     return len(compress((before + text[start:end] + after).encode())) - len(compress((before + after).encode()))
 
 
+def linked_bytes(text: str, start: int, end: int, dictionary: bytes) -> int:
+    """Marginal bytes of a span among others like it: the lines of a key do not make one another usual."""
+    def names(part: str) -> str:
+        return CANDIDATE.sub(lambda m: "" if any(c.isdigit() for c in m[0]) else m[0], part)
+
+    before, after = names(text[max(0, start - AROUND):start]), names(text[end:end + AROUND])
+    return marginal_bytes(before + text[start:end] + after, len(before), len(before) + end - start, dictionary)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns."""
     out = []
@@ -104,32 +119,56 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], dictionary: bytes) -> list[tuple[int, int, int]]:
-    """Incompressible candidates behind a sensitive word, outside the base spans."""
+    """Incompressible candidates beside a sensitive word or a reported one, outside the base spans."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
-    out, done = [], 0
-    taken = [(a, b) for a, _, b in base]
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    starts, ends = [a for a, _ in runs], [b for _, b in runs]
+    begin: dict[int, int] = {}  # where the candidate begins in each run that is one
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), done), word.end() + REACH + 256):
-            if m.start() > word.end() + REACH:
-                break
-            end = _run_end(text, m.end())
-            done = max(done, end)
-            value = text[m.start():end]
-            if not any(c.isdigit() for c in value) or any(a < end and m.start() < b for a, b in taken):
+        a, b = word.span()
+        at = bisect_right(ends, b)
+        while at < len(runs) and starts[at] <= b + REACH:
+            start = max(starts[at], b)  # the word may stand in the run
+            if ends[at] - start >= 12:
+                begin.setdefault(at, start)
+            at += 1
+        at = bisect_left(ends, a) - 1
+        while at >= 0 and ends[at] >= a - REACH:
+            begin.setdefault(at, starts[at])
+            at -= 1
+    linked = set()  # in a key block, or beside one that is reported
+    for block in BLOCK.finditer(text) if "-----BEGIN " in text else ():
+        linked.update(range(bisect_left(starts, block.start(1)), bisect_left(starts, block.end(1))))
+    for at in linked:
+        begin.setdefault(at, starts[at])
+    taken = sorted((a, b) for a, _, b in base)
+    reach = list(accumulate((b for _, b in taken), max))  # how far the base spans up to each one go
+    out, ahead = [], sorted(begin, reverse=True)
+    while ahead:
+        at = ahead.pop()
+        start, end = begin[at], ends[at]
+        before = bisect_left(taken, (end,)) - 1  # the last base span that begins before the end
+        if before < 0 or reach[before] <= start:
+            value = text[start:end]
+            if not any(c.isdigit() for c in value):
                 continue
-            cost = marginal_bytes(text, m.start(), end, dictionary)
-            if cost >= LEAST and cost >= SHARE * len(value):
-                out.append((m.start(), 3, end))
-    return out
-
-
-RUN = re.compile(r"[A-Za-z0-9+/_=-]*")
-
-
-def _run_end(text: str, at: int) -> int:
-    return RUN.match(text, at).end()
+            cost = (linked_bytes if at in linked else marginal_bytes)(text, start, end, dictionary)
+            if cost < LEAST or cost < SHARE * len(value):
+                continue
+            out.append((start, 3, end))
+            tail = TAIL.match(text, end)
+            if tail:
+                out.append((tail.start(1), 3, tail.end(1)))
+        for beside in (at - 1, at + 1):
+            if 0 <= beside < len(runs) and beside not in begin:
+                gap = text[ends[min(at, beside)]:starts[max(at, beside)]]
+                if not any(c.isalnum() for c in gap):
+                    begin[beside] = starts[beside]
+                    linked.add(beside)
+                    ahead.append(beside)
+    return sorted(out)
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
