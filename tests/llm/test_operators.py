@@ -321,3 +321,12 @@ def test_secret_scan_takes_whole_key_blocks_and_camel_case():
         assert not any(h in left for h in hidden), left
     plain = "the tokenizer of secretary_and_monkeys_2 reads " + secret
     assert secret_scan.novel_spans(plain, [], secret_scan.dictionary_of([])) == []
+
+
+def test_identifiers_of_code_reach_the_dictionary(spark):
+    code = "x = config.get_token(user)\n\tsha256_of_block_7(user);\nend_of_line\n"
+    secret = "q7Zt2Lw9Xc4Vb8Nm3Kj6Hf1Gd5"
+    df = spark.createDataFrame([(i, code) for i in range(9)] + [(9, secret), (10, None)], "doc_id long, text string")
+    found = secret_scan.common_words(df)
+    assert found[0] == "user" and set(found) == {"user", "config", "get_token", "sha256_of_block_7", "end_of_line"}
+    assert secret_scan.common_words(df, words=1) == ["user"]

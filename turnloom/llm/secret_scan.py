@@ -16,13 +16,13 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -46,7 +46,8 @@ TAIL = re.compile(r"\s+([A-Za-z0-9+/=]{1,11})(?=\s*-----END)")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 REACH, AROUND = 48, 160
 SHARE, LEAST = 0.55, 9  # marginal bytes a character, and in all
-WORDS = 2048
+WORDS, LONGEST, USUAL = 2048, 255, 8
+IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,}", re.A)
 CODE = ("password passwd secret token api_key apikey access_key private_key client_secret username user "
         "config configuration settings environment variable import return function class public static "
         "https http www example localhost Authorization Bearer Basic null true false None default value "
@@ -61,20 +62,26 @@ FOUND = StructType([
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Identifiers (letters and underscores, 4 to 24) of every piece of text with their counts."""
+    """Identifiers of every piece of text with their counts."""
     for batch in batches:
         for lo, hi in row_ranges(batch.column(0), 8 << 20):
-            parts = pc.split_pattern(batch.column(0).slice(lo, hi - lo).fill_null(""), " ").flatten()
-            seen = pc.value_counts(parts)
-            words, n = seen.field("values"), seen.field("counts")
-            good = pc.match_substring_regex(words, r"^[A-Za-z_]{4,24}$")
-            yield pa.RecordBatch.from_arrays([words.filter(good), n.filter(good)], ["word", "n"])
+            seen = Counter()
+            for value in batch.column(0).slice(lo, hi - lo).to_pylist():
+                seen.update(IDENTIFIER.findall(value or ""))
+            words = [w for w in seen if len(w) <= LONGEST]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n"])
 
 
 def common_words(docs: DataFrame, text: str = "text", words: int = WORDS) -> list[str]:
-    """The commonest identifiers of all texts; their number bounds what reaches the driver."""
+    """The commonest identifiers of all texts; their number and length bound what reaches the driver.
+
+    A word with digits counts from ``USUAL`` occurrences on: a small corpus has few other words, and a
+    secret with some copies must not pass for a name.
+    """
     counted = docs.select(F.col(text).cast("string")).mapInArrow(_count, COUNTS)
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
+    total = counted.groupBy("word").agg(F.sum("n").alias("n"))
+    top = total.where((F.col("n") >= USUAL) | ~F.col("word").rlike("[0-9]")).orderBy(F.desc("n"), "word").limit(words)
     return [r["word"] for r in top.collect()]
 
 
