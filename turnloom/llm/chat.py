@@ -3,10 +3,12 @@
 A template is any function from turns to text. The prefix of i turns is rendered for every i; where
 the output only grows, the growth is turn i's span, and rendering the same turn with two probe texts
 shows where its text lies in it. Where an output does not begin with the one before, the template
-rewrites history, and the turn is marked so. Long conversations are rendered from a later turn on once
-that is seen to give the same span for the newest turn, so a conversation costs time in proportion to
-its length and memory for a bounded number of turns; a template whose spans depend on turns further
-back keeps the full prefix.
+rewrites history, and the turn is marked so. No number of equal spans shows that a template will never
+look further back, so every prefix is rendered whole, in time that grows with the square of a
+conversation's length. Only for a template that the caller declares ``local`` (as the default is: a turn's
+span depends on the few turns before it, and any turn may be the first rendered) long conversations are
+rendered from a later turn on, in time in proportion to their length and memory for a bounded number of
+turns.
 
 The output is one row per turn, in order: the formatted conversation is its segments in a row.
 
@@ -87,10 +89,10 @@ def _common(a: str, b: str) -> int:
 class Incremental:
     """Spans of one conversation's turns, one turn at a time."""
 
-    def __init__(self, template: Callable[[Turns], str], window: int = WINDOW):
+    def __init__(self, template: Callable[[Turns], str], window: int = WINDOW, local: bool = False):
         self.template, self.window = template, window
         self.turns: Turns = []
-        self.output, self.end, self.keep_all = "", 0, False
+        self.output, self.end, self.keep_all = "", 0, not local
 
     def add(self, role: str, text: str) -> tuple[str, int, int, int, bool]:
         """Segment, its start, start and end of the text in it, and whether history was rewritten."""
@@ -120,7 +122,7 @@ class Incremental:
             self.keep_all = True
 
 
-def _format(template: Callable[[Turns], str], learn: tuple[str, ...]):
+def _format(template: Callable[[Turns], str], learn: tuple[str, ...], local: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state, position = object(), None, 0
         for batch in batches:
@@ -128,7 +130,7 @@ def _format(template: Callable[[Turns], str], learn: tuple[str, ...]):
             for conv, role, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                         batch.column(2)):
                 if conv != key:
-                    key, state, position = conv, Incremental(template), 0
+                    key, state, position = conv, Incremental(template, local=local), 0
                 role, text = role or "", text.as_py() or ""
                 segment, start, a, b, rewrites = state.add(role, text)
                 out.append((conv, position, role, segment, start, a, b, role in learn, rewrites))
@@ -151,10 +153,11 @@ def _rows(rows: list[tuple], schema: StructType) -> pa.RecordBatch:
 
 def formatted(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
               role: str = "role", text: str = "text", template: Callable[[Turns], str] = marked,
-              learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
+              learn: tuple[str, ...] = ("assistant",), local: bool | None = None) -> DataFrame:
     """One row per turn with its segment and offsets (code points) in the formatted conversation.
 
-    ``loss`` marks the turns to learn from; their text lies between text_start and text_end. Rows of
+    ``local`` declares that the template looks back a few turns only; unless given, the default template
+    alone is taken so. ``loss`` marks the turns to learn from; their text lies between text_start and text_end. Rows of
     a conversation lie in one partition, in order.
     """
     rows = conversations.select(
@@ -162,7 +165,7 @@ def formatted(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "t
         F.col(text).cast("string").alias("text"), F.col(turn).alias("_turn"))
     return (
         rows.repartition("conv_id").sortWithinPartitions("conv_id", "_turn", "role", "text")
-        .select("conv_id", "role", "text").mapInArrow(_format(template, learn), TURNS)
+        .select("conv_id", "role", "text").mapInArrow(_format(template, learn, template is marked if local is None else local), TURNS)
     )
 
 
