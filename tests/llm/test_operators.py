@@ -68,6 +68,15 @@ def test_jaccard_equals_brute_force(docs, corpus, nothing):
     assert jaccard.keep_first(docs).columns == docs.columns
 
 
+def test_repeated_identifier_does_not_hide_a_link(spark):
+    small = " ".join(f"word{i}" for i in range(60))
+    large = " ".join(f"other{i}" for i in range(90))
+    rows = [(5, small), (5, large), (7, small), (8, small + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(tuple(r) for r in jaccard.groups(df).collect()) == [
+        (5, 87, 5), (5, 87, 5), (7, 57, 7), (8, 58, 7)]
+
+
 def test_signatures_meet_for_every_similar_pair():
     rng = np.random.default_rng(1)
     for size in (7, 13, 40, 200, 900):

@@ -117,16 +117,21 @@ def _digests(n: int):
 
 
 def _signatures(n: int, num: int, den: int):
-    """Signatures of the first row of every class that the task meets (a repeat adds nothing)."""
+    """Signatures of the first row of every class that the task meets (a repeat adds nothing).
+
+    Of an identifier with different sets (the columns n, h1 and h2 are not null) only rows with the set
+    that stands for it give any.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
             ids = batch.column(0).to_numpy()
             sigs, own, held = [], [], 0
-            for i, grams in zip(ids, T.shingle_sets(batch.column(1), n)):
+            stands = zip(*[batch.column(c).to_pylist() for c in (2, 3, 4)])
+            for i, grams, own_set in zip(ids, T.shingle_sets(batch.column(1), n), stands):
                 digest = _digest(grams)
-                if digest in seen:
+                if digest in seen or own_set[0] is not None and own_set != (len(grams), *digest):
                     continue
                 seen.add(digest)
                 sigs.append(signatures(grams, num, den))
@@ -230,15 +235,16 @@ def _verified(pairs: DataFrame, rows: DataFrame, of: DataFrame, n: int, num: int
 
 
 def classes(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """id, n (set size), h1, h2 (digest), rep (smallest identifier with an equal set), rows.
+    """id, n (set size), h1, h2 (digest), rep (smallest identifier with an equal set), rows, mixed.
 
-    One row per identifier; where it repeats with different texts, the largest set stands for it.
+    One row per identifier; where it repeats with different sets (mixed), the largest stands for it.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     digests = rows.where(F.col("id").isNotNull()).mapInArrow(_digests(n), DIGESTS)
+    own = F.struct("n", "h1", "h2")
     per_id = written(digests.groupBy("id").agg(
-        F.max(F.struct("n", "h1", "h2", "sketch", "wide")).alias("d"), F.count("*").alias("rows")
-    ).select("id", "d.*", "rows"), "digests")
+        F.max(F.struct("n", "h1", "h2", "sketch", "wide")).alias("d"), F.count("*").alias("rows"),
+        (F.min(own) < F.max(own)).alias("mixed")).select("id", "d.*", "rows", "mixed"), "digests")
     repeated = per_id.where("n > 0").groupBy("n", "h1", "h2").agg(
         F.min("id").alias("rep"), F.count("*").alias("ids")).where("ids > 1").drop("ids")
     joined = per_id.join(repeated, ["n", "h1", "h2"], "left")
@@ -254,7 +260,8 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     of = classes(docs, doc_id, text, n)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     rows = rows.where(F.col("id").isNotNull())
-    emitted = rows.mapInArrow(_signatures(n, num, den), SIGNATURES)
+    mixed = written(of.where("mixed").select("id", "n", "h1", "h2"), "mixed")
+    emitted = rows.join(mixed, "id", "left").select("id", "text", "n", "h1", "h2").mapInArrow(_signatures(n, num, den), SIGNATURES)
     found = written(_several(emitted, "id").select("sig", "id"), "members")
     reps = of.select("id", "rep").distinct()
     grouped = found.join(reps, "id").select("sig", F.col("rep").alias("id"))
