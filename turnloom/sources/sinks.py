@@ -33,6 +33,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the folder of a table from ``written`` that nothing will read again."""
+    jvm = df.sparkSession._jvm
+    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if folder.getParent().getName() == "turnloom":
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def bucketed(df: DataFrame, name: str, key: str = "idx", buckets: int | None = None
              ) -> tuple[str, DataFrame]:
     """Write a table bucketed by its row key below the shared folder.
