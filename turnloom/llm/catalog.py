@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from turnloom.llm import (
-    chat, exact_dedup, jaccard, language, line_chunks, mixing, packing, pii, quality, secret_scan,
+    chat, exact_dedup, jaccard, language, licenses, line_chunks, merkle, mixing, packing, pii, quality, repair,
+    secret_scan,
 )
 
 QUERIES = {
@@ -17,10 +18,16 @@ QUERIES = {
     "op8_personal_data": pii.op8_personal_data,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_line_chunks": line_chunks.op10_line_chunks,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_conversation_repair": repair.op12_conversation_repair,
+    "op13_license_scan": licenses.op13_license_scan,
 }
 ORACLE = {
     "op1_ngram_jaccard": jaccard.ORACLE,
     "op2_chat_formatting": chat.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op7_temperature_mixing": mixing.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_conversation_repair": repair.ORACLE,
+    "op13_license_scan": licenses.ORACLE,
 }

@@ -84,10 +84,11 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and the number of words before each row."""
+def word_ranges(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE
+                ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and the number of words before each row; ``outside``: bytes between words."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~SPACE[data]
+    inside[1:-1] = ~outside[data]
     at_row = np.zeros(len(data) + 1, bool)
     at_row[offsets] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | at_row))
