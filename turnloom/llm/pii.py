@@ -1,21 +1,29 @@
 """Personal data by weak supervision: labelers vote on candidate spans, a trained classifier decides.
 
 Candidates are all spans of the base patterns, also those that fail their check, and of looser ones.
-Regex labelers (strict form, checksum), a gazetteer labeler (known domains, service prefixes) and
-context labelers (words before the span, being part of a longer string) vote or abstain.
-Expectation-maximisation over the counts of vote patterns estimates their reliability; its posterior
-trains a logistic classifier on features of the span. Both see counts per pattern over the whole
-corpus, at most a few thousand rows, however many candidates there are. Base spans that pass stay in
-any case; looser candidates are added when the classifier holds them for personal data.
-
-Defined cases: a null text is empty and has no spans; very long texts are scanned whole and in time
-linear in their length; repeated rows are scanned alike; an empty table gives an empty result; other
+Regex labelers (strict form, checksum), a gazetteer labeler (top-level domains, reserved addresses, number
+ranges that are never given out) and context labelers (words before the span, technical words, being part of
+a longer string) vote for or against personal data, or abstain. Per kind of span, expectation-maximisation
+over the counts of vote patterns estimates how reliable they are and how much of the kind is personal; it
+begins from stated vote shares, and every pattern that the labelers of a kind can cast counts as ``VIRTUAL``
+further spans in their expected shares, so a kind that a corpus hardly holds keeps the stated judgement.
+The posteriors train one logistic classifier on kind, votes and form of the span; every kind weighs the
+same there, however frequent. Both see counts per pattern over the whole corpus, at most a few thousand rows.
+
+Base spans that pass stay in any case, and base spans that fail their check are what the classifier learns
+to reject, beside loose candidates that labelers speak against. Loose candidates that touch no base span are
+added when the classifier holds them for personal data.
+
+Defined cases: a null text is empty and has no spans; very long texts are scanned whole, in time linear in
+their length but for sorting their spans; repeated rows are scanned alike; an empty table gives an empty result; other
 columns are never read.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -45,13 +53,27 @@ DIGIT = re.compile(r"[0-9]")
 CONTEXT = re.compile(
     r"mail|contact|write|phone|tel|call|mobile|fax|card|visa|credit|account|iban|ssn|social|passport|"
     r"address|host|server|login|customer", re.I)
-TECHNICAL = re.compile(r"version|build|release|chapter|section|isbn|invoice|order no|serial", re.I)
-DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "uk", "eu", "ch", "at")
-RULES = {"strict": (0.9, 0.1), "checksum": (0.9, 0.1), "gazetteer": (0.85, 0.3), "context": (0.9, 0.3),
-         "technical": (0.95, 0.4), "free": (0.9, 0.3)}
-FEATURES = (*[f"is_{k}" for k in KINDS], "long", "spaced", "parens", "letters", "near_word", "in_word")
+TECHNICAL = re.compile(r"version|build|release|chapter|section|isbn|invoice|order|serial|part no|model|sku", re.I)
+DOMAINS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "app", "dev", "online",
+           "site", "cloud", "tech", "shop", "blog", "email", "xyz", "me", "io", "ai")
+# Shares of the votes against, none, for: among personal data, and among other spans.
+RULES = {
+    "strict": ((0.05, 0.05, 0.90), (0.60, 0.05, 0.35)),
+    "checksum": ((0.01, 0.50, 0.49), (0.45, 0.50, 0.05)),
+    "gazetteer": ((0.05, 0.45, 0.50), (0.40, 0.45, 0.15)),
+    "context": ((0.005, 0.45, 0.545), (0.005, 0.85, 0.145)),
+    "technical": ((0.03, 0.96, 0.01), (0.40, 0.59, 0.01)),
+    "free": ((0.05, 0.01, 0.94), (0.50, 0.01, 0.49)),
+}
+PRIOR = (0.9, 0.6, 0.6, 0.7, 0.5, 0.5, 0.5, 0.6)  # share of personal data, per kind
+VIRTUAL, STRENGTH = 50.0, 200.0
+# Which votes a labeler can cast, where not all three: by rule, by kind.
+CAST = {"context": (0, 1), "technical": (-1, 0), "free": (-1, 1)}
+CHECKED, TOLD = (2, 6), (0, 1, 2, 3)  # kinds with a checksum, kinds with a strict form
+FORM = ("long", "spaced", "parens", "letters")
+FEATURES = (*[f"is_{k}" for k in KINDS], *[f"{r}_{v}" for r in RULES for v in ("for", "against")], *FORM)
 PATTERNS = StructType([StructField("kind", LongType()), StructField("votes", StringType()),
-                       StructField("features", StringType()), StructField("n", LongType())])
+                       StructField("form", StringType()), StructField("n", LongType())])
 FOUND = StructType([
     StructField("doc_id", LongType()), *[StructField(f"n_{k}", LongType()) for k in BASE],
     StructField("n_added", LongType()), StructField("base_sha256", StringType()),
@@ -111,29 +133,47 @@ def candidates(text: str) -> Iterator[tuple[int, int, int, bool]]:
             yield 7, *m.span(), False
 
 
+def _gazetteer(kind: int, value: str) -> int:
+    """For, against or no vote by what is known of such values."""
+    if kind in (0, 7):
+        last = value.rstrip(")] ").replace(" ", "").rpartition(")" if ")" in value else "." if "." in value else "]")[2]
+        last = last.rpartition(".")[2].lower()
+        return 1 if last in DOMAINS else 0 if len(last) == 2 and last.isalpha() else -1
+    if kind == 1:
+        return -1 if value.startswith(("0.", "127.", "255.")) or value.endswith(".0") else 1
+    digits = [c for c in value if c.isdigit()]
+    if kind in (2, 3):
+        return -1 if len(set(digits)) <= 2 else 0
+    if kind == 4:  # area and exchange never begin with 0 or 1
+        return -1 if digits[0] in "01" or digits[3] in "01" or len(set(digits)) <= 2 else 1
+    if kind == 5:  # areas, groups and serials that are never given out
+        return -1 if value[:3] in ("000", "666") or value[0] == "9" or value[4:6] == "00" or value[7:] == "0000" else 0
+    return 0
+
+
 def label(text: str, kind: int, a: int, b: int, passes: bool) -> tuple[tuple[int, ...], tuple[int, ...]]:
-    """Votes of the labelers, and features of the span, for one candidate."""
+    """Votes of the labelers, and the form of the span, for one candidate."""
     value, before = text[a:b], text[max(0, a - 40):a]
-    digits = sum(c.isdigit() for c in value)
-    strict = (1 if passes else -1) if kind < 4 else (0 if kind == 4 else 1)
-    checksum = (1 if passes else -1) if kind == 2 else (1 if _iban(value) else -1) if kind == 6 else 0
-    gazetteer = 0
-    if kind in (0, 7):
-        gazetteer = 1 if value.rstrip(")]").rpartition(".")[2].lower() in DOMAINS or kind == 7 else -1
-    elif kind == 1:
-        gazetteer = -1 if value.startswith(("0.", "127.", "255.")) else 1
-    elif kind in (3, 4):
-        gazetteer = -1 if len(set(value)) <= 3 else 1 if digits >= 10 else 0
-    elif kind == 5:
-        gazetteer = -1 if value.startswith(("000", "666", "9")) else 0
+    strict = (1 if passes else -1) if kind in TOLD else 0
+    checksum = 0 if kind not in CHECKED else 1 if (passes if kind == 2 else _iban(value)) else -1
     context = 1 if CONTEXT.search(before) else 0
     technical = -1 if TECHNICAL.search(before) else 0
     left, right = text[a - 1:a], text[b:b + 1]
     joined = left.isalnum() or right.isalnum() or left in ("/", "_", "#") or right in ("/", "_")
-    features = [int(kind == k) for k in range(len(KINDS))]
-    features += [int(b - a > 16), int(" " in value), int("(" in value), int(any(c.isalpha() for c in value)),
-                 int(context > 0), int(joined)]
-    return (strict, checksum, gazetteer, context, technical, -1 if joined else 1), tuple(features)
+    form = int(b - a > 16), int(" " in value), int("(" in value), int(any(c.isalpha() for c in value))
+    return (strict, checksum, _gazetteer(kind, value), context, technical, -1 if joined else 1), form
+
+
+def features(kind: int, vote: tuple[int, ...], form: tuple[int, ...]) -> tuple[int, ...]:
+    return (*[int(kind == k) for k in range(len(KINDS))], *[int(v == x) for v in vote for x in (1, -1)], *form)
+
+
+def castable(kind: int) -> list[tuple[int, ...]]:
+    """All vote patterns that the labelers can cast on a kind."""
+    votes_of = [CAST.get(r, (-1, 0, 1)) for r in RULES]
+    votes_of[0] = (-1, 1) if kind in TOLD else (0,)
+    votes_of[1] = (-1, 1) if kind in CHECKED else (0,)
+    return list(itertools.product(*votes_of))
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +182,8 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for value in batch.column(0):
             text = value.as_py() or ""
             for kind, a, b, passes in candidates(text):
-                vote, features = label(text, kind, a, b, passes)
-                seen[kind, ",".join(map(str, vote)), ",".join(map(str, features))] += 1
+                vote, form = label(text, kind, a, b, passes)
+                seen[kind, ",".join(map(str, vote)), ",".join(map(str, form))] += 1
     if seen:
         rows = [(*k, n) for k, n in seen.items()]
         types = [pa.int64(), pa.string(), pa.string(), pa.int64()]
@@ -167,38 +207,60 @@ def fit_classifier(features: np.ndarray, target: np.ndarray, counts: np.ndarray,
     return w
 
 
+def train(seen: list[tuple[int, tuple[int, ...], tuple[int, ...], int]]) -> np.ndarray:
+    """Weights of the classifier from (kind, votes, form, count) of all candidates."""
+    start = np.array([[shares[1] for shares in RULES.values()], [shares[0] for shares in RULES.values()]])
+    rows, target, weight = [], [], []
+    for kind, prior in enumerate(PRIOR):
+        own = [(v, f, float(n)) for k, v, f, n in seen if k == kind]
+        patterns = castable(kind)
+        at = np.arange(len(RULES))
+        shares = np.array([sum(p * np.prod(start[c, at, np.array(v) + 1]) for c, p in ((1, prior), (0, 1 - prior)))
+                           for v in patterns])
+        own += [(v, (0,) * len(FORM), VIRTUAL * x) for v, x in zip(patterns, shares / shares.sum())]
+        vote, counts = np.array([v for v, _, _ in own]), np.array([n for _, _, n in own])
+        model = votes.fit(vote, counts, start, prior=prior, strength=STRENGTH)
+        rows += [features(kind, v, f) for v, f, _ in own]
+        target.append(model.posterior(vote))
+        weight.append(counts / counts.sum())
+    return fit_classifier(np.array(rows, float), np.concatenate(target), np.concatenate(weight), ridge=1e-5)
+
+
 def learn(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Weights of the span classifier, from all candidates of all texts."""
+    def numbers(joined: str) -> tuple[int, ...]:
+        return tuple(int(v) for v in joined.split(","))
+
     seen = docs.select(F.col(text).cast("string")).mapInArrow(_patterns, PATTERNS).groupBy(
-        "votes", "features").agg(F.sum("n").alias("n")).orderBy("votes", "features").collect()
-    vote = np.array([[int(v) for v in r["votes"].split(",")] for r in seen]).reshape(-1, len(RULES))
-    features = np.array([[int(v) for v in r["features"].split(",")] for r in seen], float).reshape(-1, len(FEATURES))
-    counts = np.array([r["n"] for r in seen], float)
-    # A labeler's bad votes: rare among personal data, frequent among the rest.
-    start = votes.expected([(1 - good, 1 - bad) for good, bad in RULES.values()], abstain=0.3)
-    model = votes.fit(vote, counts, start, prior=0.7)
-    return fit_classifier(features, model.posterior(vote), counts)
+        "kind", "votes", "form").agg(F.sum("n").alias("n")).orderBy("kind", "votes", "form").collect()
+    return train([(r["kind"], numbers(r["votes"]), numbers(r["form"]), r["n"]) for r in seen])
 
 
-def probability(features: tuple[int, ...], weights: np.ndarray) -> float:
-    return float(1 / (1 + np.exp(-(np.dot(features, weights[:-1]) + weights[-1]))))
+def probability(values: tuple[int, ...], weights: np.ndarray) -> float:
+    return float(1 / (1 + np.exp(-(np.dot(values, weights[:-1]) + weights[-1]))))
 
 
 def find(text: str, weights: np.ndarray, threshold: float = 0.5
          ) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans and added spans as (kind, start, end); added ones do not touch base ones."""
+    """Base spans and added spans as (kind, start, end); added ones touch neither base nor added ones."""
     base, loose = [], []
     for kind, a, b, passes in candidates(text):
         if passes:
             base.append((kind, a, b))
         elif kind >= len(BASE):
-            loose.append((kind, a, b))
+            loose.append((a, b, kind))
     base.sort()
-    added = []
-    for kind, a, b in loose:
-        if not any(a < y and x < b for _, x, y in base) and not any(a < y and x < b for _, x, y in added):
-            if probability(label(text, kind, a, b, False)[1], weights) >= threshold:
-                added.append((kind, a, b))
+    taken = sorted((a, b) for _, a, b in base)
+    starts = [a for a, _ in taken]
+    reach = list(itertools.accumulate((b for _, b in taken), max))  # how far the spans so far go
+    added, end = [], 0
+    for a, b, kind in sorted(loose):
+        before = bisect.bisect_left(starts, b)
+        if a < end or before and reach[before - 1] > a:
+            continue
+        if probability(features(kind, *label(text, kind, a, b, False)), weights) >= threshold:
+            added.append((kind, a, b))
+            end = b
     return base, added
 
 
