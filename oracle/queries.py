@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from oracle import base as b
 from turnloom.plans.catalog import (
-    BASE, PASSAGE_LABELS, PROMPT_SETTINGS, SEED, TRAIN_SETTINGS,
+    BASE, MERGED, PASSAGE_LABELS, PROMPT_SETTINGS, SEED, TRAIN_SETTINGS,
 )
 from turnloom.settings import RECIPES, Settings
 
@@ -85,8 +85,8 @@ ORACLE["sink_summary"] = b.sql(
     {', '.join(f'arg_max(bleu{k}, idx) AS last{k}' for k in range(1, 5))} FROM rows_)""",
     b.scored("R"), b.row_scores())
 ORACLE["sink_layout"] = b.sql(
-    "SELECT 'base-model' AS model, 'item_selection' AS run_name, count(*) AS n_rows, "
-    "1::BIGINT AS n_dates, sum(idx)::BIGINT AS idx_sum FROM gen_I")
+    f"""SELECT idx, md5({b.norm_space('topic')}) AS label_md5, md5({GEN}) AS gen_md5, 'base-model' AS model,
+    'item_selection' AS run_name, true AS dated FROM gen_I JOIN samples USING (idx)""")
 ORACLE["sink_rerank"] = b.sql(
     f"SELECT idx, {b.list_columns('picked', 'picked')} FROM reranked", b.reranked())
 
@@ -407,20 +407,36 @@ ORACLE["pad_batches"] = b.sql(
     {b.md5_list("list_concat(list_transform(range(gap), lambda q: '0'), list_transform(ids, lambda q: '1'))")} AS mask_md5
     FROM (SELECT *, ((max(len(ids)) OVER (PARTITION BY batch) + 7) // 8 * 8 - len(ids))::BIGINT AS gap
     FROM (SELECT idx, ids, idx // 16 AS batch FROM tok))""", *_tokenized)
-ORACLE["train_batches"] = b.sql(
-    f"""SELECT idx, batch, pos, {b.list_columns('ids', "list_concat(list_transform(range(gap), lambda q: '<pad>'), ids)")},
-    {b.list_columns('labels', "list_concat(list_transform(range(gap), lambda q: '-100'), ids)")},
+
+
+def merged(select: str) -> str:
+    """Rows ``m`` of both copies: idx, copy, part, shuffle_key, example, ids, labels."""
+    parts, ctes = [], []
+    for copy in (0, 1):
+        cfg, name = MERGED.with_(copy=copy), f"copy{copy}"
+        lists = "" if copy == 0 else " REPLACE ([[]::VARCHAR[]] AS know)"
+        ctes += [f"gated{copy} AS (SELECT *{lists} FROM prep WHERE {b.gate(cfg)})", b.train_texts(cfg, name, f"gated{copy}")]
+        parts.append(f"SELECT idx, {copy}::BIGINT AS copy, example, prompt FROM {name}")
+    ids = f"list_append({token_list('example')}, '</s>')"
+    return b.sql(
+        select, b.prepared(MERGED), *ctes,
+        "places AS (SELECT idx, row_number() OVER (ORDER BY md5('42|' || idx), idx) AS place FROM gated0)",
+        f"""m AS (SELECT *, {masked('ids', f"least(len({token_list('prompt')}), len(ids))")} AS labels,
+        CASE WHEN place <= 50 THEN 'val' ELSE 'train' END AS part,
+        md5('{SEED}|' || idx || '|' || copy) AS shuffle_key
+        FROM (SELECT *, {ids} AS ids FROM ({' UNION ALL '.join(parts)})) JOIN places USING (idx))""")
+
+
+ORACLE["train_batches"] = merged(
+    f"""SELECT idx, copy, batch, pos, {b.list_columns('ids', "list_concat(list_transform(range(gap), lambda q: '<pad>'), ids)")},
+    {b.list_columns('labels', "list_concat(list_transform(range(gap), lambda q: '-100'), labels)")},
     {b.md5_list("list_concat(list_transform(range(gap), lambda q: '0'), list_transform(ids, lambda q: '1'))")} AS mask_md5
     FROM (SELECT *, ((max(len(ids)) OVER (PARTITION BY batch) + 7) // 8 * 8 - len(ids))::BIGINT AS gap
-    FROM (SELECT idx, ids, pos, pos // 16 AS batch
-    FROM (SELECT idx, ids, row_number() OVER (ORDER BY md5('42|' || idx), idx) - 1 AS pos FROM tok)))""",
-    *_tokenized)
-_merged = RECIPES["inspired_item"].with_(merge=True)
-ORACLE["train_examples_merge"] = b.sql(
-    f"""SELECT idx, copy, CASE WHEN place <= 50 THEN 'val' ELSE 'train' END AS part,
-    md5('{SEED}|' || idx || '|' || copy) AS shuffle_key
-    FROM (SELECT idx, row_number() OVER (ORDER BY md5('42|' || idx), idx) AS place
-    FROM prep WHERE {b.gate(_merged)}), range(2) r(copy)""", b.prepared(_merged))
+    FROM (SELECT *, pos // 16 AS batch FROM (
+    SELECT *, row_number() OVER (ORDER BY shuffle_key, idx, copy) - 1 AS pos FROM m WHERE part = 'train')))""")
+ORACLE["train_examples_merge"] = merged(
+    f"""SELECT idx, copy, part, shuffle_key, {b.text_columns('example', 'example')}, len(ids) AS n_ids,
+    {b.md5_list('labels')} AS labels_md5 FROM m""")
 _exp = [f"exp(-0.5 * {i})" for i in range(5)]
 ORACLE["beam_softmax"] = b.sql(
     "SELECT idx, len(beams) AS n_beams, " + ", ".join(
@@ -433,3 +449,39 @@ ORACLE["beams_reshape"] = b.sql("SELECT idx, array_to_string(beams, '|') AS beam
 ORACLE["stream_metrics"] = b.sql(
     "SELECT split, count(*) AS cnt, " + ", ".join(f"round(avg({m}), 9) AS {m}" for m in b.METRICS)
     + " FROM rows_ GROUP BY split", b.scored("R"), b.row_scores())
+
+# --- runs that go on, and orders of any key ---------------------------------------------------
+ORACLE["stream_running"] = ORACLE["running_metrics"]
+ORACLE["sink_committed"] = ORACLE["sink_scored_epochs"]
+ORACLE["passage_dictionary"] = ORACLE["prompt_DIP2I_cot"]
+ORACLE["range_positions"] = """
+    SELECT doc_id, key, row_number() OVER (ORDER BY key) - 1 AS key_pos,
+    row_number() OVER (ORDER BY doc_id DESC) - 1 AS id_pos,
+    sum(length(text)) OVER (ORDER BY key ROWS UNBOUNDED PRECEDING)::BIGINT AS run_chars
+    FROM (SELECT doc_id, text, md5(doc_id::VARCHAR) AS key FROM documents)"""
+ORACLE["scan_knowledge_split"] = ORACLE["scan_knowledge"]
+ORACLE["val_threshold"] = b.sql(
+    "SELECT idx, " + ", ".join(f"place <= {n} AS in_{n}" for n in (1, 50, 1000))
+    + " FROM (SELECT idx, row_number() OVER (ORDER BY md5('42|' || idx), idx) AS place FROM samples)")
+ORACLE["length_batches"] = b.sql(
+    """SELECT idx, n_ids, batch, place FROM cut JOIN (SELECT block, c, row_number() OVER (
+    ORDER BY md5('42|' || block || '|' || c), block, c) - 1 AS batch FROM cut WHERE place = 0) USING (block, c)""",
+    *_tokenized,
+    """blocks AS (SELECT *, (row_number() OVER (ORDER BY h, idx) - 1) // 128 AS block
+    FROM (SELECT idx, len(ids) AS n_ids, md5('42|' || idx) AS h FROM tok))""",
+    """cut AS (SELECT idx, n_ids, block, r // 16 AS c, r % 16 AS place FROM (SELECT *, row_number() OVER (
+    PARTITION BY block ORDER BY n_ids DESC, h, idx) - 1 AS r FROM blocks))""")
+ORACLE["distinct_n_sketch"] = b.sql(
+    """SELECT split, n, count(*) AS grams, true AS within FROM (
+    SELECT split, n, unnest(range(1, len(w) - n + 2)) AS g
+    FROM (SELECT split, regexp_extract_all(beams[1], """ + b.WORD + """) AS w FROM scored),
+    range(1, 5) r(n)) GROUP BY split, n""", b.scored("R"))
+ORACLE["merge_observed"] = b.sql(
+    """SELECT count(*) AS n_rows, sum(idx * (1 + CASE WHEN idx % 10 <> 3 THEN len(know) ELSE 0 END))::BIGINT AS told,
+    count(*) AS samples, count(*) FILTER (WHERE idx % 10 <> 3) AS knowledge,
+    count(*) FILTER (WHERE idx % 10 = 3) AS bare, 0::BIGINT AS unmatched FROM samples JOIN know USING (idx)""")
+ORACLE["score_cube"] = b.sql(
+    "SELECT split, goal, GROUPING(split, goal)::BIGINT AS grouping, count(*) AS cnt, "
+    + ", ".join(f"round(avg({m}), 9) AS {m}" for m in b.METRICS)
+    + " FROM rows_ JOIN (SELECT idx, goal FROM samples) USING (idx) GROUP BY CUBE (split, goal)",
+    b.scored("R"), b.row_scores())

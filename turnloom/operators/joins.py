@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from turnloom.functions.lists import let
 from turnloom.functions.text import norm_space, strip
@@ -37,6 +37,34 @@ def unmatched_knowledge(samples: DataFrame, know: DataFrame) -> DataFrame:
     return know.join(samples.select(*keys), keys, "left_anti")
 
 
+def merge_observed(
+    samples: DataFrame, know: DataFrame, combined: bool = False
+) -> tuple[DataFrame, Observation]:
+    """``merge_knowledge`` and the counts of both sides, taken by the pass that merges.
+
+    The observation holds ``samples``, ``knowledge``, ``bare`` (samples without passages) and ``unmatched``
+    (passages without a sample) once an action has run; ``check_observed`` raises on the last.
+    """
+    keys = row_keys(samples, know)
+    left = samples.drop("predicted_know").withColumn("_sample", F.lit(True))
+    right = know.select(*keys, "predicted_know", F.lit(True).alias("_know"))
+    seen = Observation()
+    both = left.join(right, keys, "full").observe(
+        seen, F.count("_sample").alias("samples"), F.count("_know").alias("knowledge"),
+        F.count_if(F.col("_know").isNull()).alias("bare"),
+        F.count_if(F.col("_sample").isNull()).alias("unmatched"))
+    merged = both.where("_sample").select(*samples.drop("predicted_know").columns, "predicted_know")
+    return merged.withColumn("combined", F.lit(combined)), seen
+
+
+def check_observed(seen: Observation) -> dict[str, int]:
+    """The counts of ``merge_observed``; passages that no sample takes raise."""
+    counts = seen.get
+    if counts["unmatched"]:
+        raise ValueError(f"{counts['unmatched']} passage lists have no sample: {counts}")
+    return counts
+
+
 def topic_list(*samples: DataFrame) -> DataFrame:
     """Distinct gold topics of several sample tables: the item dictionary."""
     topics = samples[0].select("topic")

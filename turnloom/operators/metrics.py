@@ -18,6 +18,7 @@ from turnloom.functions.numbers import beam_softmax, format_scores, fixed4
 from turnloom.operators import candidates, positions
 from turnloom.operators.joins import eval_join
 from turnloom.operators.prepare import exclude_topics
+from turnloom.operators.ranges import range_positions
 from turnloom.sources.sinks import written
 
 HIT_KS = (1, 2, 3, 4, 5)
@@ -310,3 +311,64 @@ def pad_batches(
             F.array_repeat(F.lit(0), gap), F.array_repeat(F.lit(1), F.size(ids))
         ),
     }).drop("_longest")
+
+
+def score_cube(
+    df: DataFrame, by: Sequence[str], sets: Sequence[Sequence[str]] | None = None
+) -> DataFrame:
+    """Mean of every metric for several groupings in one pass: all subsets of ``by``, or ``sets``.
+
+    ``grouping`` tells the columns that a row sums up from those whose value is NULL: one bit a column of
+    ``by``, the last column lowest, 1 where it is summed up. Rows are scored once and summed before they
+    are dealt; each grouping adds one narrow row a group and task.
+    """
+    names = [list(s) for s in sets] if sets is not None else [
+        [c for i, c in enumerate(by) if mask >> i & 1] for mask in range(1 << len(by))]
+    scored = row_scores(df).select(*by, *METRICS)
+    columns = [F.col(c) for c in by]
+    return scored.groupingSets([[F.col(c) for c in s] for s in names], *columns).agg(
+        F.grouping_id(*columns).cast("bigint").alias("grouping"), F.count(F.lit(1)).alias("cnt"),
+        *[F.avg(m).alias(m) for m in METRICS])
+
+
+def distinct_n_sketches(
+    df: DataFrame, ns: Sequence[int] = (1, 2, 3, 4), by: Sequence[str] = (), lg_size: int = 12
+) -> DataFrame:
+    """Per group and ``n`` the number of n-grams and a sketch of the distinct ones, a few KB whatever the
+    number of answers. Sketches of several batches or epochs are merged by ``merge_distinct_n``."""
+    def tagged(n: int) -> Column:
+        size = F.lit(n).cast("bigint")
+        return F.transform(ngrams(FIRST_BEAM, n), lambda g: F.struct(size.alias("n"), g.alias("gram")))
+
+    rows = df.select(*by, F.inline(F.concat(*[tagged(n) for n in ns])))
+    return rows.groupBy(*by, "n").agg(
+        F.count(F.lit(1)).alias("grams"), F.hll_sketch_agg("gram", F.lit(lg_size)).alias("sketch"))
+
+
+def merge_distinct_n(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``dist`` of all batches together; merging in any order gives the same."""
+    merged = sketches.groupBy(*by, "n").agg(
+        F.sum("grams").alias("grams"), F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select(*by, "n", "grams", (F.hll_sketch_estimate("sketch") / F.col("grams")).alias("dist"))
+
+
+def length_batches(
+    df: DataFrame, batch: int, length: Column, seed: int | str, mega: int = 50, idx: str = "idx"
+) -> DataFrame:
+    """Batches of rows of like length in a random, reproducible order: ``batch`` and ``place`` in it.
+
+    Rows are numbered in the order of a seeded hash and cut into blocks of ``mega`` batches; inside a block
+    they are sorted by length, longest first, and cut into batches; batches then get a seeded order of their
+    own. A window sees one block. Each row comes once; all batches but one are full.
+    """
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(idx)))
+    keyed = df.withColumns({"_key": key, "_length": length})
+    placed = range_positions(keyed, "_pos", [F.col("_key"), F.col(idx)])
+    block = placed.withColumn("_block", F.expr(f"_pos div {int(batch) * int(mega)}"))
+    order = W.partitionBy("_block").orderBy(F.col("_length").desc(), "_key", idx)
+    cut = block.withColumn("_rank", (F.row_number().over(order) - 1).cast("bigint")).withColumns({
+        "_cut": F.expr(f"_rank div {int(batch)}"), "place": F.expr(f"_rank % {int(batch)}")})
+    told = F.md5(F.concat_ws("|", F.lit(str(seed)), "_block", "_cut"))
+    cuts = cut.where("place = 0").select("_block", "_cut", told.alias("_told"))
+    numbers = range_positions(cuts, "batch", [F.col("_told"), F.col("_block"), F.col("_cut")]).drop("_told")
+    return cut.join(numbers, ["_block", "_cut"]).select(*df.columns, "batch", "place")

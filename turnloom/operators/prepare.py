@@ -9,6 +9,7 @@ from turnloom.functions import text, tokens
 from turnloom.functions.lists import let, take
 from turnloom.functions.tokens import Tokenizer
 from turnloom.operators import joins, positions
+from turnloom.operators.selection import among_smallest
 from turnloom.settings import Settings
 
 
@@ -66,9 +67,9 @@ def clean_samples(samples: DataFrame, cfg: Settings, tok: Tokenizer | None = Non
 
 def prepare(
     samples: DataFrame, know: DataFrame, cfg: Settings, topics: DataFrame | None = None,
-    tok: Tokenizer | None = None, disable_know: bool | None = None,
+    tok: Tokenizer | None = None, disable_know: bool | None = None, cut: bool = True,
 ) -> DataFrame:
-    """Samples with passages, cleaned, cut and labelled.
+    """Samples with passages, cleaned, cut and labelled; without ``cut`` the passages are cut already.
 
     Both sides are cut before the join, so the shuffle carries the short passages only; passage
     lists that no prompt or example of these settings can use are left out first. Rows meet on
@@ -80,7 +81,7 @@ def prepare(
         samples = positions.resume_from(samples, cfg.test_continue)
     off = cfg.disable_know if disable_know is None else disable_know
     used = know.withColumn("predicted_know", take("predicted_know", cfg.lists_needed))
-    short = know if off else cut_knowledge(used, cfg.passage_cutoff, tok)
+    short = know if off else cut_knowledge(used, cfg.passage_cutoff, tok) if cut else used
     merged = joins.merge_knowledge(clean_samples(samples, cfg, tok), short, cfg.combined, off)
     if cfg.db_check:
         if topics is None:
@@ -152,7 +153,8 @@ def train_val_split(df: DataFrame, val_size: int | float, seed: int = 42) -> Dat
     """Add ``part``: ``val`` for a share (below 1) or an exact number of rows, else ``train``.
 
     The choice hangs on the row's hash, not on partitioning. Copies of a merged row go to the
-    same part, and the number counts rows before merging.
+    same part, and the number counts rows before merging. The last key of an exact number is sought while
+    the plan is built, from counts; the rows are then only filtered.
     """
     keyed = df.withColumn("_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("idx"))))
     if not val_size:
@@ -161,12 +163,7 @@ def train_val_split(df: DataFrame, val_size: int | float, seed: int = 42) -> Dat
         bucket = F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint")
         is_val = bucket < F.lit(int(val_size * (1 << 32)))
     else:
-        if "copy" in df.columns:
-            once = keyed.select("idx", "_key").distinct()
-            places = positions.hash_positions(once, "_pos", "_key", "idx").drop("_key")
-            keyed = keyed.join(places, "idx")
-        else:
-            keyed = positions.hash_positions(keyed, "_pos", "_key", "idx")
-        is_val = F.col("_pos") < F.lit(int(val_size))
+        once = keyed.select("idx", "_key")
+        is_val = among_smallest(once.distinct() if "copy" in df.columns else once, int(val_size), "_key")
     part = F.when(is_val, F.lit("val")).otherwise(F.lit("train"))
     return keyed.withColumn("part", part).select(*df.columns, "part")

@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from turnloom import fixed_values as fv
 from turnloom.functions import lists, numbers, seeded, text, tokens
 from turnloom.functions.ngrams import bleu_scores
-from turnloom.operators import candidates, joins, labels, metrics, positions, prepare, render
+from turnloom.operators import (
+    candidates, joins, labels, metrics, passages, positions, prepare, ranges, render, selection,
+)
 from turnloom.plans import workflows
 from turnloom.plans.fixtures import Tables
 from turnloom.settings import RECIPES, Settings
-from turnloom.sources import readers, sinks
-from turnloom.streaming import running
+from turnloom.sources import commits, readers, sinks
+from turnloom.streaming import ordered, running
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,10 +169,9 @@ def sink_layout(t):
     back = t.spark.read.schema(
         "idx bigint, label string, gen string, model string, run_date string, run_name string"
     ).json(path)
-    return back.groupBy("model", "run_name").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("run_date").alias("n_dates"),
-        F.sum("idx").alias("idx_sum"),
-    )
+    return back.select(
+        "idx", digest("label").alias("label_md5"), digest("gen").alias("gen_md5"), "model", "run_name",
+        F.rlike("run_date", F.lit("^[0-9]{4}$")).alias("dated"))
 
 
 @query("sink_rerank")
@@ -830,19 +831,26 @@ def pad_batches(t):
                        list_digest("attention_mask").alias("mask_md5"))
 
 
+MERGED = RECIPES["inspired_item"].with_(merge=True, val_set_size=50, train_only_outputs=True)
+
+
 @query("train_batches")
 def train_batches(t):
-    rows = workflows.training_batches(prepare.shuffle_rows(tokenized(t), 42), 16, F.lit("<pad>"))
-    return rows.select("idx", "batch", "pos", *list_columns("ids", F.col("input_ids")),
+    """The training part of the final table in dense batches."""
+    rows = workflows.training_table(t.samples(), t.knowledge(), MERGED).where("part = 'train'")
+    rows = workflows.training_batches(rows, 16, F.lit("<pad>"))
+    return rows.select("idx", F.col("copy").cast("bigint").alias("copy"), "batch", "pos",
+                       *list_columns("ids", F.col("input_ids")),
                        *list_columns("labels", F.col("labels")),
                        list_digest("attention_mask").alias("mask_md5"))
 
 
 @query("train_examples_merge")
 def train_examples_merge(t):
-    cfg = RECIPES["inspired_item"].with_(merge=True, val_set_size=50, train_only_outputs=True)
-    rows = workflows.training_table(t.samples(), t.knowledge(), cfg)
-    return rows.select("idx", F.col("copy").cast("bigint").alias("copy"), "part", "shuffle_key")
+    rows = workflows.training_table(t.samples(), t.knowledge(), MERGED)
+    return rows.select("idx", F.col("copy").cast("bigint").alias("copy"), "part", "shuffle_key",
+                       *text_columns("example", F.col("example")), size("input_ids").alias("n_ids"),
+                       list_digest("labels").alias("labels_md5"))
 
 
 @query("beam_softmax")
@@ -881,3 +889,114 @@ def stream_metrics(t):
     running.run_available(
         running.stream_metrics(stream, samples, by=BY_SPLIT), f"{path}/out", f"{path}/checkpoint")
     return rounded(running.latest(t.spark, f"{path}/out"), "split", "cnt")
+
+
+# --- runs that go on, and orders of any key ----------------------------------------------------
+@query("stream_running")
+def stream_running(t):
+    """Four arrivals in the order of the rows, each a trigger of its own after a restart."""
+    path = sinks.scratch_dir(t.spark, "stream-running")
+    labelled = t.samples(False).select("idx", "split", "topic", prepare.pick_label("R").alias("label"))
+    samples = ranges.ranged(labelled, [F.col("idx")]).drop("_part", "_place")
+    answers = t.generations("R")
+    size_ = answers.agg((F.max("idx") + 1).alias("n")).scalar()
+    for quarter in range(4):
+        part = answers.where(F.floor(F.col("idx") * 4 / size_) == quarter)
+        part.write.mode("append").parquet(f"{path}/answers")
+        stream = readers.stream_generations(t.spark, f"{path}/answers", files_per_trigger=1 << 20)
+        ordered.run_ordered(stream, samples, f"{path}/out", f"{path}/checkpoint")
+    rows = ordered.finished(t.spark, f"{path}/out", "rows")
+    return rows.select("idx", "cnt", *[nine(f"run_{m}", f"run_{m}") for m in metrics.METRICS])
+
+
+@query("sink_committed")
+def sink_committed(t):
+    """Two epochs of a run; the first is rerun, and another run stops before it publishes."""
+    rows = scored_rows(t, "R").withColumn("epoch", F.lit(0).cast("bigint"))
+    later = rows.withColumns({"epoch": F.lit(1).cast("bigint"), "beams": F.reverse("beams")})
+    both = rows.unionByName(later).withColumn("prompt", F.col("label"))
+    records = sinks.written(metrics.scored_records(both, per=["epoch"]), "records")
+    path = sinks.scratch_dir(t.spark, "committed")
+    for epoch in (0, 1, 0):
+        commits.write_committed(records.where(F.col("epoch") == epoch), path, "response", epoch)
+    commits.stage(records.where("epoch = 0"), path, "broken-off", 0)
+    back = commits.read_committed(
+        t.spark, path, "idx bigint, GEN string, hitgen string, hit_scores string, bleu_scores string,"
+        " sample_bleu_scores string")
+    return back.select("epoch", "idx", digest("GEN").alias("gen_md5"), "hitgen", "hit_scores",
+                       "bleu_scores", "sample_bleu_scores")
+
+
+@query("passage_dictionary")
+def passage_dictionary(t):
+    """Prompts from a dictionary of passages that are cut once each."""
+    cfg = PROMPT_SETTINGS["DIP2I_cot"]
+    know = t.knowledge().withColumn("predicted_know", lists.take("predicted_know", cfg.lists_needed))
+    short = passages.cut_once(sinks.written(passages.dictionary(know), "passages"), cfg.passage_cutoff)
+    lists_ = passages.expand(passages.references(know), short)
+    rows = render.build_prompts(prepare.prepare(t.samples(), lists_, cfg, cut=False), cfg)
+    return rows.select("idx", *text_columns("prompt", F.col("prompt")))
+
+
+@query("range_positions")
+def range_positions(t):
+    """Places by an md5 key, by ids with wide gaps, and running lengths by the key."""
+    rows = t.read("documents").select(
+        "doc_id", (F.col("doc_id") * 10**12).alias("wide"), F.md5(F.col("doc_id").cast("string")).alias("key"),
+        F.length("text").cast("bigint").alias("chars"))
+    by_key = ranges.range_positions(rows, "key_pos", [F.col("key")])
+    by_id = ranges.range_positions(by_key, "id_pos", [F.col("wide").desc()])
+    return ranges.range_running(by_id, {"run_chars": F.col("chars")}, [F.col("key")], unique=True).drop("chars", "wide")
+
+
+@query("scan_knowledge_split")
+def scan_knowledge_split(t):
+    path = sinks.scratch_dir(t.spark, "knowledge-arrays")
+    sinks.write_knowledge(t.knowledge(), path, block=1000)
+    rows = readers.read_knowledge_split(t.spark, path)
+    return rows.select(
+        "idx", size("predicted_know").alias("n_lists"),
+        *list_columns("passages", F.flatten("predicted_know")),
+    )
+
+
+@query("val_threshold")
+def val_threshold(t):
+    """The rows of an exact part, and the n-th key that bounds them, for several n."""
+    rows = t.samples(False).select("idx", F.md5(F.concat_ws("|", F.lit("42"), "idx")).alias("key"))
+    flags = {f"in_{n}": selection.among_smallest(rows, n, "key") for n in (1, 50, 1000)}
+    return rows.withColumns(flags).drop("key")
+
+
+@query("length_batches")
+def length_batches(t):
+    rows = tokenized(t).select("idx", size("input_ids").alias("n_ids"))
+    return metrics.length_batches(rows, 16, F.col("n_ids"), 42, mega=8)
+
+
+@query("distinct_n_sketch")
+def distinct_n_sketch(t):
+    """Merged sketches of two halves beside the exact shares: are they within five per cent?"""
+    rows = scored_rows(t, "R")
+    halves = [metrics.distinct_n_sketches(rows.where(F.col("idx") % 2 == i), by=BY_SPLIT) for i in (0, 1)]
+    merged = metrics.merge_distinct_n(halves[0].unionByName(halves[1]), by=BY_SPLIT)
+    exact = metrics.distinct_ngrams(rows, by=BY_SPLIT).withColumnRenamed("dist", "exact")
+    return merged.join(exact, ["split", "n"]).select(
+        "split", "n", "grams", (F.abs(F.col("dist") / F.col("exact") - 1) <= 0.05).alias("within"))
+
+
+@query("merge_observed")
+def merge_observed(t):
+    """The merged rows' digest, and the counts that the same pass observed."""
+    merged, seen = joins.merge_observed(t.samples(False), t.knowledge().where("idx % 10 <> 3"))
+    rows = merged.select("idx", size("predicted_know").alias("n_lists")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("idx") * (F.coalesce("n_lists", F.lit(0)) + 1)).alias("told"))
+    rows = sinks.written(rows, "observed")
+    return rows.withColumns({k: F.lit(v).cast("bigint") for k, v in joins.check_observed(seen).items()})
+
+
+@query("score_cube")
+def score_cube(t):
+    rows = scored_rows(t, "R").join(t.samples(False).select("idx", "goal"), "idx")
+    cube = metrics.score_cube(rows, ["split", "goal"])
+    return rounded(cube, "split", "goal", "grouping", "cnt")

@@ -13,3 +13,4 @@ KNOWLEDGE = "idx bigint, predicted_know array<array<string>>"
 KNOWLEDGE_ARRAY = "array<struct<predicted_know: array<array<string>>>>"
 GENERATION = "idx bigint, task string, beams array<string>, sequence_scores array<double>"
 TEMPLATE = "prompt_input string, prompt_no_input string, response_split string"
+KNOWLEDGE_RECORD = "struct<predicted_know: array<array<string>>>"

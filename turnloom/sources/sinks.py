@@ -33,6 +33,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there a complete table? Spark marks a folder when all of its files are there."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(mark)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the folder of a table from ``written`` that nothing will read again."""
     jvm = df.sparkSession._jvm
