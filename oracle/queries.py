@@ -485,3 +485,12 @@ ORACLE["score_cube"] = b.sql(
     + ", ".join(f"round(avg({m}), 9) AS {m}" for m in b.METRICS)
     + " FROM rows_ JOIN (SELECT idx, goal FROM samples) USING (idx) GROUP BY CUBE (split, goal)",
     b.scored("R"), b.row_scores())
+ORACLE["evaluation_run"] = b.sql(
+    f"""SELECT 'response' AS run, 1::BIGINT AS epoch, p.idx, md5(prompt) AS context_md5, md5({GEN}) AS gen_md5,
+    md5(label) AS answer_md5, {b.fixed(['run_hitgen'])} AS hitgen, {b.fixed(RUN_HITS)} AS hit_scores,
+    {b.fixed(RUN_BLEUS)} AS bleu_scores, {b.fixed(BLEUS)} AS sample_bleu_scores, {flags()},
+    printf('%.4f', 1 / (1 + exp(-0.5))) || '|' || printf('%.4f', exp(-0.5) / (1 + exp(-0.5))) AS beam_scores
+    FROM p JOIN running USING (idx)""",
+    b.prepared(PROMPTED), b.prompts(PROMPTED),
+    """p AS (SELECT idx, split, topic, label, prompt, beams FROM prompts JOIN gen_R USING (idx)
+    WHERE split = 'test')""", b.row_scores("p"), b.running())

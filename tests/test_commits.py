@@ -3,7 +3,7 @@
 import pytest
 
 from turnloom.operators.positions import resume_from
-from turnloom.sources import commits
+from turnloom.sources import commits, sinks
 
 SCHEMA = "idx bigint, GEN string"
 
@@ -50,3 +50,11 @@ def test_a_run_goes_on_from_its_records(spark, tmp_path):
 def test_names_that_would_leave_the_folder_are_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="named by"):
         commits.stage(records(spark, 1, "a"), str(tmp_path), "../x")
+
+
+def test_scratch_tables_can_be_removed(spark):
+    first, second = [sinks.written(spark.range(n), "scratch") for n in (3, 4)]
+    sinks.discard(first)
+    assert second.count() == 4 and sinks.exists(spark, second.inputFiles()[0].rpartition("/")[0])
+    with pytest.raises(Exception, match="(?i)not.*exist|not found"):
+        first.count()

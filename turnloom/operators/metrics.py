@@ -16,9 +16,9 @@ from turnloom.functions.lists import let
 from turnloom.functions.ngrams import bleu_scores, ngrams
 from turnloom.functions.numbers import beam_softmax, format_scores, fixed4
 from turnloom.operators import candidates, positions
-from turnloom.operators.joins import eval_join
+from turnloom.operators.joins import eval_join, row_keys
 from turnloom.operators.prepare import exclude_topics
-from turnloom.operators.ranges import range_positions
+from turnloom.operators.ranges import range_positions, range_running
 from turnloom.sources.sinks import written
 
 HIT_KS = (1, 2, 3, 4, 5)
@@ -118,19 +118,23 @@ METRICS = [f"hit{k}" for k in HIT_KS] + ["hitgen"] + [f"bleu{k}" for k in BLEU_K
 
 
 def running_metrics(
-    df: DataFrame, block: int = positions.BLOCK, per: Sequence[str] = ()
+    df: DataFrame, block: int | None = None, per: Sequence[str] = ()
 ) -> DataFrame:
     """Mean of every metric over the rows up to and including each row, in ``idx`` order, as
     ``run_*``, with the row's own scores and ``cnt``.
 
     The means start anew for every value of ``per`` (such as the epoch); an ``idx`` that repeats
-    within one raises. The scores are written once, while the plan is built: block totals and the
-    windows inside the blocks then read numbers, not answers.
+    within one raises. The scores are written once, while the plan is built: totals and windows then
+    read numbers, not answers. Rows are summed in range partitions of ``idx``, or, with ``block``, in
+    blocks of so many ids, which suits dense ids only.
     """
     scored = written(row_scores(df).select(*per, "idx", *METRICS), "scores")
     sums = {f"run_{m}": F.col(m).cast("double") for m in METRICS}
     sums["cnt"] = F.lit(1).cast("bigint")
-    running = positions.running_by_index(scored, sums, block=block, per=per, unique=True)
+    if block is None:
+        running = range_running(scored, sums, [F.col("idx")], per, unique=True)
+    else:
+        running = positions.running_by_index(scored, sums, block=block, per=per, unique=True)
     return running.withColumns({f"run_{m}": F.col(f"run_{m}") / F.col("cnt") for m in METRICS})
 
 
@@ -200,6 +204,15 @@ def _share_of_samples(
     )
 
 
+def _answered(
+    gen: DataFrame, samples: DataFrame, told: Sequence[str], known: Sequence[str]
+) -> DataFrame:
+    """Answers with columns of their samples; they meet on ``split`` too where both tables have it."""
+    keys = row_keys(gen, samples)
+    left = gen.select(*keys, *[c for c in told if c not in keys])
+    return left.join(samples.select(*keys, *[c for c in known if c not in keys]), keys)
+
+
 def item_hit_inspired(
     gen: DataFrame, samples: DataFrame, by: Sequence[str] = (), per: Sequence[str] = ()
 ) -> DataFrame:
@@ -209,7 +222,7 @@ def item_hit_inspired(
     ``by`` are columns of the samples, ``per`` columns of the answers (such as the epoch).
     """
     tail = text.after_last(joined_beams(), fv.CONCLUSION)
-    rows = gen.select("idx", "beams", *per).join(samples.select("idx", "label", *by), "idx")
+    rows = _answered(gen, samples, ["beams", *per], ["label", *by])
     return _share_of_samples(rows, samples, {"hit1": F.contains(tail, F.col("label"))}, by, per)
 
 
@@ -234,8 +247,7 @@ def item_hit_exact(
     per: Sequence[str] = (),
 ) -> DataFrame:
     """Share of exact topic matches among the answered rows with a topic to recommend."""
-    kept = exclude_topics(samples.select("idx", "topic", *by), exclude)
-    rows = gen.select("idx", "beams", *per).join(kept, "idx")
+    rows = _answered(gen, exclude_topics(samples, exclude), ["beams", *per], ["topic", *by])
     return rows.groupBy(*per, *by).agg(F.avg(exact_item_flag()).alias("hit1"))
 
 
@@ -251,11 +263,13 @@ def reranked(
 ) -> DataFrame:
     """Every answered sample with ``base`` (the first ``base_size``), ``picked`` and ``reranked``
     passages (raw, uncut)."""
-    base = know.select("idx", candidates.rerank_base(n=base_size).alias("base"))
-    answers = gen.select(
-        "idx", *per, text.after_last(joined_beams(), fv.EVAL_RESPONSE_MARKER).alias("gen")
-    )
-    rows = eval_join(answers, samples.select("idx", "target_knowledge", *by), base)
+    def keyed(table: DataFrame, *columns) -> DataFrame:
+        keys = [k for k in ("idx", "split") if k in table.columns]
+        return table.select(*keys, *[c for c in columns if not (isinstance(c, str) and c in keys)])
+
+    base = keyed(know, candidates.rerank_base(n=base_size).alias("base"))
+    answers = keyed(gen, *per, text.after_last(joined_beams(), fv.EVAL_RESPONSE_MARKER).alias("gen"))
+    rows = eval_join(answers, keyed(samples, "target_knowledge", *by), base)
     picked = rows.withColumn("picked", candidates.passage_picks("gen", "base", strict))
     return picked.withColumn(
         "reranked", F.concat("picked", candidates.unpicked("base", "picked"))
@@ -286,6 +300,23 @@ def beams_reshape(df: DataFrame, num_beams: int) -> DataFrame:
     return grouped.select("idx", F.transform("_rows", lambda r: r["text"]).alias("beams"))
 
 
+def batched_beams(df: DataFrame, batch_size: int, num_beams: int) -> DataFrame:
+    """(batch, place, text, score) rows as a generating job leaves them, to one row per prompt.
+
+    ``row`` numbers the prompts over all batches; ``beams`` and ``sequence_scores`` are in the order of
+    the answers. A row with fewer or more than ``num_beams`` answers raises.
+    """
+    place = F.col("batch") * int(batch_size) * int(num_beams) + F.col("place")
+    grouped = df.withColumn("_at", place).groupBy(
+        F.expr(f"_at div {int(num_beams)}").alias("row")).agg(
+        F.sort_array(F.collect_list(F.struct("_at", "text", "score"))).alias("_rows"))
+    whole = F.when(F.size("_rows") != num_beams, F.raise_error(F.concat(
+        F.lit("not all beams of row "), F.col("row").cast("string")))).otherwise(F.col("_rows"))
+    return grouped.withColumn("_rows", whole).select(
+        "row", F.transform("_rows", lambda r: r["text"]).alias("beams"),
+        F.transform("_rows", lambda r: r["score"]).alias("sequence_scores"))
+
+
 def pad_batches(
     df: DataFrame, batch: int, pad: Column, ids: str = "input_ids", multiple: int = 8,
     idx: str = "idx",

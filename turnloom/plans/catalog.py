@@ -18,7 +18,7 @@ from turnloom.operators import (
 )
 from turnloom.plans import workflows
 from turnloom.plans.fixtures import Tables
-from turnloom.settings import RECIPES, Settings
+from turnloom.settings import RECIPES, TRAIN_RECIPES, Settings
 from turnloom.sources import commits, readers, sinks
 from turnloom.streaming import ordered, running
 
@@ -765,6 +765,11 @@ def train_examples(t):
         force_topic=True, weighted_loss=True))
 
 
+TRAIN_SETTINGS |= {
+    f"{name}_trained": cfg.with_(train_only_outputs=True)
+    for name, cfg in TRAIN_RECIPES.items() if cfg != RECIPES[name]
+}
+
 for _name, _cfg in TRAIN_SETTINGS.items():
     query(f"train_examples_{_name}")(lambda t, cfg=_cfg: train_query(t, cfg))
 
@@ -927,6 +932,32 @@ def sink_committed(t):
                        "bleu_scores", "sample_bleu_scores")
 
 
+@query("evaluation_run")
+def evaluation_run(t):
+    """The test rows' answers in batches as a model leaves them, to committed records."""
+    cfg = RECIPES["inspired_response"].with_(num_beams=2)
+    prompts = sinks.written(
+        workflows.prompt_table(t.samples().where("split = 'test'"), t.knowledge(), cfg), "prompts")
+    per_batch = cfg.eval_batch_size * cfg.num_beams
+    told = ranges.range_positions(prompts.select("idx"), "row", [F.col("idx")]).join(t.generations("R"), "idx")
+    flat = told.select("row", "sequence_scores", F.posexplode("beams").alias("beam", "text")).select(
+        (F.col("row") * cfg.num_beams + F.col("beam")).alias("at"), "text",
+        F.get("sequence_scores", F.col("beam")).alias("score"))
+    answers = flat.select(F.expr(f"at div {per_batch}").alias("batch"), (F.col("at") % per_batch).alias("place"),
+                          "text", "score")
+    path = sinks.scratch_dir(t.spark, "evaluation")
+    workflows.evaluate(answers, prompts, cfg, path, "response", 1)
+    rows = commits.read_committed(
+        t.spark, f"{path}/records",
+        "idx bigint, CONTEXT string, GEN string, ANSWER string, hitgen string, hit_scores string,"
+        " bleu_scores string, sample_bleu_scores string, contain boolean, llama_hit boolean,"
+        " beam_scores string, espresso_hit boolean")
+    return rows.select(
+        "run", "epoch", "idx", digest("CONTEXT").alias("context_md5"), digest("GEN").alias("gen_md5"),
+        digest("ANSWER").alias("answer_md5"), "hitgen", "hit_scores", "bleu_scores",
+        "sample_bleu_scores", "contain", "llama_hit", "beam_scores", "espresso_hit")
+
+
 @query("passage_dictionary")
 def passage_dictionary(t):
     """Prompts from a dictionary of passages that are cut once each."""

@@ -1,7 +1,8 @@
-"""The three runs a user starts: prompts for a test set, training examples, scores.
+"""The runs a user starts: prompts for a test set, training examples, scores, a recorded evaluation.
 
-Each is one plan from the input tables to the result, lazy but for ``scored_table``, which writes its
-scores first; model training and generation happen elsewhere, between ``prompt_table`` and ``score``.
+The first three are one plan each from the input tables to the result, lazy but for ``scored_table``, which
+writes its scores first; model training and generation happen elsewhere, between ``prompt_table`` and
+``score``. ``evaluate`` takes the answers of one epoch as they were generated and leaves its records.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from turnloom import fixed_values as fv
 from turnloom.functions.tokens import Tokenizer
 from turnloom.operators import joins, labels, metrics, positions, prepare, render
+from turnloom.operators.ranges import range_positions
 from turnloom.settings import Settings
+from turnloom.sources import commits, sinks
 
 
 def prompt_table(
@@ -95,3 +98,30 @@ def scored_table(
     rows = joins.eval_join(generations, prompts.select("idx", "topic", "label", "prompt"))
     return metrics.scored_records(rows, per)
 
+
+
+SUMMARY = "hitgen string, hit_scores string, bleu_scores string, sample_bleu_scores string"
+
+
+def evaluate(
+    answers: DataFrame, prompts: DataFrame, cfg: Settings, path: str, run: str, epoch: int = 0,
+) -> dict[str, str]:
+    """Record one epoch of a model: its answers in batches, to scored records and a summary.
+
+    ``answers`` (batch, place, text, score) holds ``num_beams`` answers a prompt in the order of the
+    prompts, ``eval_batch_size`` prompts a batch; ``prompts`` is ``prompt_table`` of the same rows. Records
+    are committed below ``path/records`` and the final means below ``path/summary``, so the same epoch run
+    again replaces what it left. With ``write`` off only the first rows are recorded; the summary, which
+    is returned, covers all of them.
+    """
+    placed = range_positions(prompts.select("idx"), "row", [F.col("idx")])
+    beams = metrics.batched_beams(answers, cfg.eval_batch_size, cfg.num_beams)
+    rows = sinks.written(beams.join(placed, "row").drop("row"), "answers")
+    records = scored_table(rows, prompts)
+    if not cfg.write:
+        records = records.where(F.col("cnt") <= sinks.FIRST_ROWS)
+    commits.write_committed(records, f"{path}/records", run, epoch)
+    scored = joins.eval_join(rows, prompts.select("idx", "topic", "label"))
+    commits.write_committed(metrics.summary(scored), f"{path}/summary", run, epoch)
+    final = commits.read_committed(prompts.sparkSession, f"{path}/summary", SUMMARY, run)
+    return final.where(F.col("epoch") == epoch).drop("run", "epoch").first().asDict()

@@ -141,3 +141,12 @@ RECIPES = {
         eval_batch_size=4, num_beams=4,
     ),
 }
+
+# Where the published training and test commands of a recipe differ.
+TRAIN_RECIPES = RECIPES | {
+    "inspired_passage": RECIPES["inspired_passage"].with_(force_gpt=False),
+    "durec_item": RECIPES["durec_item"].with_(topic_conf=1.0),
+}
+TEST_RECIPES = RECIPES | {
+    "durec_passage": RECIPES["durec_passage"].with_(n_hard_negative=4, n_sampled_positive=4),
+}

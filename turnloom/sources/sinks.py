@@ -16,14 +16,35 @@ RECORD = (
 )
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one the cluster names; a local one in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+_LOCAL: dict[str, str] = {}  # application to its folder in local mode
+
+
+def _scratch(spark: SparkSession) -> str:
+    """The application's folder below the shared one the cluster names; a local one in local mode only."""
+    base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="turnloom-")
-    return f"{base.rstrip('/')}/turnloom/{name}-{uuid.uuid4().hex}"
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="turnloom-")
+        base = _LOCAL[app]
+    return f"{base.rstrip('/')}/turnloom/{app}"
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder of this application."""
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _fs(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
+def release(spark: SparkSession) -> None:
+    """Remove everything this application wrote below the shared folder, when its results are read."""
+    fs, place = _fs(spark, _scratch(spark))
+    fs.delete(place, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,18 +56,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Is there a complete table? Spark marks a folder when all of its files are there."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(mark)
+    fs, mark = _fs(spark, f"{path}/_SUCCESS")
+    return fs.exists(mark)
 
 
 def discard(df: DataFrame) -> None:
     """Remove the folder of a table from ``written`` that nothing will read again."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if folder.getParent().getName() == "turnloom":
-            folder.getFileSystem(conf).delete(folder, True)
+        folder = file.rpartition("/")[0]
+        if f"/turnloom/{spark.sparkContext.applicationId}/" in folder:
+            fs, place = _fs(spark, folder)
+            fs.delete(place, True)
 
 
 def bucketed(df: DataFrame, name: str, key: str = "idx", buckets: int | None = None
