@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from turnloom.sources.sinks import written
 
-DIRECT_ROUNDS = 40
-
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (smallest node reachable) for every node of an edge; loops are allowed.

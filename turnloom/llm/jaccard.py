@@ -344,9 +344,10 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     """
     of, near = links(docs, doc_id, text, n, num, den)
     found = components(near).select(F.col("node").alias("rep"), "component")
+    name = T.fresh("_gone", docs.columns)
     gone = of.join(found, "rep", "left").where(F.coalesce("component", "rep") != F.col("id")).select(
-        F.col("id").alias("_gone"))
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+        F.col("id").alias(name))
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col(name), "left_anti")
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -246,11 +246,20 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokens: in
 
 
 def sequences(cut: DataFrame, placed: DataFrame) -> DataFrame:
-    """The packed ids: sequence_id, tokens, doc_ids; needs unique (doc_id, piece)."""
+    """The packed ids: sequence_id, tokens, doc_ids.
+
+    Every place gets the ids of its piece. Documents that repeat have equal pieces under one name; these
+    count once here, so that a place finds its ids once (pieces of one name, length and CRC-32 are equal).
+    """
+    keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    once = cut.withColumn("ids_crc32", F.crc32("tokens")).groupBy(*keys).agg(F.first("tokens").alias("tokens"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"p.{k}").eqNullSafe(F.col(f"c.{k}"))
     return (
-        cut.join(placed.select("doc_id", "piece", "sequence_id", "offset"), ["doc_id", "piece"])
-        .groupBy("sequence_id")
-        .agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "tokens"))).alias("parts"))
+        placed.alias("p").join(once.alias("c"), same)
+        .groupBy("p.sequence_id")
+        .agg(F.array_sort(F.collect_list(F.struct("p.offset", "p.doc_id", "c.tokens"))).alias("parts"))
         .select("sequence_id",
                 F.aggregate("parts", F.lit(b"").cast("binary"),
                             lambda a, p: F.concat(a, p["tokens"])).alias("tokens"),
