@@ -1,24 +1,26 @@
 """Exact dedup by owners in compressed radix (Patricia) tries.
 
-Texts are partitioned by length and content hash. Inside a partition full byte strings are inserted
-into a trie with compressed edges; the terminal node of a text holds the identifier that owns it and
-the number of rows. Equal means equal bytes after lower-casing A-Z, compared along the edges; the hash
-only chooses the partition.
+Rows are partitioned by length and content hash. All texts of a partition, full byte strings, are
+inserted into one trie with compressed edges; the terminal node of a text holds the identifier that owns
+it and the number of rows. Equal means equal bytes after lower-casing A-Z, compared along the edges; the
+hash only chooses the partition, so texts of one partition share edges as far as their prefixes go.
 
-Every input task first inserts its own rows, so a text reaches the shuffle once per flush of a task
-however many rows hold it, and one group of copies may be any share of the table. Sorted by partition
-key, the second step holds one (length, hash) trie at a time. A trie that grows beyond its budget
-spills its largest subtree to a file of the task and finishes it later on its own.
+Every input task first inserts its own rows into a trie of its own, so a text reaches the shuffle once
+per flush of a task however many rows hold it, and one group of copies may be any share of the table.
+A trie's budget counts its nodes as well as their labels. One that grows beyond it spills its largest
+subtree to a file of the task and finishes it later on its own, so a partition may be larger than memory;
+a single text must fit into it.
 
 Defined cases: null counts as the empty text, all of which are one group; several rows with the same
-identifier are rows of their own (each is returned, the group counts them all, and each row with the
-owning identifier is kept); a null identifier loses against any other; other columns are never read;
-an empty table gives an empty result.
+identifier are rows of their own (``owners`` returns each, the group counts them all, and each row with
+the owning identifier is kept there; ``keep_owners`` keeps one of them, the least as JSON); a null
+identifier loses against any other; other columns are never read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import pickle
 import tempfile
 from collections.abc import Iterator
@@ -31,8 +33,11 @@ from pyspark.sql.types import (
 )
 
 from turnloom.llm.text import fresh
+from turnloom.sources.sinks import written
 
-BUDGET = 48 << 20
+BUDGET = 96 << 20
+NODE = 360  # bytes of a node beside its label: object, its place among its parent's children, numbers
+LEAF: dict = {}  # the children of every node that has none
 CLASSES = StructType([
     StructField("length", LongType()), StructField("hash", LongType()),
     StructField("text", BinaryType()), StructField("owner", LongType()),
@@ -59,18 +64,27 @@ class Node:
 
     def __init__(self, label: bytes):
         self.label = label
-        self.children: dict[int, Node] = {}
+        self.children: dict[int, Node] = LEAF
         self.owner: int | None = None
         self.size = 0  # rows whose text ends here
-        self.held = 0  # bytes of labels of this subtree's texts, as inserted
+        self.held = NODE + len(label)  # bytes of this subtree
         self.spilled = None  # file with the rest of texts below this node
 
+    def add(self, child: Node) -> None:
+        if self.children is LEAF:
+            self.children = {}
+        self.children[child.label[0]] = child
+
 
 class Trie:
     """Full byte strings with their owners; bounded memory by spilling subtrees."""
 
-    def __init__(self, pick=larger, budget: int = BUDGET):
-        self.root, self.pick, self.budget, self.held = Node(b""), pick, budget, 0
+    def __init__(self, pick=larger, budget: float = BUDGET):
+        self.root, self.pick, self.budget, self.spills = Node(b""), pick, budget, 0
+
+    @property
+    def held(self) -> int:
+        return self.root.held
 
     def insert(self, text: bytes, owner: int | None, size: int = 1) -> None:
         node, at, path = self.root, 0, [self.root]
@@ -81,19 +95,22 @@ class Trie:
             if at == len(text):
                 node.owner = self.pick(node.owner, owner) if node.size else owner
                 node.size += size
+                self._shrink()
                 return
             child = node.children.get(text[at])
             if child is None:
                 leaf = Node(text[at:])
                 leaf.owner, leaf.size = owner, size
-                node.children[text[at]] = leaf
-                self._add(path + [leaf], len(leaf.label))
+                node.add(leaf)
+                for above in path:
+                    above.held += leaf.held
+                self._shrink()
                 return
-            if text.startswith(child.label, at):
-                at += len(child.label)
-            else:
+            if not text.startswith(child.label, at):
                 child = self._split(node, child, text, at)
-                at += len(child.label)
+                for above in path:
+                    above.held += NODE
+            at += len(child.label)
             node = child
             path.append(node)
 
@@ -107,50 +124,42 @@ class Trie:
             else:
                 hi = mid - 1
         upper = Node(label[:lo])
-        upper.held = child.held
+        upper.held = child.held + NODE
         child.label = label[lo:]
         child.held -= lo
-        upper.children[child.label[0]] = child
+        upper.add(child)
         parent.children[label[0]] = upper
         return upper
 
-    def _add(self, path: list[Node], n: int) -> None:
-        self.held += n
-        for node in path:
-            node.held += n
+    def _shrink(self) -> None:
         while self.held > self.budget and self._spill():
             pass
 
     def _spill(self) -> bool:
-        """Write the texts below the largest child subtree of the deepest shared node to a file."""
-        node = self.root
-        while len(node.children) == 1:
-            (only,) = node.children.values()
-            if only.spilled is not None or not only.children:
+        """Write the texts below the largest child subtree of the first shared node to a file.
+
+        One byte of its label stays, so that the node is found again."""
+        path = [self.root]
+        while len(path[-1].children) == 1:
+            (only,) = path[-1].children.values()
+            if only.spilled is not None or only.children is LEAF:
                 return False
-            node = only
-        open_ = [c for c in node.children.values() if c.spilled is None and c.held > 0]
+            path.append(only)
+        open_ = [c for c in path[-1].children.values() if c.spilled is None]
         if not open_:
             return False
         target = max(open_, key=lambda c: c.held)
         file = tempfile.TemporaryFile()
         for text, owner, size in _terminals(target, b""):
-            pickle.dump((text[len(target.label):], owner, size), file)
-        freed = target.held
-        target.children, target.owner, target.size = {}, None, 0
-        target.spilled, target.held = file, 0
-        for above in self._path_to(target):
+            pickle.dump((text[1:], owner, size), file)
+        freed = target.held - NODE - 1
+        target.label, target.children, target.owner, target.size = target.label[:1], LEAF, None, 0
+        target.spilled, target.held = file, NODE + 1
+        for above in path:
             above.held -= freed
-        self.held -= freed
+        self.spills += 1
         return True
 
-    def _path_to(self, target: Node) -> Iterator[Node]:
-        node = self.root
-        yield node
-        while target not in node.children.values():
-            (node,) = node.children.values()
-            yield node
-
     def items(self) -> Iterator[tuple[bytes, int | None, int]]:
         """Every text with its owner and number of rows."""
         stack = [(self.root, b"")]
@@ -201,39 +210,31 @@ def _normalised(batch: pa.RecordBatch) -> Iterator[bytes]:
         yield (value.as_py() or b"").lower()
 
 
-def _local(pick):
+def _local(pick, budget: int = BUDGET):
     """Insert a task's own rows; a flush gives one row per distinct text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[tuple[int, int], Trie] = {}
-        held = 0
+        trie = Trie(pick, math.inf)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for owner, text in zip(ids, _normalised(batch)):
-                key = len(text), _content_hash(text)
-                trie = tries.get(key)
-                if trie is None:
-                    trie = tries[key] = Trie(pick)
-                before = trie.held
                 trie.insert(text, owner)
-                held += trie.held - before
-                if held > BUDGET:
-                    yield from _flush(tries)
-                    tries, held = {}, 0
-        yield from _flush(tries)
+                if trie.held > budget:
+                    yield from _flush(trie)
+                    trie = Trie(pick, math.inf)
+        yield from _flush(trie)
 
     return run
 
 
-def _flush(tries: dict[tuple[int, int], Trie], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _flush(trie: Trie, rows: int = 512) -> Iterator[pa.RecordBatch]:
     out, size = [], 0
-    for (length, hashed), trie in tries.items():
-        for text, owner, n in trie.items():
-            out.append((length, hashed, text, owner, n))
-            size += length
-            if len(out) >= rows or size > 4 << 20:
-                yield _batch(out, CLASSES)
-                out, size = [], 0
+    for text, owner, n in trie.items():
+        out.append((len(text), _content_hash(text), text, owner, n))
+        size += len(text)
+        if len(out) >= rows or size > 4 << 20:
+            yield _batch(out, CLASSES)
+            out, size = [], 0
     if out:
         yield _batch(out, CLASSES)
 
@@ -247,35 +248,27 @@ def _batch(rows: list[tuple], schema: StructType) -> pa.RecordBatch:
         [pa.array(c, ARROW[f.dataType]) for c, f in zip(columns, schema)], schema.names)
 
 
-def _merge(pick):
-    """Rows sorted by (length, hash): one trie at a time; groups of two rows or more leave it."""
+def _merge(pick, budget: int = BUDGET):
+    """All texts of a partition in one trie; groups of two rows or more leave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, trie, out = None, Trie(pick), []
+        trie, out = Trie(pick, budget), []
         for batch in batches:
-            length, hashed, text, owner, size = batch.columns
-            for row in zip(length.to_pylist(), hashed.to_pylist(), text, owner.to_pylist(),
-                           size.to_pylist()):
-                if row[:2] != key:
-                    out.extend(_groups(trie))
-                    key, trie = row[:2], Trie(pick)
-                    if len(out) >= 4096:
-                        yield _batch(out, GROUPS)
-                        out = []
-                trie.insert(row[2].as_py(), *row[3:])
-        out.extend(_groups(trie))
+            _, _, text, owner, size = batch.columns
+            for value, *row in zip(text, owner.to_pylist(), size.to_pylist()):
+                trie.insert(value.as_py(), *row)
+        for text, owner, size in trie.items():
+            if size > 1:
+                out.append((hashlib.sha256(text).hexdigest(), owner, size))
+                if len(out) >= 4096:
+                    yield _batch(out, GROUPS)
+                    out = []
         if out:
             yield _batch(out, GROUPS)
 
     return run
 
 
-def _groups(trie: Trie) -> Iterator[tuple]:
-    for text, owner, size in trie.items():
-        if size > 1:
-            yield hashlib.sha256(text).hexdigest(), owner, size
-
-
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shas = [hashlib.sha256(t).hexdigest() for t in _normalised(batch)]
@@ -294,7 +287,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: st
                        F.col(text).cast("binary").alias("text"))
     return (
         rows.mapInArrow(_local(pick), CLASSES)
-        .repartition("length", "hash").sortWithinPartitions("length", "hash")
+        .repartition("length", "hash")
         .mapInArrow(_merge(pick), GROUPS)
     )
 
@@ -327,16 +320,30 @@ def _digest(column: pa.Array) -> pa.Array:
 
 def keep_owners(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 keep: str = "largest") -> DataFrame:
-    """The rows that own their text, all columns; repeated rows of an owner all stay."""
+    """One row for every different text, its owner's, with all columns.
+
+    Of an owner's repeated rows the least as JSON stays. What a row has to know, that it goes or that it
+    is repeated, is written as a narrow table first; without repeated owners no text is shuffled for them.
+    """
     sha = fresh("sha256", docs.columns)
-    losers = owners(docs, doc_id, text, keep).where(~F.col("kept")).select(
-        F.col("doc_id").alias("_loser"), F.col("text_sha256").alias("_sha256")).distinct()
+    marks = written(
+        owners(docs, doc_id, text, keep).groupBy("text_sha256", "doc_id", "kept")
+        .agg(F.count("*").alias("n")).where(~F.col("kept") | (F.col("n") > 1))
+        .select("kept", F.col("doc_id").alias("_marked"), F.col("text_sha256").alias("_sha256")), "marks")
     keyed = docs.withColumn(sha, _digest(F.col(text).cast("binary")))
-    rest = keyed.alias("k").join(
-        losers.alias("l"),
-        (F.col(f"k.{sha}") == F.col("l._sha256"))
-        & F.col(f"k.{doc_id}").cast("long").eqNullSafe(F.col("l._loser")), "left_anti")
-    return rest.drop(sha)
+    same = ((F.col(f"k.{sha}") == F.col("m._sha256"))
+            & F.col(f"k.`{doc_id}`").cast("long").eqNullSafe(F.col("m._marked")))
+    rest = keyed.alias("k").join(marks.alias("m"), same, "left_anti").drop(sha)
+    again = marks.where("kept")
+    if again.isEmpty():
+        return rest
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = (
+        keyed.alias("k").join(again.alias("m"), same, "left_semi")
+        .groupBy(sha, F.col(f"`{doc_id}`").cast("long"))
+        .agg(F.min_by(row, F.to_json(row)).alias(sha + "_row")).select(sha + "_row.*")
+    )
+    return rest.unionByName(once)
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
