@@ -6,6 +6,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -397,3 +398,55 @@ def test_identifiers_of_code_reach_the_dictionary(spark):
     found = secret_scan.common_words(df)
     assert found[0] == "user" and set(found) == {"user", "config", "get_token", "sha256_of_block_7", "end_of_line"}
     assert secret_scan.common_words(df, words=1) == ["user"]
+
+
+def test_letters_alone_and_far_words_make_secrets():
+    rng = random.Random(4)
+    dictionary = secret_scan.dictionary_of([])
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    before = ["the client secret is ", "the client secret, which the team handed over in March of last year for tests, reads ",
+              "it was found in an old file of ours that nobody had read for years and is said to be: "]
+    for alphabet in (letters[:26], letters, letters + "0123456789"):
+        for size in (20, 32, 40):
+            for said in before:
+                for _ in range(20):
+                    value = "".join(rng.choice(alphabet) for _ in range(size))
+                    text = said + value + (" the token of the service" if said is before[2] else "")
+                    spans = secret_scan.novel_spans(text, [], dictionary)
+                    assert [(a, b) for a, _, b in spans] == [(len(said), len(said) + size)], text
+    words = ["get", "user", "type", "ids", "name2", "config_value"]
+    known = secret_scan.known_parts(words)
+    for i in range(50):
+        line = f"auth config_value_{i}_name getUserTokenType{i} token_type_ids_{i} userNameConfigValue authTokenTypes"
+        assert secret_scan.novel_spans(line, [], secret_scan.dictionary_of(words), known) == []
+    far = "the secret. " + "no words of that kind stand here, " * 4 + "".join(rng.choice(letters) for _ in range(30))
+    assert secret_scan.novel_spans(far, [], dictionary) == []
+    assert len(secret_scan.novel_spans(far, [], dictionary, reach=200)) == 1
+
+
+def test_secret_scan_base_spans_nulls_repeats_and_clashing_names(spark):
+    rng = random.Random(6)
+    parts = ["password", "Token", "api_key", "apikey", '"', "'", "=", ":", " ", "AKIA", "0123456789abcdef", "Zz9/", "\n", "é"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 60))), "x", "y") for i in range(400)]
+    rows += [(1000, None, "x", None), (1001, "", None, None), rows[7], rows[7], (None, "secret = abcdefghijkl", "x", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_hex string")
+    patterns = [r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+                "AKIA[A-Z0-9]+", "[0-9a-f]+"]
+    least = [lambda m: len(m[1]) >= 12, lambda m: len(m[0]) >= 18, lambda m: len(m[0]) >= 16]
+    names = ["assign", "access", "hex"]
+    want = Counter()
+    for i, text, *_ in rows:
+        found = sorted((m.start(), k, m.end()) for k, p in enumerate(patterns)
+                       for m in re.finditer(p, text or "") if least[k](m))
+        joined = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in found)
+        count = Counter(k for _, k, _ in found)
+        want[i, count[0], count[1], count[2], hashlib.sha256(joined.encode()).hexdigest()] += 1
+    got = secret_scan.scan(df).collect()
+    assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == want
+
+
+def test_many_words_in_one_sentence_take_linear_time():
+    text = "token " + " ".join(f"token abcdefghijklm{i}" for i in range(40_000))
+    begun = time.process_time()
+    secret_scan.novel_spans(text, [], secret_scan.dictionary_of([]))
+    assert time.process_time() - begun < 60

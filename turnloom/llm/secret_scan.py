@@ -1,14 +1,20 @@
 """Secret scan: fixed patterns, and strings that a primed compressor finds new.
 
-Beside the base patterns, every string of key characters that stands behind or before a sensitive word
-(also in camelCase or plural), or in a private key block, is a candidate. A string that is reported makes
-candidates of those parted from it by white space, quotes or punctuation only. A candidate's novelty is its marginal compressed size: a zstandard compressor whose dictionary holds
-the commonest identifiers of the whole corpus and the words of configuration code compresses the text
-around the candidate with and without it. Names and words that the surroundings or the dictionary hold
-cost few bytes; what cannot be compressed is reported as ``novel``.
-
-Defined cases: a null text is empty and has no spans; very long texts are scanned whole; repeated rows
-are scanned alike; an empty table gives an empty result; other columns are never read.
+Beside the base patterns, every string of key characters in the sentence of a sensitive word (also in
+camelCase or plural; a sentence ends at a line's end too), within ``REACH`` characters of it, or in a private
+key block, is a candidate. A string that is reported makes candidates of those parted from it by white space,
+quotes or punctuation only.
+
+A candidate's novelty is its marginal compressed size: a zstandard compressor whose dictionary holds the
+commonest identifiers of the whole corpus and the words of configuration code compresses the text around the
+candidate with and without it. Names are built of words, so camelCase humps and parts between underscores that
+the dictionary knows are left out first, and what remains is measured. What cannot be compressed is reported as
+``novel``: ``SHARE`` bytes a character and ``LEAST`` bytes in all, ``LEAST_LETTERS`` for letters alone, since a
+rare long word looks as new as a short key of letters does.
+
+Identifiers of more than ``LONGEST`` characters are not counted for the dictionary. Defined cases: a null text is
+empty and has no spans; very long texts are scanned whole; repeated rows are scanned alike; an empty table gives
+an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -44,13 +50,16 @@ SENSITIVE = re.compile(  # no letter on either side, or a new hump of a camelCas
 BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END|\Z)", re.S)
 TAIL = re.compile(r"\s+([A-Za-z0-9+/=]{1,11})(?=\s*-----END)")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+SENTENCE = re.compile(r"""[.!?]["')\]]*\s|[\r\n]""")
+PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}(?![a-z])")
 REACH, AROUND = 48, 160
-SHARE, LEAST = 0.55, 9  # marginal bytes a character, and in all
-WORDS, LONGEST, USUAL = 2048, 255, 8
+SHARE, LEAST, LEAST_LETTERS = 0.55, 10, 14  # marginal bytes a character, and in all
+WORDS, NAMES, LONGEST, USUAL = 2048, 8192, 255, 8
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,}", re.A)
 CODE = ("password passwd secret token api_key apikey access_key private_key client_secret username user "
         "config configuration settings environment variable import return function class public static "
         "https http www example localhost Authorization Bearer Basic null true false None default value "
+        "get set name value type key index count list item data file path page error timeout "
         "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 changeme placeholder your_key_here")
 COUNTS = StructType([StructField("word", StringType()), StructField("n", LongType())])
 FOUND = StructType([
@@ -73,44 +82,68 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n"])
 
 
-def common_words(docs: DataFrame, text: str = "text", words: int = WORDS) -> list[str]:
+def common_words(docs: DataFrame, text: str = "text", words: int = NAMES) -> list[str]:
     """The commonest identifiers of all texts; their number and length bound what reaches the driver.
 
-    A word with digits counts from ``USUAL`` occurrences on: a small corpus has few other words, and a
-    secret with some copies must not pass for a name.
+    A word with digits, or long enough to be a candidate, counts from ``USUAL`` occurrences on: a small
+    corpus has few other words, and a secret with some copies must not pass for a name.
     """
     counted = docs.select(F.col(text).cast("string")).mapInArrow(_count, COUNTS)
     total = counted.groupBy("word").agg(F.sum("n").alias("n"))
-    top = total.where((F.col("n") >= USUAL) | ~F.col("word").rlike("[0-9]")).orderBy(F.desc("n"), "word").limit(words)
+    top = total.where((F.col("n") >= USUAL) | ~F.col("word").rlike("[0-9]|.{12}")).orderBy(F.desc("n"), "word").limit(words)
     return [r["word"] for r in top.collect()]
 
 
 @lru_cache(maxsize=4)
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False,
-                                    write_checksum=False, write_dict_id=False)
+    # This strategy with a target length stores literals as they are: coding them would start at some size
+    # of the surroundings, and what a string adds would depend on that.
+    raw = zstandard.ZstdCompressionParameters.from_level(
+        9, strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=4, write_content_size=0,
+        write_checksum=0, write_dict_id=0)
+    return zstandard.ZstdCompressor(compression_params=raw, dict_data=primed)
 
 
 def dictionary_of(words: list[str]) -> bytes:
-    """Raw dictionary; what is likelier stands nearer to its end."""
-    return (" ".join(reversed(words)) + " " + CODE).encode()
+    """Raw dictionary of the first ``WORDS``; what is likelier stands nearer to its end."""
+    return (" ".join(reversed(words[:WORDS])) + " " + CODE).encode()
 
 
-def marginal_bytes(text: str, start: int, end: int, dictionary: bytes) -> int:
-    """Compressed bytes that a span adds to the text around it."""
+def known_parts(words: list[str]) -> frozenset[str]:
+    """The words that names are built of, in lower case; parts long enough to be a key are none."""
+    parts = {p.lower() for w in [*words, *CODE.split()] for p in PART.findall(w)}
+    return frozenset(p for p in parts if 3 <= len(p) < 12)
+
+
+KNOWN = known_parts([])
+
+
+def unnamed(value: str, known: frozenset[str] = KNOWN) -> str:
+    """A string without the parts that are known words."""
+    return PART.sub(lambda m: "" if m[0].lower() in known else m[0], value)
+
+
+def marginal_bytes(before: str, value: str, after: str, dictionary: bytes) -> int:
+    """Compressed bytes that a string adds to the text around it."""
     compress = _compressor(dictionary).compress
-    before, after = text[max(0, start - AROUND):start], text[end:end + AROUND]
-    return len(compress((before + text[start:end] + after).encode())) - len(compress((before + after).encode()))
+    return len(compress((before + value + after).encode())) - len(compress((before + after).encode()))
 
 
-def linked_bytes(text: str, start: int, end: int, dictionary: bytes) -> int:
-    """Marginal bytes of a span among others like it: the lines of a key do not make one another usual."""
-    def names(part: str) -> str:
-        return CANDIDATE.sub(lambda m: "" if any(c.isdigit() for c in m[0]) else m[0], part)
+def is_novel(text: str, start: int, end: int, dictionary: bytes, known: frozenset[str], linked: bool) -> bool:
+    """Is a candidate incompressible beside its surroundings?
 
-    before, after = names(text[max(0, start - AROUND):start]), names(text[end:end + AROUND])
-    return marginal_bytes(before + text[start:end] + after, len(before), len(before) + end - start, dictionary)
+    For one among others like it, candidates around it are left out: the lines of a key do not make one
+    another usual."""
+    value = unnamed(text[start:end], known)
+    least = LEAST if any(c.isdigit() for c in value) else LEAST_LETTERS
+    if len(value) < least - 4:  # a string cannot add much more than itself
+        return False
+    before, after = text[max(0, start - AROUND):start], text[end:end + AROUND]
+    if linked:
+        before, after = (CANDIDATE.sub(lambda m: m[0] if unnamed(m[0], known) == "" else "", part)
+                         for part in (before, after))
+    return marginal_bytes(before, value, after, dictionary) >= max(least, SHARE * len(value))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -125,7 +158,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int]], dictionary: bytes) -> list[tuple[int, int, int]]:
+def novel_spans(text: str, base: list[tuple[int, int, int]], dictionary: bytes,
+                known: frozenset[str] = KNOWN, reach: int = REACH) -> list[tuple[int, int, int]]:
     """Incompressible candidates beside a sensitive word or a reported one, outside the base spans."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
@@ -133,36 +167,32 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], dictionary: bytes)
     runs = [m.span() for m in CANDIDATE.finditer(text)]
     starts, ends = [a for a, _ in runs], [b for _, b in runs]
     begin: dict[int, int] = {}  # where the candidate begins in each run that is one
+    edges = [0, *(m.end() for m in SENTENCE.finditer(text)), len(text)]
+    done = 0  # words come in order, and so do the windows around them: each run is looked at once
     for word in SENSITIVE.finditer(text):
         a, b = word.span()
-        at = bisect_right(ends, b)
-        while at < len(runs) and starts[at] <= b + REACH:
-            start = max(starts[at], b)  # the word may stand in the run
+        sentence = bisect_right(edges, a, 0, len(edges) - 1)
+        low_at = bisect_left(ends, min(edges[sentence - 1], a - reach))
+        high = bisect_right(starts, max(edges[sentence], b + reach))
+        for at in range(max(low_at, done), high):
+            start = b if starts[at] < b < ends[at] else starts[at]  # the word may stand in the run
             if ends[at] - start >= 12:
-                begin.setdefault(at, start)
-            at += 1
-        at = bisect_left(ends, a) - 1
-        while at >= 0 and ends[at] >= a - REACH:
-            begin.setdefault(at, starts[at])
-            at -= 1
+                begin[at] = start
+        done = max(done, high)
     linked = set()  # in a key block, or beside one that is reported
     for block in BLOCK.finditer(text) if "-----BEGIN " in text else ():
         linked.update(range(bisect_left(starts, block.start(1)), bisect_left(starts, block.end(1))))
     for at in linked:
         begin.setdefault(at, starts[at])
     taken = sorted((a, b) for a, _, b in base)
-    reach = list(accumulate((b for _, b in taken), max))  # how far the base spans up to each one go
+    far = list(accumulate((b for _, b in taken), max))  # how far the base spans up to each one go
     out, ahead = [], sorted(begin, reverse=True)
     while ahead:
         at = ahead.pop()
         start, end = begin[at], ends[at]
         before = bisect_left(taken, (end,)) - 1  # the last base span that begins before the end
-        if before < 0 or reach[before] <= start:
-            value = text[start:end]
-            if not any(c.isdigit() for c in value):
-                continue
-            cost = (linked_bytes if at in linked else marginal_bytes)(text, start, end, dictionary)
-            if cost < LEAST or cost < SHARE * len(value):
+        if before < 0 or far[before] <= start:
+            if not is_novel(text, start, end, dictionary, known, at in linked):
                 continue
             out.append((start, 3, end))
             tail = TAIL.match(text, end)
@@ -182,14 +212,14 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def _scan(dictionary: bytes):
+def _scan(dictionary: bytes, known: frozenset[str], reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = value.as_py() or ""
                 base = base_spans(text)
-                new = novel_spans(text, base, dictionary)
+                new = novel_spans(text, base, dictionary, known, reach)
                 n = np.bincount([k for _, k, _ in base], minlength=3).tolist() if base else [0, 0, 0]
                 out.append((doc_id, *n, len(new), hashlib.sha256(_joined(base).encode()).hexdigest(),
                             _joined(base + new)))
@@ -201,11 +231,14 @@ def _scan(dictionary: bytes):
     return run
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, counts per kind, digest of the base spans, all spans (kind:start:end, code points)."""
-    dictionary = dictionary_of(common_words(docs, text))
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:
+    """doc_id, counts per kind, digest of the base spans, all spans (kind:start:end, code points).
+
+    ``reach``: how far beyond its sentence a sensitive word makes candidates."""
+    words = common_words(docs, text)
+    dictionary, known = dictionary_of(words), known_parts(words)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_scan(dictionary), FOUND)
+    return rows.mapInArrow(_scan(dictionary, known, reach), FOUND)
 
 
 def masked(text: str, spans: str, mark: str = "[{kind}]") -> str:
