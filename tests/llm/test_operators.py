@@ -232,6 +232,36 @@ def test_best_fit_respects_every_capacity(score):
         assert own.sum() <= 1024 and len(own) <= 3 and (len(own) == 1 or (own.astype(float) ** 2).sum() <= 500_000)
 
 
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_searched_capacities_bind_and_cost_no_sequence(score):
+    rng = np.random.default_rng(5)
+    lengths = np.sort(np.concatenate([rng.integers(1, 1024, 900), np.full(300, 1024), rng.integers(1, 40, 200)]))[::-1]
+    weights = (1.0, 0.3, 0.3)
+    alone, _ = packing.best_fit(lengths, (1024, len(lengths), 1024.0 ** 2), weights, score)
+    (_, documents, attention), bins, offsets = packing.tightest(lengths, 1024, weights, score)
+    assert bins.max() <= alone.max()
+    cost, n = np.bincount(bins, lengths.astype(float) ** 2), np.bincount(bins)
+    assert attention < 1024 ** 2 and cost[n > 1].max() <= attention and n.max() <= documents < np.bincount(alone).max() + 5
+    for tighter in ((documents - 1, attention), (documents, attention - 1024 ** 2 / 16)):
+        closer, _ = packing.best_fit(lengths, (1024, *tighter), weights, score)
+        assert closer.max() > alone.max() or closer.max() > bins.max()
+    given = packing.tightest(lengths, 1024, weights, score, documents=3, attention=0.9 * 1024 ** 2)
+    assert given[0][1:] == (3.0, 0.9 * 1024 ** 2) and np.bincount(given[1]).max() <= 3
+    for few in ([], [7], [1024] * 3, [1] * 5):
+        own = packing.tightest(np.array(few, np.int64), 1024, weights, score)
+        assert len(own[1]) == len(few) and (not few or own[1].max() + 1 == (3 if few[0] == 1024 else 1))
+
+
+def test_shares_of_capacities(docs):
+    placed = packing.pack(docs)
+    shares = packing.used(placed).collect()
+    limits = placed.select("max_documents", "max_attention").distinct().collect()
+    assert len(limits) == 1 and limits[0].max_attention <= 1024 ** 2
+    count = Counter(r.sequence_id for r in placed.collect())
+    assert {r.sequence_id for r in shares} == set(count)
+    assert all(0 < r.tokens <= 1 and 0 < r.documents <= 1 and (r.attention <= 1 or count[r.sequence_id] == 1) for r in shares)
+
+
 def test_chat_round_trip(spark):
     odd = "a\\b <s> </s> [INST] <|user|>\n|x\\"
     rows = [(1, 0, None, None, "q"), (1, 1, "assistant", odd, "q"), (1, 1, "assistant", odd, "q"),
@@ -279,6 +309,19 @@ def test_secret_scan(spark, nothing):
     assert secret_scan.scan(nothing).count() == 0
 
 
+def test_language_sample_is_bounded_for_repeated_identifiers(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "train", lambda vectors, labels: seen.append(Counter(labels)))
+    ids = spark.range(9000).select((F.col("id") % 3).alias("key"), (F.col("id") % 3000).alias("n"), "id")
+    rows = ids.select("key", F.lit("one").alias("lang"), F.concat(F.lit("text "), "n").alias("text"))
+    rows = rows.unionByName(ids.select("key", F.lit("two").alias("lang"), F.lit("the same").alias("text")))
+    rows = rows.unionByName(ids.where("id < 40").select("key", F.lit("").alias("lang"), F.concat(F.lit("few "), "n").alias("text")))
+    language.fit(rows, "lang", "text", F.col("key"), sample=600)
+    assert 480 < seen[0]["one"] < 720 and seen[0]["two"] == 3 and seen[0][""] == 40
+    language.fit(rows, "lang", "text", F.col("key"), total=300, labels=2)
+    assert 100 < seen[1]["one"] < 200 and seen[1][""] == 40 and "two" not in seen[1]
+
+
 def test_language(spark, nothing):
     rng = random.Random(6)
     make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40))

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from turnloom.llm.text import row_ranges
 from turnloom.sources.sinks import written
@@ -40,6 +40,7 @@ PIECES = StructType([
 PLACED = StructType([
     *[f for f in PIECES if f.name != "tokens"], StructField("ids_crc32", LongType()),
     StructField("sequence_id", LongType()), StructField("offset", LongType()),
+    StructField("max_documents", LongType()), StructField("max_attention", DoubleType()),
 ])
 
 
@@ -171,70 +172,122 @@ def best_fit(lengths: np.ndarray, capacity: tuple[float, float, float],
     A piece that no empty bin can hold gets one of its own (it was cut to fit by its tokens; its
     attention cost alone may be above the capacity).
     """
-    cap, w = np.array(capacity, float), np.array(weights, float)
     n = len(lengths)
-    least = np.minimum.accumulate(lengths[::-1])[::-1] if n else lengths
+    w = [x / c for x, c in zip(weights, capacity)]
+    least = np.append(np.minimum.accumulate(lengths[::-1])[::-1], 0)
     bins, offsets = np.empty(n, np.int64), np.empty(n, np.int64)
-    residual = np.empty((64, 3))
+    left = np.empty((3, 64))  # what remains of each capacity in every open bin
     number = np.empty(64, np.int64)
     open_, made = 0, 0
-    for i, length in enumerate(lengths):
-        need = np.array([length, 1.0, float(length) ** 2])
-        best = -1
-        if open_:
-            left = residual[:open_] - need
-            fits = (left >= 0).all(axis=1)
-            if fits.any():
-                if score == "norm":
-                    value = ((w * left / cap) ** 2).sum(axis=1)
-                    best = int(np.argmin(np.where(fits, value, np.inf)))
-                else:
-                    value = (w * (need / cap) * (residual[:open_] / cap)).sum(axis=1)
-                    best = int(np.argmax(np.where(fits, value, -np.inf)))
-        if best < 0:
-            if open_ == len(residual):
-                residual = np.concatenate([residual, np.empty_like(residual)])
+    for i, length in enumerate(lengths.tolist()):
+        need = (length, 1.0, float(length) ** 2)
+        fits = np.flatnonzero((left[0, :open_] >= need[0]) & (left[1, :open_] >= need[1]) & (left[2, :open_] >= need[2]))
+        if len(fits):
+            rest = left[:, fits]
+            if score == "norm":
+                value = sum(((rest[d] - need[d]) * w[d]) ** 2 for d in range(3))
+                best = fits[np.argmin(value)]
+            else:
+                value = sum(rest[d] * (w[d] * need[d] / capacity[d]) for d in range(3))
+                best = fits[np.argmax(value)]
+        else:
+            if open_ == len(number):
+                left = np.concatenate([left, np.empty_like(left)], axis=1)
                 number = np.concatenate([number, np.empty_like(number)])
             best, open_ = open_, open_ + 1
-            residual[best], number[best] = cap, made
+            left[:, best], number[best] = capacity, made
             made += 1
-        bins[i], offsets[i] = number[best], int(cap[0] - residual[best, 0])
-        residual[best] -= need
-        if residual[best, 0] < (least[i + 1] if i + 1 < n else 0) or (residual[best] < 1).any():
+        bins[i], offsets[i] = number[best], int(capacity[0] - left[0, best])
+        left[:, best] -= need
+        if left[0, best] < least[i + 1] or (left[:, best] < 1).any():
             open_ -= 1  # nothing that is left fits: close the bin
-            residual[best], number[best] = residual[open_], number[open_]
+            left[:, best], number[best] = left[:, open_], number[open_]
     return bins, offsets
 
 
-def _pack(capacity, weights, score):
+def tightest(lengths: np.ndarray, tokens: int, weights: tuple[float, float, float], score: str = "norm",
+             documents: int | None = None, attention: float | None = None,
+             ) -> tuple[tuple[float, float, float], np.ndarray, np.ndarray]:
+    """Capacities, bins and offsets; a capacity that is not given is searched.
+
+    The searched ones are as small as they can be without one more bin than tokens alone need: first the
+    attention cost of a bin (in sixteenths of a full piece's, a half or more), then the documents in it.
+    Both are found by bisection, and what is returned was packed and counted. ``lengths`` come in the
+    order in which they are placed.
+    """
+    def packed(d, a):
+        capacity = (float(tokens), float(d), float(a))
+        bins, offsets = best_fit(lengths, capacity, weights, score)
+        return capacity, bins, offsets
+
+    full = float(tokens) ** 2
+    n = len(lengths)
+    best = packed(documents or max(n, 1), attention or full)
+    if n == 0 or (documents and attention):
+        return best
+    made = best[1].max() + 1
+    if attention is None:
+        low, high = 7, 16
+        while high - low > 1:
+            middle = (low + high) // 2
+            tried = packed(best[0][1], full * middle / 16)
+            if tried[1].max() < made:
+                best, high = tried, middle
+            else:
+                low = middle
+    if documents is None:
+        low, high = (n - 1) // int(made), int(np.bincount(best[1]).max())
+        best = ((best[0][0], float(high), best[0][2]), *best[1:])
+        while high - low > 1:
+            middle = (low + high) // 2
+            tried = packed(middle, best[0][2])
+            if tried[1].max() < made:
+                best, high = tried, middle
+            else:
+                low = middle
+    return best
+
+
+def _pack(tokens, documents, attention, weights, score):
     def run(table: pa.Table) -> pa.Table:
         lengths = table["length"].to_numpy()
         ids = np.array(table["doc_id"].fill_null(-1))
         order = np.lexsort((table["piece"].to_numpy(), ids, -lengths))
-        bins, offsets = best_fit(lengths[order], capacity, weights, score)
+        capacity, bins, offsets = tightest(lengths[order], tokens, weights, score, documents, attention)
         sorted_ = table.take(pa.array(order))
         sequence = sorted_["shard"].to_numpy() * (1 << 32) + bins
         return pa.table({
             **{c: sorted_[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")},
             "sequence_id": pa.array(sequence), "offset": pa.array(offsets),
+            "max_documents": pa.array(np.full(len(bins), capacity[1], np.int64)),
+            "max_attention": pa.array(np.full(len(bins), capacity[2])),
         })
 
     return run
 
 
-def place(cut: DataFrame, tokens: int = 1024, documents: int = 1024,
-          attention: float | None = None, weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3),
+def place(cut: DataFrame, tokens: int = 1024, documents: int | None = None,
+          attention: float | None = None, weights: tuple[float, float, float] = (1.0, 0.3, 0.3),
           score: str = "norm", shard: int = SHARD) -> DataFrame:
     """A sequence and an offset for every piece (doc_id, piece, start, length, ids_crc32).
 
+    ``documents`` and ``attention`` (sum of squared lengths) limit a sequence besides its tokens; without
+    them every shard takes the smallest that cost it no sequence (``tightest``). Either way the limits are
+    in ``max_documents`` and ``max_attention``; a piece above the attention limit stands alone.
     ``cut`` is written first, without token ids, so that rows keep their place when a task is
     repeated. Rows are dealt to shards by their place in that table, whatever their identifiers.
     """
     stored = written(cut, "pieces")
     shards = max(1, math.ceil(stored.count() / shard))
     dealt = stored.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)))
-    capacity = (tokens, documents, float(tokens) ** 2 if attention is None else attention)
-    return dealt.groupBy("shard").applyInArrow(_pack(capacity, weights, score), PLACED)
+    return dealt.groupBy("shard").applyInArrow(_pack(tokens, documents, attention, weights, score), PLACED)
+
+
+def used(placed: DataFrame, tokens: int = 1024) -> DataFrame:
+    """sequence_id, and the shares of its tokens, documents and attention cost that are taken (above 1: a lone piece)."""
+    return placed.groupBy("sequence_id").agg(
+        (F.sum("length") / tokens).alias("tokens"), (F.count("*") / F.first("max_documents")).alias("documents"),
+        (F.sum(F.col("length") * F.col("length")) / F.first("max_attention")).alias("attention"))
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokens: int = 1024,
