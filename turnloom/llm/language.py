@@ -7,7 +7,7 @@ rejection threshold are then calibrated on a part of the sample that training di
 layers are linear before the softmax, prediction adds one precomputed row of scores per subword.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; whole texts are read,
-however long; rows with null or empty labels are not learned from; with one label or none, every text
+however long; rows with a null label are not learned from, an empty one is a label like others; with one label or none, every text
 with a letter gets that label, or ``und``; an empty table gives an empty result; repeated rows are
 predicted alike; other columns are never read.
 """
@@ -28,6 +28,7 @@ from turnloom.llm import text as T
 
 BITS, ORDERS = 14, (1, 2, 3)
 SAMPLE = 1500  # texts per label that training may see, on average
+TOTAL, LABELS = 12_000, 256  # texts of all labels together, on average, and labels it may see
 DIMENSIONS, EPOCHS, RATE = 16, 6, 0.5
 CALIBRATION = 4  # every fourth text of the sample
 TARGET = 0.99  # accuracy wanted of what is not rejected
@@ -155,18 +156,26 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column(0), *[pa.array(c, pa.binary()) for c in zip(*rows)]], VECTORS.names)
 
 
-def fit(labelled: DataFrame, label: str, text: str, key: Column, sample: int = SAMPLE) -> Model:
-    """Train on about ``sample`` texts per label, chosen by a hash of ``key``; all if there are fewer."""
+def fit(labelled: DataFrame, label: str, text: str, key: Column, sample: int = SAMPLE,
+        total: int = TOTAL, labels: int = LABELS) -> Model:
+    """Train on about ``sample`` texts of every label; all if there are fewer.
+
+    About ``total`` texts are learned from and collected at most, equally many of every label, and of more
+    than ``labels`` labels the most frequent. Rows are chosen by a hash of key and text, so one identifier
+    with many texts is sampled like many identifiers, and a row that repeats counts once.
+    """
     rows = labelled.select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"),
-                           key.cast("string").alias("key")).where(
-        "label is not null and label <> '' and text is not null")
-    per_label = rows.groupBy("label").count()
-    share = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # One count per label goes to all tasks, less than the sample itself; about ``sample`` keys per
-    # label are left to broadcast, and no task gathers a label.
-    chosen = rows.select("label", "key").join(F.broadcast(per_label), "label").where(
-        share * F.col("count") < sample).select("label", "key").distinct()
-    picked = rows.join(F.broadcast(chosen), ["label", "key"], "left_semi")
+                           key.cast("string").alias("key")).where("label is not null and text is not null")
+    hashed = rows.withColumn("hash", F.xxhash64("key", "text"))
+    # Sketches of the different rows are merged map-side, so a label of any size is one row after the shuffle.
+    counts = hashed.groupBy("label").agg(F.approx_count_distinct("hash", 0.01).alias("rows"))
+    common = counts.orderBy(F.desc("rows"), "label").limit(labels).collect()
+    each = min(sample, total / max(len(common), 1))
+    shares = labelled.sparkSession.createDataFrame(
+        [(r.label, min(1.0, each / r.rows)) for r in common], "label string, share double")
+    picked = hashed.join(F.broadcast(shares), "label").where(
+        F.pmod("hash", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    picked = picked.select("label", "text", "key").distinct()
     found = picked.select("label", "text").mapInArrow(_vectors, VECTORS).collect()
     found.sort(key=lambda r: (r["label"], bytes(r["at"]), bytes(r["n"])))
     rng = np.random.default_rng(11)
