@@ -322,6 +322,25 @@ def test_language_sample_is_bounded_for_repeated_identifiers(spark, monkeypatch)
     assert 100 < seen[1]["one"] < 200 and seen[1][""] == 40 and "two" not in seen[1]
 
 
+def test_language_sections_equal_whole_texts(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab \nZé1") for _ in range(rng.choice([0, 1, 2, 30, 400]))) for _ in range(60)] + [None, "1 2 é", "  "]
+    column = pa.array(texts, pa.string())
+    model = language.Model(["x", "y"], np.random.default_rng(1).normal(size=(1 << language.BITS, 2)).astype(np.float32), np.zeros(2))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([False] * len(texts)), column], ["doc_id", "held_out", "text"])
+
+    def results():
+        got = pa.Table.from_batches(list(language._predict(model)(iter([batch])))).to_pydict()
+        return [(a.tolist(), b.tolist()) for a, b in language.counted(column)], got["lang_pred"], np.array(got["score"])
+
+    whole = results()
+    assert [p == "und" for p in whole[1]] == [not any(c.isalpha() for c in t or "") for t in texts]
+    for size in (1, 2, 7, 100):
+        monkeypatch.setattr(language, "SECTION", size)
+        cut = results()
+        assert cut[:2] == whole[:2] and np.allclose(cut[2], whole[2])
+
+
 def test_language(spark, nothing):
     rng = random.Random(6)
     make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40))

@@ -28,6 +28,7 @@ from turnloom.llm import text as T
 
 BITS, ORDERS = 14, (1, 2, 3)
 SAMPLE = 1500  # texts per label that training may see, on average
+SECTION = T.PIECE // 2  # bytes that are worked on at a time, of many texts or of one
 TOTAL, LABELS = 12_000, 256  # texts of all labels together, on average, and labels it may see
 DIMENSIONS, EPOCHS, RATE = 16, 6, 0.5
 CALIBRATION = 4  # every fourth text of the sample
@@ -41,9 +42,19 @@ PREDICTED = StructType([
 ])
 
 
-def subwords(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per piece of a column: the hashed subwords of all rows, and how many come before each row."""
+def sections(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The bytes of a column in sections: bytes, where each row starts in them, starts of subwords.
+
+    A section has the bytes after its own that a subword may reach into. Rows outside it are empty there.
+    """
     data, offsets = T.text_bytes(column)
+    for at in range(0, len(data), SECTION):
+        end = min(at + SECTION + max(ORDERS) - 1, len(data))
+        yield data[at:end], np.clip(offsets - at, 0, end - at), min(SECTION, end - at)
+
+
+def subwords(data: np.ndarray, offsets: np.ndarray, starts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Hashed subwords that begin in the first ``starts`` bytes, and their rows, in order for each length."""
     low = T.LOWER[data]
     low = np.where(T.SPACE[low], np.uint8(0x20), low).astype(np.uint32)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -60,25 +71,31 @@ def subwords(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 inside &= low[i:len(low) - n + 1 + i] != 0x20
         else:
             inside &= low != 0x20
+        inside[starts:] = False
         hashed = (code + np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
         hashed ^= hashed >> np.uint32(15)
         hashed *= np.uint32(0xC2B2AE35)
         codes.append((hashed >> np.uint32(32 - BITS))[inside])
         owner.append(row[:len(row) - n + 1][inside])
-    return codes, owner, len(offsets) - 1
+    return codes, owner
 
 
 def counted(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per row, its different subwords and their shares."""
-    for lo, hi in T.row_ranges(column):
-        codes, owner, rows = subwords(column.slice(lo, hi - lo))
-        code = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-        own = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        order = np.argsort(own, kind="stable")
-        code = code[order].astype(np.int64)
-        edges = np.searchsorted(own[order], np.arange(rows + 1))
-        for i in range(rows):
-            n = np.bincount(code[edges[i]:edges[i + 1]], minlength=1)
+    for lo, hi in T.row_ranges(column, SECTION):
+        found = [np.zeros(0, np.int64)] * (hi - lo)
+        for section in sections(column.slice(lo, hi - lo)):
+            codes, owner = subwords(*section)
+            code = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+            own = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+            order = np.argsort(own, kind="stable")
+            code = code[order].astype(np.int64)
+            edges = np.searchsorted(own[order], np.arange(hi - lo + 1))
+            for i in np.flatnonzero(np.diff(edges)):
+                n = np.bincount(code[edges[i]:edges[i + 1]], minlength=len(found[i]))
+                n[:len(found[i])] += found[i]
+                found[i] = n
+        for n in found:
             at = np.flatnonzero(n)
             yield at, n[at] / max(1, n.sum())
 
@@ -186,9 +203,11 @@ def fit(labelled: DataFrame, label: str, text: str, key: Column, sample: int = S
 
 def _letters(column: pa.Array) -> np.ndarray:
     """Whether a text has a letter."""
-    data, offsets = T.text_bytes(column)
-    ascii_letter = np.concatenate([[0], np.cumsum((T.LOWER[data] >= 97) & (T.LOWER[data] <= 122))])
-    found = ascii_letter[offsets[1:]] > ascii_letter[offsets[:-1]]
+    found = np.zeros(len(column), bool)
+    for data, offsets, starts in sections(column):
+        low = T.LOWER[data[:starts]]
+        row = np.searchsorted(offsets, np.flatnonzero((low >= 97) & (low <= 122)), side="right") - 1
+        found[row] = True
     for i in np.flatnonzero(~found):
         found[i] = any(c.isalpha() for c in column[int(i)].as_py() or "")
     return found
@@ -198,11 +217,10 @@ def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = T.one_array(batch.column(2))
-            for lo, hi in T.row_ranges(texts, T.PIECE // 2):
-                piece = texts.slice(lo, hi - lo)
-                codes, owner, rows = subwords(piece)
+            for lo, hi in T.row_ranges(texts, SECTION):
+                piece, rows = texts.slice(lo, hi - lo), hi - lo
                 scores, n = np.zeros((rows, len(model.labels))), np.zeros(rows)
-                for code, own in zip(codes, owner):
+                for code, own in ((c, o) for section in sections(piece) for c, o in zip(*subwords(*section))):
                     edges = np.searchsorted(own, np.arange(rows + 1))
                     n += np.diff(edges)
                     for k in range(len(model.labels)):
