@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window as W, functions a
 
 from turnloom.functions.lists import let
 from turnloom.functions.text import norm_space, strip
+from turnloom.operators.passages import SharedLists
 
 NO_KNOWLEDGE = "array(cast(array() as array<string>))"
 
@@ -18,12 +19,16 @@ def row_keys(*tables: DataFrame) -> list[str]:
 
 
 def merge_knowledge(
-    samples: DataFrame, know: DataFrame, combined: bool = False, disable_know: bool = False
+    samples: DataFrame, know: DataFrame | SharedLists, combined: bool = False, disable_know: bool = False
 ) -> DataFrame:
     """Attach the passages of each row; rows past the knowledge table keep NULL.
 
     Passages with a ``split`` go to the rows of that split only.
     """
+    if isinstance(know, SharedLists):
+        if not disable_know:
+            return know.joined(samples.drop("predicted_know")).withColumn("combined", F.lit(combined))
+        know = know.refs.select("idx").distinct()
     lists = F.expr(NO_KNOWLEDGE) if disable_know else F.col("predicted_know")
     keys = row_keys(samples, know)
     right = know.select(*keys, lists.alias("predicted_know"))
@@ -114,10 +119,11 @@ def known_positions(
 
 
 def keep_positions(
-    df: DataFrame, kept: DataFrame, keys: Sequence[str] = ("idx",)
+    df: DataFrame, kept: DataFrame | None = None, keys: Sequence[str] = ("idx",)
 ) -> DataFrame:
     """Cut topics, confidences and passages to the kept positions, or to the first one.
 
+    Without ``kept`` the rows hold them already, in a column of that name, which goes.
     Positions past the end of the shortest of the three lists do not count.
     """
     names = [
@@ -127,12 +133,12 @@ def keep_positions(
     sizes = [F.size(n) for n in names]
     shortest = F.least(*sizes) if len(sizes) > 1 else sizes[0]
     inside = let(shortest, lambda n: F.filter("kept", lambda p: p < n))
-    joined = df.join(kept, list(keys), "left").withColumn("kept", inside)
+    joined = (df if kept is None else df.join(kept, list(keys), "left")).withColumn("kept", inside)
     joined = joined.withColumn(
         "kept", F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.array(F.lit(0)))
     )
     picked = {n: _at(F.col(n)) for n in names}
-    return joined.withColumns(picked).select(*df.columns)
+    return joined.withColumns(picked).select(*[c for c in df.columns if c != "kept"])
 
 
 def _at(arr: Column) -> Column:
@@ -151,7 +157,11 @@ def union_with_without_know(with_know: DataFrame, without: DataFrame) -> DataFra
     return with_know.withColumn("copy", F.lit(0)).unionByName(without.withColumn("copy", F.lit(1)))
 
 
-def eval_join(generations: DataFrame, samples: DataFrame, know: DataFrame | None = None) -> DataFrame:
+def eval_join(
+    generations: DataFrame, samples: DataFrame, know: DataFrame | SharedLists | None = None
+) -> DataFrame:
     """Generations with their samples and, if given, their raw passages."""
     joined = generations.join(samples, row_keys(generations, samples))
+    if isinstance(know, SharedLists):
+        return know.joined(joined, "inner")
     return joined if know is None else joined.join(know, row_keys(joined, know))

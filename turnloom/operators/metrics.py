@@ -17,6 +17,7 @@ from turnloom.functions.ngrams import bleu_scores, ngrams
 from turnloom.functions.numbers import beam_softmax, format_scores, fixed4
 from turnloom.operators import candidates, positions
 from turnloom.operators.joins import eval_join, row_keys
+from turnloom.operators.passages import SharedLists
 from turnloom.operators.prepare import exclude_topics
 from turnloom.operators.ranges import range_positions, range_running
 from turnloom.sources.sinks import written
@@ -258,11 +259,15 @@ def context_append(df: DataFrame) -> DataFrame:
 
 
 def reranked(
-    gen: DataFrame, samples: DataFrame, know: DataFrame, by: Sequence[str] = (),
+    gen: DataFrame, samples: DataFrame, know: DataFrame | SharedLists, by: Sequence[str] = (),
     per: Sequence[str] = (), base_size: int = 4, strict: bool = False,
 ) -> DataFrame:
     """Every answered sample with ``base`` (the first ``base_size``), ``picked`` and ``reranked``
-    passages (raw, uncut)."""
+    passages (raw, uncut). Of lists that rows share only what can be in a base is dealt to the rows."""
+    if isinstance(know, SharedLists):
+        know = know.take(1).changed(lambda lists: lists.withColumn(
+            "predicted_know", F.array(candidates.rerank_base(n=base_size)))).whole()
+
     def keyed(table: DataFrame, *columns) -> DataFrame:
         keys = [k for k in ("idx", "split") if k in table.columns]
         return table.select(*keys, *[c for c in columns if not (isinstance(c, str) and c in keys)])
@@ -277,7 +282,7 @@ def reranked(
 
 
 def passage_hit_at_k(
-    gen: DataFrame, samples: DataFrame, know: DataFrame, ks: Sequence[int] = (1, 2, 3, 4),
+    gen: DataFrame, samples: DataFrame, know: DataFrame | SharedLists, ks: Sequence[int] = (1, 2, 3, 4),
     by: Sequence[str] = (), per: Sequence[str] = (), base_size: int = 4, strict: bool = False,
 ) -> DataFrame:
     """Share of all sample rows whose target is among the first k re-ranked passages."""
@@ -287,7 +292,7 @@ def passage_hit_at_k(
     return _share_of_samples(rows, samples, hits, by, per)
 
 
-def rerank_table(gen: DataFrame, samples: DataFrame, know: DataFrame) -> DataFrame:
+def rerank_table(gen: DataFrame, samples: DataFrame, know: DataFrame | SharedLists) -> DataFrame:
     """The picked passages per row in the shape of a knowledge table."""
     return reranked(gen, samples, know).select("idx", F.col("picked").alias("predicted_know"))
 

@@ -8,18 +8,23 @@ still wanted.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql.types import ArrayType, BinaryType
 
-from turnloom.functions import tokens
+from turnloom.functions import text, tokens
 from turnloom.functions.tokens import Tokenizer
 
 REFS = "passage_refs"
+LEAST = 4  # a packed list takes at least this part of its size, so a batch of packed lists stays small unpacked
 
 
-def digest(text: Column) -> Column:
-    return F.unhex(F.sha2(text, 256))
+def digest(passage: Column) -> Column:
+    return F.unhex(F.sha2(passage, 256))
 
 
 def references(know: DataFrame) -> DataFrame:
@@ -66,3 +71,99 @@ def expand(refs: DataFrame, passages: DataFrame, keys: Sequence[str] = ("idx",))
         lambda i: F.transform(F.filter("_found", lambda x: x["i"] == i), lambda x: x["text"]))
     know = grouped.select(*keys, F.when(F.col("_lists") >= 0, lists).alias("predicted_know"))
     return know if not rest else refs.drop(REFS).join(know, list(keys))
+
+
+@dataclass(frozen=True)
+class SharedLists:
+    """Passage lists that many rows share: ``refs`` (idx, pos, list) name them, ``lists`` (list, passages) holds each once.
+
+    What is done to every list is done here before the lists are dealt to the rows that name them. A name
+    without a list stands for an empty one.
+    """
+
+    refs: DataFrame
+    lists: DataFrame
+
+    def take(self, n: int) -> SharedLists:
+        """The first ``n`` lists of every row; below 0 all of them."""
+        return self if n < 0 else replace(self, refs=self.refs.where(F.col("pos") < n))
+
+    def changed(self, fn: Callable[[DataFrame], DataFrame]) -> SharedLists:
+        """``fn`` takes and returns a table with the lists as ``predicted_know``."""
+        held = fn(self.lists.select("list", F.array("passages").alias("predicted_know")))
+        return replace(self, lists=held.select("list", F.get("predicted_know", F.lit(0)).alias("passages")))
+
+    def whole(self) -> DataFrame:
+        """(idx, predicted_know): the table in which every row holds its lists."""
+        none = F.array().cast(self.lists.schema["passages"].dataType)
+        lists = self.lists.select("list", F.col("passages").alias("held"))
+        return self._dealt(lists, ["idx"], F.coalesce("held", none)).withColumnRenamed("held", "predicted_know")
+
+    def joined(self, rows: DataFrame, how: str = "left") -> DataFrame:
+        """Rows with ``predicted_know``. A list is packed once, dealt so, and unpacked in the rows that hold it:
+        for whole texts. Rows meet their lists before they are unpacked, since that forgets the partitioning."""
+        both = rows.join(self._dealt(self._packed(), ["idx"]), "idx", how)
+        whole = unpack("held").cast(f"array<{self._kind()}>")
+        return both.withColumn("predicted_know", whole).drop("held")
+
+    def blocks(self, start: Column) -> DataFrame:
+        """(start, rows): per value of ``start``, a column over ``idx``, the lists of its rows in their order."""
+        refs = replace(self, refs=self.refs.withColumn("start", start))
+        blocks = refs._dealt(self._packed(), ["start", "idx"]).groupBy("start").agg(
+            F.sort_array(F.collect_list(F.struct("idx", "held"))).alias("rows"))
+        held = F.transform("rows", lambda r: r["held"])
+        return blocks.select("start", unpack_blocks(held).cast(f"array<array<{self._kind()}>>").alias("rows"))
+
+    def _kind(self) -> str:
+        return self.lists.schema["passages"].dataType.simpleString()
+
+    def _packed(self) -> DataFrame:
+        return self.lists.select("list", pack(F.col("passages").cast("array<binary>")).alias("held"))
+
+    def _dealt(self, lists: DataFrame, keys: Sequence[str], held: Column | str = "held") -> DataFrame:
+        """(keys, held): what is held of a row's lists; all rows of the first key come to one task."""
+        dealt = self.refs.join(lists, "list", "left").withColumn("held", text.col(held)).select(*keys, "pos", "held")
+        grouped = dealt.repartition(keys[0]).groupBy(*keys).agg(
+            F.sort_array(F.collect_list(F.struct("pos", "held"))).alias("k"))
+        return grouped.select(*keys, F.transform("k", lambda s: s["held"]).alias("held"))
+
+
+@F.arrow_udf(BinaryType())
+def pack(lists: pa.Array) -> pa.Array:
+    """Lists of byte strings, one compressed string each: size, then zstandard bytes."""
+    codec, out = pa.Codec("zstd", compression_level=3), []
+    for one in lists:
+        data = pickle.dumps(one.as_py())
+        short = len(data).to_bytes(8, "little") + codec.compress(data, asbytes=True)
+        out.append(short.ljust(len(data) // LEAST, b"\0"))  # the zeros are lost in any shuffle's compression
+    return pa.array(out, pa.binary())
+
+
+def _unpacker(depth: int):
+    """Rows of packed lists to rows of lists, or blocks of such rows; a list that is missing is empty.
+
+    The helpers are made here, so that they are sent to the workers with the function.
+    """
+    def one(blob: bytes | None) -> list[bytes | None]:
+        if blob is None:
+            return []
+        with pa.input_stream(pa.BufferReader(memoryview(blob)[8:]), compression="zstd") as data:
+            return pickle.loads(data.read(int.from_bytes(blob[:8], "little")))
+
+    def deep(held, level: int):
+        if held is None and level:
+            return None
+        return [deep(h, level - 1) for h in held] if level else one(held)
+
+    kind, spark_kind = pa.list_(pa.binary()), ArrayType(BinaryType())
+    for _ in range(depth):
+        kind, spark_kind = pa.list_(kind), ArrayType(spark_kind)
+
+    @F.arrow_udf(spark_kind)
+    def unpacked(rows: pa.Array) -> pa.Array:
+        return pa.array([deep(row.as_py(), depth) for row in rows], kind)
+
+    return unpacked
+
+
+unpack, unpack_blocks = _unpacker(1), _unpacker(2)

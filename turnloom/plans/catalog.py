@@ -65,16 +65,16 @@ def nine(c: Column | str, name: str) -> Column:
 
 def sample_lists(t: Tables, passages: bool = False) -> DataFrame:
     """Samples with their uncut passages."""
-    return joins.merge_knowledge(t.samples(passages), t.knowledge())
+    return joins.merge_knowledge(t.samples(passages, dialog=False), t.lists())
 
 
 def prepared(t: Tables, cfg: Settings) -> DataFrame:
-    return prepare.prepare(t.samples(), t.knowledge(), cfg)
+    return prepare.prepare(t.samples(), t.lists(), cfg)
 
 
 def scored_rows(t: Tables, task: str) -> DataFrame:
     """Answers with label, topic and split of their samples."""
-    samples = t.samples(passages=task == "P")
+    samples = t.samples(passages=task == "P", dialog=False)
     labelled = samples.select("idx", "split", "topic", prepare.pick_label(task).alias("label"))
     return joins.eval_join(t.generations(task), labelled)
 
@@ -106,7 +106,7 @@ def scan_samples(t):
 @query("scan_knowledge")
 def scan_knowledge(t):
     path = sinks.scratch_dir(t.spark, "knowledge")
-    sinks.write_knowledge(t.knowledge(), path)
+    sinks.write_knowledge(t.lists(), path, compression="gzip")
     rows = readers.read_knowledge(t.spark, path)
     return rows.select(
         "idx", size("predicted_know").alias("n_lists"),
@@ -176,7 +176,7 @@ def sink_layout(t):
 
 @query("sink_rerank")
 def sink_rerank(t):
-    rows = metrics.rerank_table(t.generations("P"), t.samples(), t.knowledge())
+    rows = metrics.rerank_table(t.generations("P"), t.samples(dialog=False), t.lists())
     return rows.select("idx", *list_columns("picked", F.col("predicted_know")))
 
 
@@ -202,7 +202,7 @@ def norm_answer(t):
 
 
 def sample_text(t: Tables, name: str, fn) -> DataFrame:
-    out = t.samples(passages=False).select("idx", fn(name).alias("out"))
+    out = t.samples(passages=False, dialog=name == "dialog").select("idx", fn(name).alias("out"))
     return out.select("idx", *text_columns("out", F.col("out")))
 
 
@@ -218,26 +218,26 @@ def response_text(t):
 
 @query("profile_filter")
 def profile_filter(t):
-    return t.samples(False).select("idx", text.profile_filter("user_profile").alias("profile"))
+    return t.samples(False, False).select("idx", text.profile_filter("user_profile").alias("profile"))
 
 
 @query("goal_pick")
 def goal_pick(t):
-    df = t.samples(False)
+    df = t.samples(False, False)
     return df.select("idx", prepare.pick_goal(df).alias("goal"),
                      prepare.pick_goal(df, use_query=True).alias("refined"))
 
 
 @query("topic_pick")
 def topic_pick(t):
-    df = t.samples(False)
+    df = t.samples(False, False)
     return df.select("idx", prepare.pick_topic(df).alias("first"),
                      prepare.pick_topic(df, selected_topic=True).alias("selected"))
 
 
 @query("label_pick")
 def label_pick(t):
-    return t.samples().select("idx", *[
+    return t.samples(dialog=False).select("idx", *[
         digest(prepare.pick_label(task)).alias(f"{name}_md5")
         for task, name in (("R", "response"), ("P", "passage"), ("I", "topic"))
     ])
@@ -245,7 +245,7 @@ def label_pick(t):
 
 @query("rationale")
 def rationale(t):
-    return t.samples(False).select("idx", text.rationale("topic_cot").alias("topic_reason"),
+    return t.samples(False, False).select("idx", text.rationale("topic_cot").alias("topic_reason"),
                                    text.rationale("passage_cot").alias("passage_reason"))
 
 
@@ -265,14 +265,14 @@ def context_append(t):
 
 @query("attach_output")
 def attach_output(t):
-    rows = t.samples(False).withColumn("label", prepare.pick_label("R"))
+    rows = t.samples(False, False).withColumn("label", prepare.pick_label("R"))
     return prepare.with_output(rows).select("idx", *text_columns("output", F.col("output")))
 
 
 # --- gates and filters ------------------------------------------------------------------------
 @query("gate_topic_hit")
 def gate_topic_hit(t):
-    df = t.samples(False)
+    df = t.samples(False, False)
     return prepare.gate_topic_hit(df, 3).select("idx", "topic", F.lit("normalised").alias("variant")).unionByName(
         prepare.gate_topic_hit(df, 3, inspired=True).select("idx", "topic", F.lit("raw").alias("variant"))
     )
@@ -280,17 +280,17 @@ def gate_topic_hit(t):
 
 @query("gate_cot")
 def gate_cot(t):
-    return prepare.gate_cot(t.samples(False)).select("idx", "topic")
+    return prepare.gate_cot(t.samples(False, False)).select("idx", "topic")
 
 
 @query("gate_gpt")
 def gate_gpt(t):
-    return prepare.gate_gpt(t.samples(), "gpt_selection").select("idx", "topic")
+    return prepare.gate_gpt(t.samples(dialog=False), "gpt_selection").select("idx", "topic")
 
 
 @query("gate_force_topic")
 def gate_force_topic(t):
-    df = t.samples()
+    df = t.samples(dialog=False)
     variants = {
         "cot": Settings(prompt="UDGIP2I_cot", topk_topic=3, positive="gpt_selection"),
         "chosen": Settings(prompt="DGIP2P_cot_new", topk_topic=3, positive="gpt_selection"),
@@ -328,11 +328,11 @@ def passage_mentions_refill(t):
 
 @query("db_check")
 def db_check(t):
-    samples = t.samples(False)
-    merged = joins.merge_knowledge(samples, t.knowledge())
-    checked = joins.keep_positions(
-        merged, joins.known_positions(samples, joins.topic_list(samples))
-    )
+    samples = t.samples(False, False)
+    kept = joins.known_positions(samples, joins.topic_list(samples))
+    # Rows meet their narrow positions before their passages, so whole texts are dealt once.
+    merged = joins.merge_knowledge(samples.join(kept, "idx", "left"), t.lists())
+    checked = joins.keep_positions(merged)
     return checked.select(
         "idx", F.array_join("predicted_topic", "|").alias("topics"),
         F.aggregate("predicted_topic_confidence", F.lit(0.0), lambda a, x: a + x).alias("confidence"),
@@ -342,7 +342,7 @@ def db_check(t):
 
 @query("exclude_topics")
 def exclude_topics(t):
-    return prepare.exclude_topics(t.samples(False)).select("idx", "topic")
+    return prepare.exclude_topics(t.samples(False, False)).select("idx", "topic")
 
 
 @query("substr_flags")
@@ -355,7 +355,7 @@ def substr_flags(t):
 # --- joins and sets ---------------------------------------------------------------------------
 @query("merge_knowledge")
 def merge_knowledge(t):
-    samples, know = t.samples(False), t.knowledge()
+    samples, know = t.samples(False, False), t.lists()
     on = joins.merge_knowledge(samples, know, combined=True)
     off = joins.merge_knowledge(samples, know, disable_know=True)
     shape = lambda df, name: df.select(
@@ -367,8 +367,8 @@ def merge_knowledge(t):
 
 @query("eval_join")
 def eval_join(t):
-    samples = t.samples().select("idx", "topic", "goal", "target_knowledge")
-    rows = joins.eval_join(t.generations("P"), samples, t.knowledge())
+    samples = t.samples(dialog=False).select("idx", "topic", "goal", "target_knowledge")
+    rows = joins.eval_join(t.generations("P"), samples, t.lists())
     return rows.select(
         "idx", "task", "topic", "goal", digest("target_knowledge").alias("target_md5"),
         F.get("beams", F.lit(0)).alias("answer"),
@@ -377,7 +377,7 @@ def eval_join(t):
 
 
 def exploded_topics(t: Tables) -> tuple[DataFrame, DataFrame]:
-    samples = t.samples(False)
+    samples = t.samples(False, False)
     rows = samples.select("idx", F.posexplode("predicted_topic").alias("pos", "predicted_topic"))
     return rows, samples
 
@@ -399,19 +399,19 @@ def negatives_anti(t):
 
 @query("rerank_anti")
 def rerank_anti(t):
-    rows = metrics.reranked(t.generations("P"), t.samples(), t.knowledge())
+    rows = metrics.reranked(t.generations("P"), t.samples(dialog=False), t.lists())
     return rows.select("idx", *list_columns("unpicked", candidates.unpicked("base", "picked")))
 
 
 @query("topic_list")
 def topic_list(t):
-    samples = t.samples(False)
+    samples = t.samples(False, False)
     return joins.topic_list(samples.where("split = 'train'"), samples.where("split = 'test'"))
 
 
 @query("union_with_without_know")
 def union_with_without_know(t):
-    samples, know = t.samples(False), t.knowledge()
+    samples, know = t.samples(False, False), t.lists()
     both = joins.union_with_without_know(
         joins.merge_knowledge(samples, know), joins.merge_knowledge(samples, know, disable_know=True)
     )
@@ -453,19 +453,19 @@ def running_metrics(t):
 
 @query("item_hit_inspired")
 def item_hit_inspired(t):
-    samples = t.samples(False).withColumn("label", prepare.pick_label("I"))
+    samples = t.samples(False, False).withColumn("label", prepare.pick_label("I"))
     return rounded(metrics.item_hit_inspired(t.generations("I"), samples, by=BY_SPLIT), "split")
 
 
 @query("item_hit_exact")
 def item_hit_exact(t):
-    return rounded(metrics.item_hit_exact(t.generations("I"), t.samples(False), by=BY_SPLIT), "split")
+    return rounded(metrics.item_hit_exact(t.generations("I"), t.samples(False, False), by=BY_SPLIT), "split")
 
 
 @query("passage_hit_at_k")
 def passage_hit_at_k(t):
     return rounded(metrics.passage_hit_at_k(
-        t.generations("P"), t.samples(), t.knowledge(), by=BY_SPLIT), "split")
+        t.generations("P"), t.samples(dialog=False), t.lists(), by=BY_SPLIT), "split")
 
 
 @query("response_bleu")
@@ -479,7 +479,7 @@ def row_count(t):
     for task in "IPR":
         part = t.generations(task).select("idx", "task")
         rows = part if rows is None else rows.unionByName(part)
-    return metrics.row_count(joins.eval_join(rows, t.samples(False).select("idx", "split")),
+    return metrics.row_count(joins.eval_join(rows, t.samples(False, False).select("idx", "split")),
                              by=("task", "split"))
 
 
@@ -493,7 +493,7 @@ def distinct_n(t):
 @query("confidence_prefix")
 def confidence_prefix(t):
     kept = candidates.confidence_prefix("predicted_topic", "predicted_topic_confidence", 5, 0.7)
-    return t.samples(False).select("idx", F.array_join(kept, "|").alias("topics"))
+    return t.samples(False, False).select("idx", F.array_join(kept, "|").alias("topics"))
 
 
 @query("first_occurrence")
@@ -505,7 +505,7 @@ def first_occurrence(t):
 
 @query("topk_topics")
 def topk_topics(t):
-    return t.samples(False).select(
+    return t.samples(False, False).select(
         "idx", F.array_join(lists.topk_topics("predicted_topic", 3), "|").alias("topics"))
 
 
@@ -516,18 +516,18 @@ def topk_passages(t):
 
 @query("head_tail")
 def head_tail(t):
-    return positions.head_tail(t.samples(False)).select("idx", "topic")
+    return positions.head_tail(t.samples(False, False)).select("idx", "topic")
 
 
 @query("resume_offset")
 def resume_offset(t):
-    return positions.resume_from(t.samples(False), 100).select("idx", "topic")
+    return positions.resume_from(t.samples(False, False), 100).select("idx", "topic")
 
 
 @query("shuffle_topics")
 def shuffle_topics(t):
     out = seeded.shuffled("predicted_topic", SEED, "idx", "topic")
-    return t.samples(False).select("idx", F.array_join(out, "|").alias("topics"))
+    return t.samples(False, False).select("idx", F.array_join(out, "|").alias("topics"))
 
 
 @query("shuffle_passages")
@@ -542,25 +542,25 @@ def random_passages(t):
 
 @query("random_topic_count")
 def random_topic_count(t):
-    return t.samples(False).select(
+    return t.samples(False, False).select(
         "idx", seeded.random_topic_count(5, SEED, "idx").cast("bigint").alias("k"))
 
 
 @query("item_random_negative")
 def item_random_negative(t):
     places = seeded.item_random_negative("predicted_topic", "topic", 3, 4, SEED, "idx")
-    return t.samples(False).select("idx", F.array_join(places.cast("array<string>"), "|").alias("places"))
+    return t.samples(False, False).select("idx", F.array_join(places.cast("array<string>"), "|").alias("places"))
 
 
 @query("shuffle_rows")
 def shuffle_rows(t):
-    rows = prepare.shuffle_rows(t.samples(False), 42).select("idx", "shuffle_key")
+    rows = prepare.shuffle_rows(t.samples(False, False), 42).select("idx", "shuffle_key")
     return positions.hash_positions(rows, "pos", "shuffle_key", "idx")
 
 
 @query("train_val_split")
 def train_val_split(t):
-    rows = prepare.train_val_split(t.samples(False), 0.2).withColumnRenamed("part", "share_part")
+    rows = prepare.train_val_split(t.samples(False, False), 0.2).withColumnRenamed("part", "share_part")
     return prepare.train_val_split(rows, 50).select("idx", "share_part", F.col("part").alias("count_part"))
 
 
@@ -576,13 +576,13 @@ def positive_pick(t):
 
 @query("passage_rerank")
 def passage_rerank(t):
-    rows = metrics.reranked(t.generations("P"), t.samples(), t.knowledge())
+    rows = metrics.reranked(t.generations("P"), t.samples(dialog=False), t.lists())
     return rows.select("idx", *list_columns("passages", F.col("reranked")))
 
 
 @query("passage_rerank_strict")
 def passage_rerank_strict(t):
-    rows = metrics.reranked(t.generations("P"), t.samples(), t.knowledge(), strict=True)
+    rows = metrics.reranked(t.generations("P"), t.samples(dialog=False), t.lists(), strict=True)
     return rows.select("idx", *list_columns("passages", F.col("reranked")))
 
 
@@ -606,7 +606,7 @@ def candidates_combined(t):
 
 @query("positives_limit")
 def positives_limit(t):
-    return t.samples().select(
+    return t.samples(dialog=False).select(
         "idx", *list_columns("positives", lists.positives_limit("candidate_knowledges_gpt", 2)))
 
 
@@ -637,7 +637,7 @@ def passages_prompt_combined(t):
 
 @query("top1_override")
 def top1_override(t):
-    rows = t.samples(False).withColumn("topics", lists.topk_topics("predicted_topic", 3))
+    rows = t.samples(False, False).withColumn("topics", lists.topk_topics("predicted_topic", 3))
     return rows.select(
         "idx", F.array_join(candidates.top1_override(BASE), "|").alias("even_rows"),
         F.array_join(candidates.top1_override(BASE.with_(input_top1=True)), "|").alias("all_rows"),
@@ -647,7 +647,7 @@ def top1_override(t):
 # --- prompts and labels -----------------------------------------------------------------------
 @query("number_list")
 def number_list(t):
-    return t.samples(False).select(
+    return t.samples(False, False).select(
         "idx", lists.number_list(lists.topk_topics("predicted_topic", 3), "Item").alias("lines"))
 
 
@@ -723,7 +723,7 @@ def label_passages(t):
 
 @query("label_item")
 def label_item(t):
-    return t.samples(False).select(
+    return t.samples(False, False).select(
         "idx", labels.label_item("DIP2I", "Item").alias("plain"),
         labels.label_item("DIP2I_cot", "Item").alias("item"),
         labels.label_item("UDGIP2I_cot", "Topic").alias("topic"))
@@ -731,7 +731,7 @@ def label_item(t):
 
 @query("label_passage_text")
 def label_passage_text(t):
-    rows = t.samples()
+    rows = t.samples(dialog=False)
     label = F.when(F.col("gpt_selection") == "", "").otherwise(
         F.concat(F.lit("Passage 1. "), "gpt_selection"))
     return rows.select("idx", *[
@@ -741,7 +741,7 @@ def label_passage_text(t):
 
 @query("label_response")
 def label_response(t):
-    rows = t.samples(False).select("idx", labels.label_response().alias("label"))
+    rows = t.samples(False, False).select("idx", labels.label_response().alias("label"))
     return rows.select("idx", *text_columns("label", F.col("label")))
 
 
@@ -842,7 +842,7 @@ MERGED = RECIPES["inspired_item"].with_(merge=True, val_set_size=50, train_only_
 @query("train_batches")
 def train_batches(t):
     """The training part of the final table in dense batches."""
-    rows = workflows.training_table(t.samples(), t.knowledge(), MERGED).where("part = 'train'")
+    rows = workflows.training_table(t.samples(), t.lists(), MERGED).where("part = 'train'")
     rows = workflows.training_batches(rows, 16, F.lit("<pad>"))
     return rows.select("idx", F.col("copy").cast("bigint").alias("copy"), "batch", "pos",
                        *list_columns("ids", F.col("input_ids")),
@@ -852,7 +852,7 @@ def train_batches(t):
 
 @query("train_examples_merge")
 def train_examples_merge(t):
-    rows = workflows.training_table(t.samples(), t.knowledge(), MERGED)
+    rows = workflows.training_table(t.samples(), t.lists(), MERGED)
     return rows.select("idx", F.col("copy").cast("bigint").alias("copy"), "part", "shuffle_key",
                        *text_columns("example", F.col("example")), size("input_ids").alias("n_ids"),
                        list_digest("labels").alias("labels_md5"))
@@ -885,7 +885,7 @@ def beams_reshape(t):
 def stream_metrics(t):
     path = sinks.scratch_dir(t.spark, "stream")
     t.generations("R").write.parquet(f"{path}/generations")
-    labelled = t.samples(False).select(
+    labelled = t.samples(False, False).select(
         "idx", "split", "topic", prepare.pick_label("R").alias("label"))
     samples = sinks.written(labelled, "stream-samples")
     # Two triggers, whatever the number of files.
@@ -901,7 +901,7 @@ def stream_metrics(t):
 def stream_running(t):
     """Four arrivals in the order of the rows, each a trigger of its own after a restart."""
     path = sinks.scratch_dir(t.spark, "stream-running")
-    labelled = t.samples(False).select("idx", "split", "topic", prepare.pick_label("R").alias("label"))
+    labelled = t.samples(False, False).select("idx", "split", "topic", prepare.pick_label("R").alias("label"))
     samples = ranges.ranged(labelled, [F.col("idx")]).drop("_part", "_place")
     answers = t.generations("R")
     size_ = answers.agg((F.max("idx") + 1).alias("n")).scalar()
@@ -937,7 +937,7 @@ def evaluation_run(t):
     """The test rows' answers in batches as a model leaves them, to committed records."""
     cfg = RECIPES["inspired_response"].with_(num_beams=2)
     prompts = sinks.written(
-        workflows.prompt_table(t.samples().where("split = 'test'"), t.knowledge(), cfg), "prompts")
+        workflows.prompt_table(t.samples().where("split = 'test'"), t.lists(), cfg), "prompts")
     per_batch = cfg.eval_batch_size * cfg.num_beams
     told = ranges.range_positions(prompts.select("idx"), "row", [F.col("idx")]).join(t.generations("R"), "idx")
     flat = told.select("row", "sequence_scores", F.posexplode("beams").alias("beam", "text")).select(
@@ -962,9 +962,11 @@ def evaluation_run(t):
 def passage_dictionary(t):
     """Prompts from a dictionary of passages that are cut once each."""
     cfg = PROMPT_SETTINGS["DIP2I_cot"]
-    know = t.knowledge().withColumn("predicted_know", lists.take("predicted_know", cfg.lists_needed))
-    short = passages.cut_once(sinks.written(passages.dictionary(know), "passages"), cfg.passage_cutoff)
-    lists_ = passages.expand(passages.references(know), short)
+    know = t.lists().take(cfg.lists_needed)
+    held = know.lists.select(F.array("passages").alias("predicted_know"))
+    short = passages.cut_once(sinks.written(passages.dictionary(held), "passages"), cfg.passage_cutoff)
+    refs = know.changed(lambda held: passages.references(held).withColumnRenamed(passages.REFS, "predicted_know"))
+    lists_ = passages.expand(refs.whole().withColumnRenamed("predicted_know", passages.REFS), short)
     rows = render.build_prompts(prepare.prepare(t.samples(), lists_, cfg, cut=False), cfg)
     return rows.select("idx", *text_columns("prompt", F.col("prompt")))
 
@@ -983,7 +985,7 @@ def range_positions(t):
 @query("scan_knowledge_split")
 def scan_knowledge_split(t):
     path = sinks.scratch_dir(t.spark, "knowledge-arrays")
-    sinks.write_knowledge(t.knowledge(), path, block=1000)
+    sinks.write_knowledge(t.lists(), path, block=1000)
     rows = readers.read_knowledge_split(t.spark, path)
     return rows.select(
         "idx", size("predicted_know").alias("n_lists"),
@@ -994,7 +996,7 @@ def scan_knowledge_split(t):
 @query("val_threshold")
 def val_threshold(t):
     """The rows of an exact part, and the n-th key that bounds them, for several n."""
-    rows = t.samples(False).select("idx", F.md5(F.concat_ws("|", F.lit("42"), "idx")).alias("key"))
+    rows = t.samples(False, False).select("idx", F.md5(F.concat_ws("|", F.lit("42"), "idx")).alias("key"))
     flags = {f"in_{n}": selection.among_smallest(rows, n, "key") for n in (1, 50, 1000)}
     return rows.withColumns(flags).drop("key")
 
@@ -1019,7 +1021,7 @@ def distinct_n_sketch(t):
 @query("merge_observed")
 def merge_observed(t):
     """The merged rows' digest, and the counts that the same pass observed."""
-    merged, seen = joins.merge_observed(t.samples(False), t.knowledge().where("idx % 10 <> 3"))
+    merged, seen = joins.merge_observed(t.samples(False, False), t.knowledge().where("idx % 10 <> 3"))
     rows = merged.select("idx", size("predicted_know").alias("n_lists")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("idx") * (F.coalesce("n_lists", F.lit(0)) + 1)).alias("told"))
     rows = sinks.written(rows, "observed")
@@ -1028,6 +1030,6 @@ def merge_observed(t):
 
 @query("score_cube")
 def score_cube(t):
-    rows = scored_rows(t, "R").join(t.samples(False).select("idx", "goal"), "idx")
+    rows = scored_rows(t, "R").join(t.samples(False, False).select("idx", "goal"), "idx")
     cube = metrics.score_cube(rows, ["split", "goal"])
     return rounded(cube, "split", "goal", "grouping", "cnt")

@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from turnloom import fixed_values as fv
 from turnloom.functions.tokens import Tokenizer
 from turnloom.operators import joins, labels, metrics, positions, prepare, render
+from turnloom.operators.passages import SharedLists
 from turnloom.operators.ranges import range_positions
 from turnloom.settings import Settings
 from turnloom.sources import commits, sinks
 
 
 def prompt_table(
-    samples: DataFrame, know: DataFrame, cfg: Settings, topics: DataFrame | None = None,
+    samples: DataFrame, know: DataFrame | SharedLists, cfg: Settings, topics: DataFrame | None = None,
     tok: Tokenizer | None = None, templates: Mapping[str, render.Template] = fv.TEMPLATES,
 ) -> DataFrame:
     """(idx, topic, label, prompt) of a test set."""
@@ -31,7 +32,7 @@ def prompt_table(
 
 
 def training_table(
-    samples: DataFrame, know: DataFrame, cfg: Settings, topics: DataFrame | None = None,
+    samples: DataFrame, know: DataFrame | SharedLists, cfg: Settings, topics: DataFrame | None = None,
     tok: Tokenizer | None = None, templates: Mapping[str, render.Template] = fv.TEMPLATES,
 ) -> DataFrame:
     """Gated, split and tokenized training examples in the random order of the epoch.
@@ -69,7 +70,7 @@ def training_batches(
 
 
 def score(
-    generations: DataFrame, samples: DataFrame, know: DataFrame, cfg: Settings,
+    generations: DataFrame, samples: DataFrame, know: DataFrame | SharedLists, cfg: Settings,
     by: Sequence[str] = (), per: Sequence[str] = (),
 ) -> DataFrame:
     """The final metric of a task: item hits, passage hits or BLEU.

@@ -63,12 +63,13 @@ def read_knowledge_split(spark: SparkSession, path: str, split: str | None = Non
         start.alias("start"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"),
         F.rlike("value", F.lit(r"\A\s*\[\s*\]?\s*\z")).alias("opens"), whole.alias("whole"),
-        F.when(whole, parsed["predicted_know"]).alias("predicted_know")), "records")
-    # One row per split: the only windows are over the splits of a file.
+        F.when(whole, parsed["predicted_know"]).alias("predicted_know")), "records", "zstd")
+    # One row per split, as the file listing has: the only windows are over the splits of a file, and whole
+    # records stay where they are.
     splits = rows.groupBy("file", "block").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    placed = rows.join(splits, ["file", "block"])
+    placed = rows.join(F.broadcast(splits), ["file", "block"])
     # The first piece of a file is the bracket that opens the array; every other must be a record.
     number = F.col("before") + F.col("place") - F.col("first") - 1
     wrong = F.when(number < 0, ~F.col("opens")).otherwise(~F.col("whole"))
