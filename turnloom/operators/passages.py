@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.types import ArrayType, BinaryType
 
-from turnloom.functions import text, tokens
+from turnloom.functions import tokens
 from turnloom.functions.tokens import Tokenizer
 
 REFS = "passage_refs"
@@ -97,35 +97,27 @@ class SharedLists:
         """(idx, predicted_know): the table in which every row holds its lists."""
         none = F.array().cast(self.lists.schema["passages"].dataType)
         lists = self.lists.select("list", F.col("passages").alias("held"))
-        return self._dealt(lists, ["idx"], F.coalesce("held", none)).withColumnRenamed("held", "predicted_know")
+        return self._dealt(lists, F.coalesce("held", none)).withColumnRenamed("held", "predicted_know")
 
     def joined(self, rows: DataFrame, how: str = "left") -> DataFrame:
         """Rows with ``predicted_know``. A list is packed once, dealt so, and unpacked in the rows that hold it:
         for whole texts. Rows meet their lists before they are unpacked, since that forgets the partitioning."""
-        both = rows.join(self._dealt(self._packed(), ["idx"]), "idx", how)
+        both = rows.join(self._dealt(self._packed(), F.col("held")), "idx", how)
         whole = unpack("held").cast(f"array<{self._kind()}>")
         return both.withColumn("predicted_know", whole).drop("held")
 
-    def blocks(self, start: Column) -> DataFrame:
-        """(start, rows): per value of ``start``, a column over ``idx``, the lists of its rows in their order."""
-        refs = replace(self, refs=self.refs.withColumn("start", start))
-        blocks = refs._dealt(self._packed(), ["start", "idx"]).groupBy("start").agg(
-            F.sort_array(F.collect_list(F.struct("idx", "held"))).alias("rows"))
-        held = F.transform("rows", lambda r: r["held"])
-        return blocks.select("start", unpack_blocks(held).cast(f"array<array<{self._kind()}>>").alias("rows"))
-
     def _kind(self) -> str:
         return self.lists.schema["passages"].dataType.simpleString()
 
     def _packed(self) -> DataFrame:
         return self.lists.select("list", pack(F.col("passages").cast("array<binary>")).alias("held"))
 
-    def _dealt(self, lists: DataFrame, keys: Sequence[str], held: Column | str = "held") -> DataFrame:
-        """(keys, held): what is held of a row's lists; all rows of the first key come to one task."""
-        dealt = self.refs.join(lists, "list", "left").withColumn("held", text.col(held)).select(*keys, "pos", "held")
-        grouped = dealt.repartition(keys[0]).groupBy(*keys).agg(
+    def _dealt(self, lists: DataFrame, held: Column) -> DataFrame:
+        """(idx, held): what is held of a row's lists."""
+        dealt = self.refs.join(lists, "list", "left").select("idx", "pos", held.alias("held"))
+        grouped = dealt.repartition("idx").groupBy("idx").agg(
             F.sort_array(F.collect_list(F.struct("pos", "held"))).alias("k"))
-        return grouped.select(*keys, F.transform("k", lambda s: s["held"]).alias("held"))
+        return grouped.select("idx", F.transform("k", lambda s: s["held"]).alias("held"))
 
 
 @F.arrow_udf(BinaryType())
@@ -139,31 +131,14 @@ def pack(lists: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def _unpacker(depth: int):
-    """Rows of packed lists to rows of lists, or blocks of such rows; a list that is missing is empty.
-
-    The helpers are made here, so that they are sent to the workers with the function.
-    """
-    def one(blob: bytes | None) -> list[bytes | None]:
+@F.arrow_udf(ArrayType(ArrayType(BinaryType())))
+def unpack(rows: pa.Array) -> pa.Array:
+    """The lists of every row again; one that is missing is empty."""
+    def lists(blob: bytes | None) -> list[bytes | None]:
         if blob is None:
             return []
         with pa.input_stream(pa.BufferReader(memoryview(blob)[8:]), compression="zstd") as data:
             return pickle.loads(data.read(int.from_bytes(blob[:8], "little")))
 
-    def deep(held, level: int):
-        if held is None and level:
-            return None
-        return [deep(h, level - 1) for h in held] if level else one(held)
-
-    kind, spark_kind = pa.list_(pa.binary()), ArrayType(BinaryType())
-    for _ in range(depth):
-        kind, spark_kind = pa.list_(kind), ArrayType(spark_kind)
-
-    @F.arrow_udf(spark_kind)
-    def unpacked(rows: pa.Array) -> pa.Array:
-        return pa.array([deep(row.as_py(), depth) for row in rows], kind)
-
-    return unpacked
-
-
-unpack, unpack_blocks = _unpacker(1), _unpacker(2)
+    whole = [None if row is None else [lists(blob) for blob in row] for row in (r.as_py() for r in rows)]
+    return pa.array(whole, pa.list_(pa.list_(pa.binary())))

@@ -106,7 +106,7 @@ def scan_samples(t):
 @query("scan_knowledge")
 def scan_knowledge(t):
     path = sinks.scratch_dir(t.spark, "knowledge")
-    sinks.write_knowledge(t.lists(), path, compression="gzip")
+    sinks.write_knowledge(t.knowledge(), path, compression="gzip")
     rows = readers.read_knowledge(t.spark, path)
     return rows.select(
         "idx", size("predicted_know").alias("n_lists"),
@@ -985,7 +985,7 @@ def range_positions(t):
 @query("scan_knowledge_split")
 def scan_knowledge_split(t):
     path = sinks.scratch_dir(t.spark, "knowledge-arrays")
-    sinks.write_knowledge(t.lists(), path, block=1000)
+    sinks.write_knowledge(t.knowledge(), path, block=1000)
     rows = readers.read_knowledge_split(t.spark, path)
     return rows.select(
         "idx", size("predicted_know").alias("n_lists"),

@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnloom.operators.passages import SharedLists
 from turnloom.operators.positions import block_start
 
 FIRST_ROWS = 100
@@ -114,21 +113,17 @@ def write_layout(
     out.write.mode("append").partitionBy("model", "run_date", "run_name").json(path)
 
 
-def write_knowledge(
-    df: DataFrame | SharedLists, path: str, block: int = 100, compression: str | None = None
-) -> None:
+def write_knowledge(df: DataFrame, path: str, block: int = 100, compression: str | None = None) -> None:
     """Passages as JSON array files of ``block`` rows below ``start=N`` directories.
 
-    Lists that rows share are dealt to the blocks at once. Compressed files cannot be split by a reader.
+    Compressed files cannot be split by a reader.
     """
-    start = block_start(F.col("idx"), block)
-    if isinstance(df, SharedLists):
-        blocks = df.blocks(start)
-    else:
-        grouped = df.groupBy(start.alias("start")).agg(
-            F.sort_array(F.collect_list(F.struct("idx", "predicted_know"))).alias("rows"))
-        blocks = grouped.select("start", F.transform("rows", lambda r: r["predicted_know"]).alias("rows"))
-    arrays = F.to_json(F.transform("rows", lambda r: F.struct(r.alias("predicted_know"))))
+    blocks = df.groupBy(block_start(F.col("idx"), block).alias("start")).agg(
+        F.sort_array(F.collect_list(F.struct("idx", "predicted_know"))).alias("rows")
+    )
+    arrays = F.to_json(
+        F.transform("rows", lambda r: F.struct(r["predicted_know"].alias("predicted_know")))
+    )
     blocks.select("start", arrays.alias("value")).write.partitionBy("start").text(path, compression)
 
 
