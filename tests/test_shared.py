@@ -1,12 +1,14 @@
 """Lists that rows share, and derived tables that stay narrow."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from turnloom.operators import joins, passages, prepare
 from turnloom.plans import fixtures
+from turnloom.plans.catalog import QUERIES, list_columns, size
 from turnloom.settings import RECIPES, Settings
 from turnloom.sources import readers, sinks
 
@@ -49,6 +51,73 @@ def test_shared_lists_as_files(spark, shared, tmp_path, compression):
     assert rows_of(readers.read_knowledge_split(spark, path)) == WANT
 
 
+@pytest.mark.parametrize("least", [1, 1 << 30])
+def test_shared_lists_are_dealt_to_files(spark, monkeypatch, tmp_path, least):
+    """Rows of many blocks, in rounds and at once, without a number, and names that stand twice or have no list."""
+    monkeypatch.setattr(sinks, "ROUND", least)
+    lists = LISTS | {n: [f"{n} [{{\"predicted_know\":] {i}, }}]\n" for i in range(n)] for n in range(4, 9)} | {None: ["x"], 9: None}
+    refs = [(i, pos, (i * 3 + pos) % 11) for i in range(57) if i // 5 != 4 for pos in range(i % 4 + 1)]
+    refs += [(None, 0, 2), (None, 1, 1), (56, 1, None), (56, 0, 2), (56, 0, 2)]
+    shared = passages.SharedLists(
+        spark.createDataFrame(refs, "idx bigint, pos int, list bigint").repartition(5),
+        spark.createDataFrame(list(lists.items()), "list bigint, passages array<string>"))
+    rounds, blocks = [], sinks._write_blocks
+    monkeypatch.setattr(sinks, "_write_blocks", lambda *a: (rounds.append(a), blocks(*a)))
+    before, flag = held(spark), spark.conf.get(sinks.CLEANUP)
+    for k, compression in enumerate([None, "gzip"]):
+        sinks.write_knowledge(shared, f"{tmp_path}/{k}", block=5, compression=compression)
+        want = rows_of(shared.whole())
+        assert len(want) == 53
+        # A file tells a row's number by its place: the numbers that are left out are a whole block.
+        assert rows_of(readers.read_knowledge(spark, f"{tmp_path}/{k}")) == want
+        assert rows_of(readers.read_knowledge_split(spark, f"{tmp_path}/{k}")) == want
+    assert (len(rounds) > 6) == (least == 1)
+    assert held(spark) == before and spark.conf.get(sinks.CLEANUP) == flag
+    with pytest.raises(Exception, match="already exists"):
+        sinks.write_knowledge(shared, f"{tmp_path}/0")
+
+
+def held(spark):
+    """What stands in the scratch folder, but for the tables of other tests."""
+    top = sinks._scratch(spark)
+    return {n for n in (os.listdir(top) if os.path.isdir(top) else []) if n.startswith(("refs-", "lists-", "records-"))}
+
+
+def shuffled(spark):
+    """Bytes of shuffle files; they go soon after they are dropped."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    paths = [files.apply(i).getPath() for i in range(files.size())]
+    return sum(os.path.getsize(p) for p in paths if "/shuffle_" in p and os.path.exists(p))
+
+
+@pytest.mark.parametrize("name", ["scan_knowledge_split"])
+def test_a_scan_leaves_its_files_alone_on_disk(spark, tmp_path, name):
+    """Neither the whole texts that were shuffled nor a second copy of the rows, while the files are read."""
+    write_tables(spark, tmp_path, [(1, t, "assistant" if t % 2 else "user", f"{t}") for t in range(400)], 2000)
+    tables = fixtures.Tables(spark, str(tmp_path))
+    know = tables.knowledge().where(F.size("predicted_know") > 0)
+    want = know.select("idx", size("predicted_know").alias("n_lists"), *list_columns("passages", F.flatten("predicted_know")))
+    whole = sum(r.n for r in know.select(F.length(F.to_json("predicted_know")).alias("n")).collect())
+    before, left = held(spark), shuffled(spark)
+    got = QUERIES[name](spark, str(tmp_path))
+    for _ in range(50):
+        if shuffled(spark) - left < whole / 10:
+            break
+        time.sleep(0.2)
+    assert whole > 1 << 23 and shuffled(spark) - left < whole / 10
+    assert held(spark) == before
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def write_tables(spark, path, turns, size):
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(
+        f"{path}/conversations.parquet")
+    docs = [(i, os.urandom(size // 2).hex(), "en", "s", size) for i in range(30)]
+    spark.createDataFrame(docs, fixtures.GIVEN["documents"]).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, f"item {i}", 0, 0.0) for i in range(5)], fixtures.GIVEN["supplier"]).write.parquet(
+        f"{path}/supplier.parquet")
+
+
 def test_shared_passages_are_cut_before_they_are_dealt(spark, tables):
     for cfg in (RECIPES["durec_item"], RECIPES["inspired_response"], Settings(prompt="DIP2I", combined=True)):
         short = prepare.prepare(tables.samples(), tables.lists(), cfg)

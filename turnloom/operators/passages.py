@@ -95,9 +95,16 @@ class SharedLists:
 
     def whole(self) -> DataFrame:
         """(idx, predicted_know): the table in which every row holds its lists."""
+        return self.rows()
+
+    def rows(self, *by: str) -> DataFrame:
+        """``whole`` with columns of ``refs`` that follow from ``idx``; rows with the same first one share a task.
+
+        Tasks are then as many as the shuffle is wide, since joining them would bring wide rows together.
+        """
         none = F.array().cast(self.lists.schema["passages"].dataType)
         lists = self.lists.select("list", F.col("passages").alias("held"))
-        return self._dealt(lists, F.coalesce("held", none)).withColumnRenamed("held", "predicted_know")
+        return self._dealt(lists, F.coalesce("held", none), *by).withColumnRenamed("held", "predicted_know")
 
     def joined(self, rows: DataFrame, how: str = "left") -> DataFrame:
         """Rows with ``predicted_know``. A list is packed once, dealt so, and unpacked in the rows that hold it:
@@ -112,12 +119,13 @@ class SharedLists:
     def _packed(self) -> DataFrame:
         return self.lists.select("list", pack(F.col("passages").cast("array<binary>")).alias("held"))
 
-    def _dealt(self, lists: DataFrame, held: Column) -> DataFrame:
+    def _dealt(self, lists: DataFrame, held: Column, *by: str) -> DataFrame:
         """(idx, held): what is held of a row's lists."""
-        dealt = self.refs.join(lists, "list", "left").select("idx", "pos", held.alias("held"))
-        grouped = dealt.repartition("idx").groupBy("idx").agg(
+        keys, tasks = [*by, "idx"], [int(self.refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if by else []
+        dealt = self.refs.join(lists, "list", "left").select(*keys, "pos", held.alias("held"))
+        grouped = dealt.repartition(*tasks, keys[0]).groupBy(*keys).agg(
             F.sort_array(F.collect_list(F.struct("pos", "held"))).alias("k"))
-        return grouped.select("idx", F.transform("k", lambda s: s["held"]).alias("held"))
+        return grouped.select(*keys, F.transform("k", lambda s: s["held"]).alias("held"))
 
 
 @F.arrow_udf(BinaryType())

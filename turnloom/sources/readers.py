@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from turnloom.sources import schemas
 from turnloom.sources.session import wide_rows
-from turnloom.sources.sinks import written
 
 
 def read_samples(spark: SparkSession, path: str, split: str, fmt: str = "parquet") -> DataFrame:
@@ -48,36 +47,38 @@ def read_knowledge_split(spark: SparkSession, path: str, split: str | None = Non
     """The same rows from JSON array files of any size, each read by as many tasks as it has splits.
 
     Records are told apart at ``{"predicted_know"``, which cannot stand inside a JSON string, since its quotes
-    would be escaped there. Rows are written once, parsed, with file, split and place in the split; counts
-    per split give every split its first number, so nothing passes through one task.
+    would be escaped there. The files are read twice and written nowhere: the first pass counts the records of every
+    split, which gives every split its first number, so nothing passes through one task.
 
     A record that is no valid JSON has a NULL list; an element that is not an object with that first key (a
     ``null``, say) and a file that does not begin with an array raise. ``[]`` has no rows.
     """
     pieces = spark.read.option("lineSep", RECORD_START).text(path)
     start = F.col("start").cast("bigint") if "start" in pieces.columns else F.lit(0).cast("bigint")
-    record = F.regexp_replace("value", r"\s*[,\]]?\s*\z", "")
-    whole = F.rlike(record, F.lit(r"(?s)\A\s*:.*\}\z"))
-    parsed = F.from_json(F.concat(F.lit(RECORD_START), record), schemas.KNOWLEDGE_RECORD)
-    rows = written(pieces.select(
-        start.alias("start"), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"),
-        F.rlike("value", F.lit(r"\A\s*\[\s*\]?\s*\z")).alias("opens"), whole.alias("whole"),
-        F.when(whole, parsed["predicted_know"]).alias("predicted_know")), "records", "zstd")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+             F.monotonically_increasing_id().alias("place")]
+    # Behind a record stand a comma or the closing bracket, with white space; a piece that is none gives "".
+    record = F.regexp_extract("value", r"(?s)\A(\s*:.*\})\s*[,\]]?\s*\z", 1)
+    parsed = F.from_json(F.concat(F.lit(RECORD_START), "record"), schemas.KNOWLEDGE_RECORD)
+    rows = pieces.select(
+        start.alias("start"), *place, F.rlike("value", F.lit(r"\A\s*\[\s*\]?\s*\z")).alias("opens"),
+        record.alias("record"))
     # One row per split, as the file listing has: the only windows are over the splits of a file, and whole
-    # records stay where they are.
-    splits = rows.groupBy("file", "block").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    # records stay where they are. Both passes have the same plan for the files, so places agree.
+    splits = pieces.select(*place).groupBy("file", "block").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     splits = splits.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    placed = rows.join(F.broadcast(splits), ["file", "block"])
+    placed = rows.join(F.broadcast(splits), ["file", "block"], "left")
     # The first piece of a file is the bracket that opens the array; every other must be a record.
-    number = F.col("before") + F.col("place") - F.col("first") - 1
-    wrong = F.when(number < 0, ~F.col("opens")).otherwise(~F.col("whole"))
-    checked = F.when(wrong, F.raise_error(F.concat(
-        F.lit("not an array of records that begin with predicted_know: "), "file"))).otherwise(number)
+    inside = F.col("place") - F.col("first")
+    number = F.col("before") + inside - 1
+    wrong = F.when(number < 0, ~F.col("opens")).otherwise(F.col("record") == "")
+    checked = F.when(F.coalesce((inside >= 0) & (inside < F.col("n")), F.lit(False)), F.when(wrong, F.raise_error(F.concat(
+        F.lit("not an array of records that begin with predicted_know: "), "file"))).otherwise(number)).otherwise(
+        F.raise_error(F.concat(F.lit("read otherwise than it was counted: "), "file")).cast("bigint"))
     named = [] if split is None else [F.lit(split).alias("split")]
     return placed.withColumn("_number", checked).where("_number >= 0").select(
-        (F.col("start") + F.col("_number")).alias("idx"), *named, "predicted_know")
+        (F.col("start") + F.col("_number")).alias("idx"), *named, parsed["predicted_know"].alias("predicted_know"))
 
 
 def read_knowledge_table(

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from turnloom.operators.passages import SharedLists
 from turnloom.operators.positions import block_start
 
 FIRST_ROWS = 100
@@ -15,6 +18,8 @@ RECORD = (
     "contain", "llama_hit", "beam_scores", "espresso_hit",
 )
 
+ROUND = 1 << 30  # characters that a round of ``write_knowledge`` deals at least, however little the lists hold
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _LOCAL: dict[str, str] = {}  # application to its folder in local mode
 
@@ -70,8 +75,19 @@ def discard(df: DataFrame) -> None:
             fs.delete(place, True)
 
 
-def bucketed(df: DataFrame, name: str, key: str = "idx", buckets: int | None = None
-             ) -> tuple[str, DataFrame]:
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the query that wrote them ends, not when the driver collects its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def bucketed(df: DataFrame, name: str, key: str = "idx", buckets: int | None = None,
+             compression: str | None = None) -> tuple[str, DataFrame]:
     """Write a table bucketed by its row key below the shared folder.
 
     Tables with the same bucketing join on the key without a shuffle. One shuffle here pays for
@@ -81,10 +97,8 @@ def bucketed(df: DataFrame, name: str, key: str = "idx", buckets: int | None = N
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"turnloom_{name}_{uuid.uuid4().hex}"
-    (
-        df.repartition(n, key).write.bucketBy(n, key)
-        .option("path", scratch_dir(spark, name)).saveAsTable(table)
-    )
+    options = {"path": scratch_dir(spark, name)} | ({"compression": compression} if compression else {})
+    df.repartition(n, key).write.bucketBy(n, key).options(**options).saveAsTable(table)
     return table, spark.table(table)
 
 
@@ -113,11 +127,16 @@ def write_layout(
     out.write.mode("append").partitionBy("model", "run_date", "run_name").json(path)
 
 
-def write_knowledge(df: DataFrame, path: str, block: int = 100, compression: str | None = None) -> None:
+def write_knowledge(
+    df: DataFrame | SharedLists, path: str, block: int = 100, compression: str | None = None
+) -> None:
     """Passages as JSON array files of ``block`` rows below ``start=N`` directories.
 
-    Compressed files cannot be split by a reader.
+    Compressed files cannot be split by a reader. Shared lists are dealt to the blocks of the rows that name
+    them, whose whole text is shuffled nowhere else.
     """
+    if isinstance(df, SharedLists):
+        return _write_shared(df, path, block, compression)
     blocks = df.groupBy(block_start(F.col("idx"), block).alias("start")).agg(
         F.sort_array(F.collect_list(F.struct("idx", "predicted_know"))).alias("rows")
     )
@@ -127,6 +146,42 @@ def write_knowledge(df: DataFrame, path: str, block: int = 100, compression: str
     blocks.select("start", arrays.alias("value")).write.partitionBy("start").text(path, compression)
 
 
+def _write_shared(know: SharedLists, path: str, block: int, compression: str | None) -> None:
+    """Lists are stored once, then dealt to blocks of rows in rounds, each about as much as all lists hold.
+
+    What a round has shuffled goes when it ends, so the disk holds the files, the lists once and one round. A block's
+    rows follow each other into its file: no block has to fit into memory.
+    """
+    spark = know.refs.sparkSession
+    whole = W.partitionBy("start")
+    chars = F.aggregate("passages", F.lit(0).cast("bigint"), lambda n, p: n + F.coalesce(F.length(p), F.lit(0)))
+    with shuffles_dropped(spark):
+        refs = written(know.refs.select("idx", "pos", "list", block_start(F.col("idx"), block).alias("start"))
+                       .withColumns({"first": F.min("idx").over(whole), "last": F.max("idx").over(whole)}), "refs")
+        table, lists = bucketed(know.lists.select("list", "passages", F.coalesce(chars, F.lit(0)).alias("chars")),
+                                "lists", "list", compression="zstd")
+        named = refs.groupBy("list").agg(F.count(F.lit(1)).alias("n")).join(lists.select("list", "chars"), "list")
+        dealt = named.agg(F.sum(F.col("n") * F.col("chars"))).first()[0] or 0
+        once = lists.agg(F.sum("chars")).first()[0] or 0
+        rounds = max(1, -(-dealt // max(once, ROUND)))
+        for n in range(rounds):
+            turn = F.pmod(F.floor(F.coalesce("start", F.lit(0)) / block), F.lit(rounds)) == n
+            _write_blocks(SharedLists(refs.where(turn), lists.drop("chars")).rows("start", "first", "last"), path,
+                          compression, "append" if n else "error")
+    discard(refs)
+    discard(lists)
+    spark.sql(f"DROP TABLE {table}")
+
+
+def _write_blocks(rows: DataFrame, path: str, compression: str | None, mode: str) -> None:
+    """Rows of whole blocks, one after another in one line; ``first`` and ``last`` name the rows that open and close the array."""
+    line = F.concat(
+        F.when(F.col("idx").eqNullSafe(F.col("first")), "[").otherwise(","), F.to_json(F.struct("predicted_know")),
+        F.when(F.col("idx").eqNullSafe(F.col("last")), "]").otherwise(""))
+    lines = rows.select("start", "idx", line.alias("value")).sortWithinPartitions("start", "idx")
+    lines.select("start", "value").write.mode(mode).partitionBy("start").text(path, compression, lineSep=" ")
+
+
 def write_templates(spark: SparkSession, templates: dict[str, dict[str, str]], path: str) -> None:
     rows = [(k, t["prompt_input"], t["prompt_no_input"], t["response_split"])
             for k, t in templates.items()]
