@@ -90,7 +90,7 @@ def shuffled(spark):
     return sum(os.path.getsize(p) for p in paths if "/shuffle_" in p and os.path.exists(p))
 
 
-@pytest.mark.parametrize("name", ["scan_knowledge_split"])
+@pytest.mark.parametrize("name", ["scan_knowledge_split", "scan_knowledge"])
 def test_a_scan_leaves_its_files_alone_on_disk(spark, tmp_path, name):
     """Neither the whole texts that were shuffled nor a second copy of the rows, while the files are read."""
     write_tables(spark, tmp_path, [(1, t, "assistant" if t % 2 else "user", f"{t}") for t in range(400)], 2000)
